@@ -19,7 +19,7 @@ HAN = r"[\x{3400}-\x{9fff}]"
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
 
 
 def norm(c: Column) -> Column:

@@ -13,7 +13,7 @@ VALIDATION = ("val", "dev", "validation")
 
 def split_name(c: Column) -> Column:
     """Trimmed and lower-cased, spellings of validation made one; null stays null."""
-    s = F.lower(F.regexp_replace(c, r"^[ \t\r\n\x{a0}]+|[ \t\r\n\x{a0}]+$", ""))
+    s = F.lower(F.regexp_replace(c, r"^[ \t\r\n\x{a0}]+|[ \t\r\n\x{a0}]+\z", ""))
     return F.when(s.isin(*VALIDATION), F.lit("validation")).otherwise(s)
 
 

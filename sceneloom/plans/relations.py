@@ -1 +1,461 @@
-"""Queries on joins, order, overlap and rules."""
+"""Queries on joins, ordered events, overlap, splits, encoding and rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import in_order, lexical_words, overlap_words, sha256
+from ..operators import encode, joins, overlap, release, rules, sequence, splits
+from ..streaming import early_stop
+from . import texts  # noqa: F401  # some rules reuse its SQL
+from .base import *
+
+# --- joins
+
+
+@query(
+    "j1_lonely_keys",
+    "SELECT segment_id, 'left' AS side FROM (SELECT segment_id FROM master_segments WHERE segment_id IS NOT NULL EXCEPT SELECT segment_id FROM sft_pairs) UNION ALL SELECT segment_id, 'right' FROM (SELECT segment_id FROM sft_pairs WHERE segment_id IS NOT NULL EXCEPT SELECT segment_id FROM master_segments)",
+)
+def j1_lonely(spark, root):
+    m, p = (table(spark, root, t).select("segment_id").where("segment_id is not null") for t in ("master_segments", "sft_pairs"))
+    return joins.lonely_keys(m, p, "segment_id")
+
+
+@query("j1_pair_join", f"SELECT m.segment_id, m.target_text = p.target_text AS same_text, m.sha = p.target_text_sha256 AS same_hash FROM (SELECT segment_id, target_text, target_text_sha256 AS sha FROM {sql_segments('target_text', 'target_text_sha256')}) m JOIN {sql_pairs('target_text', 'target_text_sha256')} p USING (segment_id)")
+def j1_pairs(spark, root):
+    m = segments(spark, root, "target_text", "target_text_sha256").select("segment_id", F.col("target_text").alias("t"), F.col("target_text_sha256").alias("s"))
+    p = pairs(spark, root, "target_text", "target_text_sha256")
+    return m.join(p, "segment_id").select("segment_id", (F.col("t") == F.col("target_text")).alias("same_text"), (F.col("s") == F.col("target_text_sha256")).alias("same_hash"))
+
+
+def _ordered_ids(df, by, ids):
+    return df.select(by, F.posexplode(ids).alias("ord", "id"))
+
+
+@query(
+    "j2_positional_join",
+    f"""WITH a AS (SELECT segment_id, unnest(event_ids) AS id, generate_subscripts(event_ids, 1) - 1 AS ord FROM {sql_segments('event_ids')}), b AS (SELECT segment_id, unnest(e) AS id, generate_subscripts(e, 1) - 1 AS ord FROM (SELECT segment_id, source.event_ids AS e FROM {sql_pairs('source')}))
+    SELECT segment_id, ord::INT AS ord, a.id AS left_id, b.id AS right_id FROM a FULL JOIN b USING (segment_id, ord) WHERE a.id IS DISTINCT FROM b.id""",
+)
+def j2(spark, root):
+    a = _ordered_ids(segments(spark, root, "event_ids"), "segment_id", "event_ids")
+    b = _ordered_ids(pairs(spark, root, "source"), "segment_id", "source.event_ids")
+    return sequence.order_mismatches(a, b, "segment_id")
+
+
+@query(
+    "j3_event_lookup",
+    f"SELECT issue_id, count(DISTINCT event) AS affected, count(DISTINCT atom_id) AS atoms, count(DISTINCT segment_id) AS segments FROM (SELECT DISTINCT issue_id, unnest(affected_event_ids) AS event FROM source_annotations) i LEFT JOIN (SELECT atom_id, segment_id, unnest(event_ids) AS event FROM {sql_atoms('atom_id', 'segment_id', 'event_ids')}) e USING (event) GROUP BY 1",
+)
+def j3(spark, root):
+    i = table(spark, root, "source_annotations").select("issue_id", F.explode("affected_event_ids").alias("event")).distinct()
+    e = atoms(spark, root, "atom_id", "segment_id", "event_ids").select("atom_id", "segment_id", F.explode("event_ids").alias("event"))
+    return i.join(e, "event", "left").groupBy("issue_id").agg(F.count_distinct("event").alias("affected"), F.count_distinct("atom_id").alias("atoms"), F.count_distinct("segment_id").alias("segments"))
+
+
+def _plan(spark, root):
+    s = table(spark, root, "scenes").where("scene_group_id is not null and split is not null").select("scene_group_id", split_name(F.col("split")).alias("split"))
+    return s.groupBy("scene_group_id").agg(F.min("split").alias("split"))
+
+
+_SQL_PLAN = f"(SELECT scene_group_id, min({sql_split()}) AS planned FROM scenes WHERE scene_group_id IS NOT NULL AND split IS NOT NULL GROUP BY 1)"
+
+
+@query("j4_x1_frozen_split", f"SELECT planned AS split, count(*) AS segments FROM {sql_segments('scene_group_id')} JOIN {_SQL_PLAN} USING (scene_group_id) GROUP BY 1")
+def j4(spark, root):
+    plan = _plan(spark, root)
+    s = segments(spark, root, "scene_group_id").join(plan.select("scene_group_id"), "scene_group_id", "left_semi")
+    return splits.frozen(s, plan, "scene_group_id").groupBy("split").agg(F.count(F.lit(1)).alias("segments"))
+
+
+@query("j4_unplanned", f"SELECT scene_group_id, count(*) AS segments FROM {sql_segments('scene_group_id')} WHERE scene_group_id NOT IN (SELECT scene_group_id FROM {_SQL_PLAN}) GROUP BY 1")
+def j4_guard(spark, root):
+    s = segments(spark, root, "scene_group_id").where("scene_group_id is not null")
+    return s.join(_plan(spark, root), "scene_group_id", "left_anti").groupBy("scene_group_id").agg(F.count(F.lit(1)).alias("segments"))
+
+
+_LINKS = sql_segments("scene_id", "previous_segment_id", "next_segment_id")
+
+
+@query("j5_unmutual_links", f"SELECT a.segment_id, a.next_segment_id FROM {_LINKS} a LEFT JOIN {_LINKS} b ON b.segment_id = a.next_segment_id WHERE a.next_segment_id IS NOT NULL AND b.previous_segment_id IS DISTINCT FROM a.segment_id")
+def j5(spark, root):
+    return sequence.unmutual(segments(spark, root, "scene_id", "previous_segment_id", "next_segment_id"))
+
+
+@query("j5_neighbours", f"SELECT segment_id, lag(segment_id) OVER w AS previous_segment_id, lead(segment_id) OVER w AS next_segment_id FROM {sql_segments('scene_id')} WHERE scene_id IS NOT NULL WINDOW w AS (PARTITION BY scene_id ORDER BY segment_id)")
+def j5_build(spark, root):
+    return sequence.neighbours(segments(spark, root, "scene_id").where("scene_id is not null"))
+
+
+@query(
+    "j6_issue_join",
+    f"SELECT DISTINCT segment_id, issue_id FROM {sql_segments('event_ids', 'source_atom_ids')} s JOIN source_annotations i ON list_has_any(i.affected_event_ids, s.event_ids) OR list_contains(s.source_atom_ids, i.source_atom_id)",
+)
+def j6(spark, root):
+    return joins.attach_issues(segments(spark, root, "event_ids", "source_atom_ids"), table(spark, root, "source_annotations"))
+
+
+@query(
+    "j7_prefix_join",
+    f"SELECT DISTINCT s.segment_id, c.scene_id FROM {sql_segments('work_id', 'source_xpath_start')} s JOIN scenes c ON c.work_id = s.work_id AND starts_with(s.source_xpath_start, c.source_xpath || '/')",
+)
+def j7(spark, root):
+    """The scene whose path is a prefix of the segment's: every prefix of the path becomes a key of an equi-join."""
+    s = segments(spark, root, "work_id", "source_xpath_start")
+    parts = F.split("source_xpath_start", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    keys = s.where("source_xpath_start is not null").select("segment_id", "work_id", F.explode(prefixes).alias("source_xpath"))
+    c = table(spark, root, "scenes").select("work_id", "source_xpath", "scene_id").distinct()
+    return keys.join(c, ["work_id", "source_xpath"]).select("segment_id", "scene_id").distinct()
+
+
+@query("j8_semi_anti", f"SELECT source_kind, count(*) AS atoms, count(*) FILTER (segment_id IN (SELECT segment_id FROM sft_pairs WHERE segment_id IS NOT NULL)) AS paired FROM {sql_atoms('atom_id', 'source_kind', 'segment_id')} WHERE segment_id IS NOT NULL GROUP BY 1")
+def j8(spark, root):
+    p = table(spark, root, "sft_pairs").select("segment_id", F.lit(1).alias("hit")).distinct()
+    a = atoms(spark, root, "atom_id", "source_kind", "segment_id").where("segment_id is not null")
+    return a.join(p, "segment_id", "left").groupBy("source_kind").agg(F.count(F.lit(1)).alias("atoms"), F.count("hit").alias("paired"))
+
+
+@query("j10_conditions", "SELECT case_id, seed, condition FROM eval_scenes, (SELECT unnest([11, 23, 47]) AS seed), (SELECT unnest(['base', 'tuned']) AS condition)")
+def j10(spark, root):
+    return joins.conditions(table(spark, root, "eval_scenes"), [11, 23, 47], ["base", "tuned"])
+
+
+@query(
+    "j11_reconcile",
+    f"SELECT p.segment_id AS path, CASE WHEN m.now IS NOT DISTINCT FROM p.sha256 THEN 'skip' WHEN m.now IS NULL THEN 'write' ELSE 'conflict' END AS action FROM (SELECT segment_id, sha256(target_text) AS sha256 FROM {sql_pairs('target_text')}) p LEFT JOIN (SELECT segment_id, target_text_sha256 AS now FROM {sql_segments('target_text_sha256')}) m USING (segment_id)",
+)
+def j11(spark, root):
+    """Pairs as a payload over the segments present: what is there already, what is new, what differs."""
+    payload = pairs(spark, root, "target_text").select(F.col("segment_id").alias("path"), sha256(F.col("target_text")).alias("sha256"), F.lit(None).cast("string").alias("previous_sha256"))
+    present = segments(spark, root, "target_text_sha256").select(F.col("segment_id").alias("path"), F.col("target_text_sha256").alias("sha256"))
+    return release.reconcile(payload, present)
+
+
+# --- ordered events
+
+
+@query(
+    "w1_w2_anchors",
+    f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY scene_id, atom_number ORDER BY scene_ord) - 1 AS i FROM {SQL_SCENE_EVENTS}), l AS (SELECT scene_id, atom_number, max(i) AS last, max(i) FILTER (kind IN ('verse', 'prose')) AS spoken FROM e WHERE atom_number % 5 = 1 GROUP BY ALL)
+    SELECT l.scene_id, atom_number || CASE WHEN spoken IS NULL THEN '' WHEN atom_number % 2 = 0 THEN '^' ELSE '@0' END AS marker, e.event_id, e.scene_ord::INT AS stop FROM l JOIN e USING (scene_id, atom_number) WHERE e.i = CASE WHEN spoken IS NULL THEN last WHEN atom_number % 2 = 0 THEN spoken ELSE 0 END""",
+)
+def w1(spark, root):
+    """A cut behind every fifth atom, in three spellings of the anchor grammar. The step is the fixture, not a sample."""
+    e = scene_events(spark, root)
+    marks = e.where("atom_number % 5 = 1").groupBy("scene_id", "atom_number").agg(F.max(F.when(F.col("kind").isin("verse", "prose"), 1)).alias("spoken"))
+    sign = F.when(F.col("spoken").isNull(), "").when(F.col("atom_number") % 2 == 0, "^").otherwise("@0")
+    return sequence.resolve_anchors(marks.select("scene_id", F.concat("atom_number", sign).alias("marker")), e)
+
+
+@query(
+    "w3_segment_assignment",
+    f"SELECT scene_id, segment_number, count(*) AS events, min(event_id) AS first FROM (SELECT *, 1 + sum(CASE WHEN kind = 'stage' AND source_kind = 'stage' THEN 1 ELSE 0 END) OVER (PARTITION BY scene_id ORDER BY scene_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM {SQL_SCENE_EVENTS}) t, LATERAL (SELECT coalesce(n, 1)::BIGINT AS segment_number) GROUP BY ALL",
+)
+def w3(spark, root):
+    e = scene_events(spark, root)
+    stops = e.where("kind = 'stage'").select("scene_id", F.col("scene_ord").alias("stop"))
+    return sequence.assign_segments(e, stops).groupBy("scene_id", "segment_number").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first"))
+
+
+@query(
+    "w4_atom_slices",
+    f"""SELECT atom_id, count(*) AS n FROM (SELECT source_atom_id || CASE WHEN whole THEN '' ELSE printf('_e%04d-%04d', a, b) END AS atom_id FROM (SELECT p.*, (a = low AND b = high) AS whole FROM
+    (SELECT segment_id, source_atom_id, min(k) AS a, max(k) AS b FROM e GROUP BY ALL) p JOIN (SELECT source_atom_id, min(k) AS low, max(k) AS high FROM e GROUP BY ALL) q USING (source_atom_id))) GROUP BY ALL""".replace(
+        "FROM e GROUP", f"FROM (SELECT segment_id, source_atom_id, CAST(regexp_extract(ev, '_E(\\d+)$', 1) AS INT) AS k FROM (SELECT segment_id, source_atom_id, unnest(event_ids) AS ev FROM {sql_atoms('atom_id', 'segment_id', 'source_atom_id', 'event_ids')} WHERE segment_id IS NOT NULL)) GROUP"
+    ),
+)
+def w4(spark, root):
+    e = atoms(spark, root, "atom_id", "segment_id", "source_atom_id", "event_ids").where("segment_id is not null").select("segment_id", "source_atom_id", F.explode("event_ids").alias("e"))
+    e = e.withColumn("event_index", F.regexp_extract("e", r"_E(\d+)$", 1).cast("int"))
+    return sequence.atom_slices(e).groupBy("atom_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "w5_render",
+    f"""SELECT scene_id, sha256(string_agg(glue || text, '' ORDER BY scene_ord)) AS sha, sum(length(glue || text))::BIGINT AS chars FROM (SELECT *, CASE WHEN scene_ord = 1 THEN '' WHEN kind = 'verse' AND lag(kind) OVER w = 'verse' AND stanza_ids = lag(stanza_ids) OVER w AND source_atom_id = lag(source_atom_id) OVER w THEN chr(10) ELSE chr(10) || chr(10) END AS glue
+    FROM {SQL_SCENE_EVENTS} WINDOW w AS (PARTITION BY scene_id ORDER BY scene_ord)) GROUP BY 1""",
+)
+def w5(spark, root):
+    r = sequence.render(scene_events(spark, root), ["scene_id"], "scene_ord")
+    return r.select("scene_id", sha256(F.col("text")).alias("sha"), F.length("text").cast("bigint").alias("chars"))
+
+
+def _sql_context(before, after):
+    return f"""WITH e AS {SQL_SCENE_EVENTS}, s AS (SELECT scene_id, segment_id, min(scene_ord) AS lo, max(scene_ord) AS hi FROM e WHERE segment_id IS NOT NULL GROUP BY ALL)
+    SELECT s.segment_id, coalesce(string_agg(e.event_id, ',' ORDER BY e.scene_ord) FILTER (e.scene_ord < lo), '') AS context_before, coalesce(string_agg(e.event_id, ',' ORDER BY e.scene_ord) FILTER (e.scene_ord > hi), '') AS context_after
+    FROM s LEFT JOIN e ON e.scene_id = s.scene_id AND (e.scene_ord BETWEEN lo - {before} AND lo - 1 OR e.scene_ord BETWEEN hi + 1 AND hi + {after}) GROUP BY s.scene_id, s.segment_id"""
+
+
+@query("w6_context", _sql_context(18, 12))
+def w6(spark, root):
+    e = scene_events(spark, root)
+    rows = sequence.context(e.withColumn("segment_id", F.concat_ws("|", "scene_id", "segment_id")).where("segment_id is not null"))
+    return rows.select(F.substring_index("segment_id", "|", -1).alias("segment_id"), F.array_join("context_before", ",").alias("context_before"), F.array_join("context_after", ",").alias("context_after"))
+
+
+@query(
+    "w7_ledger",
+    f"""SELECT scene_id, segment_id, max(event_id) FILTER (scene_ord = hi) AS cut_after, array_to_string(list(event_id ORDER BY scene_ord) FILTER (scene_ord > hi - 12), ',') AS last_events
+    FROM (SELECT *, max(scene_ord) OVER (PARTITION BY scene_id, segment_id) AS hi FROM {SQL_SCENE_EVENTS}) WHERE segment_id IS NOT NULL GROUP BY ALL""",
+)
+def w7(spark, root):
+    """The last event of every segment and the last twelve places up to it."""
+    e = scene_events(spark, root).where("segment_id is not null")
+    hi = e.groupBy("scene_id", "segment_id").agg(F.max("scene_ord").alias("hi"), F.max_by("event_id", "scene_ord").alias("cut_after"))
+    near = e.join(hi, ["scene_id", "segment_id"]).where(F.col("scene_ord") > F.col("hi") - 12)
+    return near.groupBy("scene_id", "segment_id").agg(F.first("cut_after").alias("cut_after"), F.array_join(in_order(F.col("event_id"), F.col("scene_ord")), ",").alias("last_events"))
+
+
+@query(
+    "w8_continues",
+    f"SELECT segment_id, (k = 'verse' AND coalesce(same, false)) AS continues FROM (SELECT segment_id, arg_min(kind, scene_ord) AS k, arg_min(coalesce(before = source_atom_id, false), scene_ord) AS same FROM (SELECT *, lag(source_atom_id) OVER (PARTITION BY scene_id ORDER BY scene_ord) AS before FROM {SQL_SCENE_EVENTS}) WHERE segment_id IS NOT NULL GROUP BY 1)",
+)
+def w8(spark, root):
+    return sequence.continues(scene_events(spark, root)).where("segment_id is not null")
+
+
+@query(
+    "w9_latched_speaker",
+    f"""SELECT source_atom_id, count(*) AS changed FROM (SELECT *, max(CASE WHEN contains(text, '(ab)') THEN 1 ELSE 0 END) OVER (PARTITION BY source_atom_id, segment_id, atom_id ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latched FROM {SQL_EVENTS})
+    WHERE latched = 1 AND kind IN ('verse', 'prose') AND NOT contains(text, '(ab)') GROUP BY 1""",
+)
+def w9(spark, root):
+    """Lines spoken in an atom after someone left in it."""
+    e = events(spark, root).drop("source_atom_id").withColumnRenamed("atom_id", "source_atom_id").withColumn("speaker", F.lit("someone"))
+    out = sequence.latch(e, F.contains("text", F.lit("(ab)")), F.lit("offstage"), "speaker").where("speaker = 'offstage'")
+    return out.select(F.regexp_replace("source_atom_id", r"_e\d+-\d+$", "").alias("source_atom_id")).groupBy("source_atom_id").agg(F.count(F.lit(1)).alias("changed"))
+
+
+@query("w10_first_last", f"SELECT segment_id, arg_min(source_xpath, atom_id) AS first, arg_max(source_xpath, atom_id) AS last FROM {sql_atoms('atom_id', 'segment_id', 'source_xpath')} WHERE source_xpath IS NOT NULL GROUP BY 1")
+def w10(spark, root):
+    a = atoms(spark, root, "atom_id", "segment_id", "source_xpath").where("source_xpath is not null")
+    return a.groupBy("segment_id").agg(F.min_by("source_xpath", "atom_id").alias("first"), F.max_by("source_xpath", "atom_id").alias("last"))
+
+
+@query(
+    "w11_bad_cuts",
+    f"SELECT scene_id, event_id, kind = 'speaker' AS after_label, (kind = 'verse' AND next_kind = 'verse' AND next_atom = source_atom_id) AS inside_stanza FROM (SELECT *, lead(kind) OVER w AS next_kind, lead(source_atom_id) OVER w AS next_atom, lead(segment_id) OVER w AS next_segment FROM {SQL_SCENE_EVENTS} WINDOW w AS (PARTITION BY scene_id ORDER BY scene_ord)) WHERE next_segment <> segment_id AND (kind = 'speaker' OR (kind = 'verse' AND next_kind = 'verse' AND next_atom = source_atom_id))",
+)
+def w11(spark, root):
+    w = Window.partitionBy("scene_id").orderBy("scene_ord")
+    e = scene_events(spark, root).select("scene_id", "event_id", "segment_id", "kind", F.lead("segment_id").over(w).alias("next"), F.coalesce((F.col("kind") == "verse") & (F.lead("kind").over(w) == "verse") & (F.lead("source_atom_id").over(w) == F.col("source_atom_id")), F.lit(False)).alias("inside_stanza"))
+    return e.where("next <> segment_id").where("kind = 'speaker' or inside_stanza").select("scene_id", "event_id", (F.col("kind") == "speaker").alias("after_label"), "inside_stanza")
+
+
+@query(
+    "w12_order_equality",
+    f"""WITH a AS (SELECT segment_id, unnest(atom_ids) AS id, generate_subscripts(atom_ids, 1) - 1 AS ord FROM {sql_segments('atom_ids')}), b AS (SELECT segment_id, atom_id AS id, row_number() OVER (PARTITION BY segment_id ORDER BY atom_id) - 1 AS ord FROM {sql_atoms('atom_id', 'segment_id')})
+    SELECT segment_id, ord::INT AS ord, a.id AS left_id, b.id AS right_id FROM a FULL JOIN b USING (segment_id, ord) WHERE a.id IS DISTINCT FROM b.id""",
+)
+def w12(spark, root):
+    a = _ordered_ids(segments(spark, root, "atom_ids"), "segment_id", "atom_ids")
+    w = Window.partitionBy("segment_id").orderBy("atom_id")
+    b = atoms(spark, root, "atom_id", "segment_id").select("segment_id", (F.row_number().over(w) - 1).alias("ord"), F.col("atom_id").alias("id"))
+    return sequence.order_mismatches(a, b, "segment_id")
+
+
+@query(
+    "w13_x2_export_index",
+    f"SELECT split, segment_id, row_number() OVER (PARTITION BY split ORDER BY segment_id) - 1 AS row_index_zero_based, sha256(instruction_de) AS instruction_sha256, sha256(target_text) AS target_text_sha256 FROM (SELECT segment_id, {sql_split()} AS split, instruction_de, target_text FROM {sql_pairs('split', 'instruction_de', 'target_text')})",
+)
+def w13(spark, root):
+    p = pairs(spark, root, "split", "instruction_de", "target_text").withColumn("split", split_name(F.col("split")))
+    return splits.export_index(p)
+
+
+@query(
+    "w14_early_stop",
+    """WITH r AS (SELECT user_id, event_id, ts, value, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    b AS (SELECT *, max(CASE WHEN best IS NULL OR value < best THEN k END) OVER (PARTITION BY user_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS last_better FROM r)
+    SELECT user_id, min(k) FILTER (k - last_better >= 2) AS stop_at, count(*) AS evaluations FROM b GROUP BY 1""",
+)
+def w14(spark, root):
+    """Where a run of evaluations would stop after two without improvement; the event table stands in for a log."""
+    return early_stop(table(spark, root, "events"), "user_id", "value", ["ts", "event_id"], patience=2)
+
+
+# --- overlap
+
+
+def _sql_runs(n, prompts, targets):
+    gram = "array_to_string(w[p:p + {0}], ' ')".format(n - 1)
+    grams = "SELECT {k}, p, {g} AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - {m})) AS p FROM {t})"
+    return f"""ps AS ({prompts}), ts AS ({targets}), pg AS ({grams.format(k='case_id', g=gram, m=n - 2, t='ps')}), tg AS ({grams.format(k='segment_id', g=gram, m=n - 2, t='ts')}),
+    hits AS (SELECT case_id, segment_id, pg.p AS p, tg.p - pg.p AS d FROM pg JOIN tg USING (g)), runs AS (SELECT *, p - row_number() OVER (PARTITION BY case_id, segment_id, d ORDER BY p) AS run FROM hits),
+    found AS (SELECT case_id, segment_id, p - 1 AS pos, p + d - 1 AS target_pos, max(p) OVER (PARTITION BY case_id, segment_id, d, run) - p + {n} AS length FROM runs)"""
+
+
+_PROMPTS = f"SELECT case_id, {LEXICAL.format('instruction_de')} AS w FROM eval_scenes WHERE instruction_de IS NOT NULL"
+_TARGETS = f"SELECT segment_id, {LEXICAL.format('target_text')} AS w FROM {sql_pairs('target_text')} WHERE target_text IS NOT NULL"
+
+
+def _runs(spark, root):
+    e = table(spark, root, "eval_scenes").where("instruction_de is not null")
+    t = pairs(spark, root, "target_text").where("target_text is not null")
+    return e, overlap.matches(e, "case_id", lexical_words(F.col("instruction_de")), t, "segment_id", lexical_words(F.col("target_text")), 4)
+
+
+@query("l1_l2_word_runs", f"WITH {_sql_runs(4, _PROMPTS, _TARGETS)} SELECT case_id, segment_id, pos::INT AS pos, target_pos::INT AS target_pos, length::INT AS length FROM found")
+def l2(spark, root):
+    return _runs(spark, root)[1]
+
+
+@query("l3_a14_gate", f"WITH {_sql_runs(4, _PROMPTS, _TARGETS)} SELECT case_id, coalesce(max(length), 0)::INT AS longest_any, 0 AS longest_own, coalesce(max(length), 0) < 6 AS passes FROM eval_scenes LEFT JOIN found USING (case_id) WHERE instruction_de IS NOT NULL GROUP BY 1")
+def l3(spark, root):
+    e, found = _runs(spark, root)
+    return overlap.longest(e, found, "case_id", "segment_id")
+
+
+@query(
+    "l4_reuse_ratio",
+    f"""WITH g AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM (SELECT doc_id, {OVERLAP.format('text')} AS w FROM documents))),
+    t AS (SELECT DISTINCT array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT w, unnest(range(1, len(w) - 6)) AS p FROM (SELECT {OVERLAP.format('target_text')} AS w FROM {sql_pairs('split', 'target_text')} WHERE {sql_split()} = 'train')))
+    SELECT d.doc_id, count(g.g) AS grams, count(t.g) AS reused, count(t.g) / greatest(1, count(g.g)) AS ratio FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN t ON t.g = g.g GROUP BY 1""",
+)
+def l4(spark, root):
+    pool = pairs(spark, root, "split", "target_text").where(split_name(F.col("split")) == "train")
+    return overlap.reuse(table(spark, root, "documents").select("doc_id", "text"), "doc_id", overlap_words(F.col("text")), pool, overlap_words(F.col("target_text")), 8)
+
+
+_POOL = f"(SELECT segment_id, scene_specification.form_de AS form, target_text AS text FROM {sql_pairs('split', 'scene_specification', 'target_text')} WHERE {sql_split()} = 'train' AND target_text IS NOT NULL)"
+
+
+@query(
+    "l5_reference_pick",
+    f"""SELECT case_id, segment_id FROM (SELECT case_id, segment_id, row_number() OVER (PARTITION BY case_id ORDER BY (form_de IS DISTINCT FROM form)::INT, abs(length(text) - 1500), segment_id) AS k FROM eval_scenes, {_POOL} p) WHERE k = 1""",
+)
+def l5(spark, root):
+    pool = pairs(spark, root, "split", "scene_specification", "target_text").where(split_name(F.col("split")) == "train").select("segment_id", F.col("scene_specification.form_de").alias("form"), F.col("target_text").alias("text"))
+    return overlap.pick_reference(table(spark, root, "eval_scenes").select("case_id", F.col("form_de").alias("form")), pool)
+
+
+# --- encoding
+
+
+def _encoded(spark, root):
+    p = pairs(spark, root, "split", "instruction_de", "target_text").where("trim(instruction_de) <> '' and target_text is not null")
+    ids, mask, labels = encode.masked(encode.code_points(encode.training_prompt(F.col("instruction_de"))), encode.code_points(F.col("target_text")), 0)
+    return p.select("segment_id", split_name(F.col("split")).alias("split"), ids.alias("input_ids"), mask.alias("attention_mask"), labels.alias("labels"))
+
+
+_SQL_ENCODED = f"(SELECT segment_id, {sql_split()} AS split, length(trim(instruction_de, ' ')) + 30 AS prompt, length(target_text) + 1 AS completion FROM {sql_pairs('split', 'instruction_de', 'target_text')} WHERE trim(instruction_de, ' ') <> '' AND target_text IS NOT NULL)"
+
+
+@query("x4_x5_encoded_lengths", f"SELECT segment_id, (prompt + completion)::INT AS total, prompt::INT AS prompt, completion::INT AS completion FROM {_SQL_ENCODED}")
+def x5(spark, root):
+    return encode.lengths(_encoded(spark, root))
+
+
+@query("x6_padding", f"SELECT batch, segment_id, max(prompt + completion) OVER (PARTITION BY batch)::INT AS padded, (prompt + completion)::INT AS attended, completion::INT AS learned FROM (SELECT *, substr(sha256(segment_id), 1, 3) AS batch FROM {_SQL_ENCODED})")
+def x6(spark, root):
+    rows = _encoded(spark, root).withColumn("batch", F.substring(F.sha2("segment_id", 256), 1, 3))
+    p = encode.padded(rows, "batch", 0)
+    return p.select("batch", "segment_id", F.size("input_ids").alias("padded"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attended"), F.size(F.filter("labels", lambda x: x != encode.IGNORED)).alias("learned"))
+
+
+@query("n15_x8_length_budget", f"SELECT least(16384, (ceil(max(prompt + completion) / 64) * 64)::INT) AS budget FROM {_SQL_ENCODED} WHERE split IN ('train', 'validation')")
+def x8(spark, root):
+    rows = _encoded(spark, root).where("split in ('train', 'validation')")
+    return rows.agg(F.max(F.size("input_ids")).alias("m")).select(encode.budget(F.col("m"), 16384).alias("budget"))
+
+
+@query("x9_blind_order", "SELECT case_id, condition, chr(64 + (row_number() OVER (PARTITION BY case_id ORDER BY sha256('7|' || case_id || '|' || condition), condition))::INT) AS label FROM eval_scenes, (SELECT unnest(['base', 'tuned', 'human']) AS condition)")
+def x9(spark, root):
+    c = joins.conditions(table(spark, root, "eval_scenes"), [7], ["base", "tuned", "human"]).select("case_id", "condition")
+    return splits.blind_order(c, "case_id", "condition", "7").select("case_id", "condition", "label")
+
+
+@query("x1_hashed_split", "SELECT split, count(*) AS documents, count(DISTINCT source) AS sources FROM (SELECT source, CASE WHEN b < 'cc' THEN 'train' WHEN b < 'e6' THEN 'validation' ELSE 'test' END AS split FROM (SELECT source, substr(sha256(source), 1, 2) AS b FROM documents WHERE source IS NOT NULL)) GROUP BY 1")
+def x1(spark, root):
+    d = table(spark, root, "documents").where("source is not null").select("source", splits.hashed_split(F.col("source")).alias("split"))
+    return d.groupBy("split").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("source").alias("sources"))
+
+
+# --- sets
+
+
+@query(
+    "sets_speakers",
+    f"""SELECT work_id, count(DISTINCT s) FILTER (a AND b) AS both_splits, count(DISTINCT s) FILTER (a AND NOT b) AS train_only, count(DISTINCT s) FILTER (b AND NOT a) AS other_only FROM (SELECT work_id, s, bool_or(split = 'train') AS a, bool_or(split <> 'train') AS b
+    FROM (SELECT work_id, {sql_split()} AS split, unnest(effective_speakers) AS s FROM partition_atoms WHERE split IS NOT NULL) GROUP BY 1, 2) GROUP BY 1""",
+)
+def sets(spark, root):
+    """Intersection and differences of two sets of speakers for each work."""
+    a = table(spark, root, "partition_atoms").where("split is not null").select("work_id", split_name(F.col("split")).alias("split"), F.explode("effective_speakers").alias("s"))
+    side = lambda c: F.collect_set(F.when(c, F.col("s")))  # noqa: E731  # speakers of a work: as many as it has roles
+    g = a.groupBy("work_id").agg(side(F.col("split") == "train").alias("a"), side(F.col("split") != "train").alias("b"))
+    n = lambda c: F.size(c).cast("bigint")
+    return g.select("work_id", n(F.array_intersect("a", "b")).alias("both_splits"), n(F.array_except("a", "b")).alias("train_only"), n(F.array_except("b", "a")).alias("other_only"))
+
+
+# --- rules
+
+
+def _rules(spark, root):
+    m = table(spark, root, "master_segments")
+    p = table(spark, root, "sft_pairs")
+    a = table(spark, root, "partition_atoms")
+    s = table(spark, root, "scenes")
+    i = table(spark, root, "source_annotations")
+    li, o = table(spark, root, "lineitem"), table(spark, root, "orders")
+    named = m.select("segment_id", "scene_id", split_name(F.col("split")).alias("split"))
+    return [
+        rules.unique("segments_unique", m, "segment_id"),
+        rules.unique("atoms_unique", a, "atom_id"),
+        rules.references("segment_scenes_exist", m, "scene_id", s, "scene_id"),
+        rules.references("issue_atoms_exist", i, "source_atom_id", a, "source_atom_id"),
+        rules.references("lineitem_orders_exist", li, "l_orderkey", o, "o_orderkey"),
+        rules.same_keys("pairs_match_segments", m.where("segment_id is not null"), p.where("segment_id is not null"), "segment_id"),
+        rules.derived("target_hashes", m, "segment_id", "target_text_sha256", F.sha2("target_text", 256)),
+        rules.derived("character_counts", m, "segment_id", "character_count", F.length("target_text")),
+        rules.one_split("scenes_in_one_split", named, "scene_id", "split"),
+        rules.constant("known_splits", m, "segment_id", "split", "train", "validation", "test"),
+        rules.constant("no_verse_numbers", m, "segment_id", "source_verse_number_status", "absent_in_source"),
+        rules.pattern("no_han_in_instructions", p, "segment_id", "instruction_de", r"[\x{3400}-\x{9fff}]", present=False),
+        rules.pattern("descriptions_have_han", p, "segment_id", "description_zh", r"[\x{3400}-\x{9fff}]", present=True),
+        rules.holds("beats_count", "constant", p, "segment_id", F.size("scene_specification.beats_de").between(3, 9)),
+        rules.holds("positive_quantity", "constant", li, "l_orderkey", F.col("l_quantity") > 0),
+        rules.ordered("atom_order", lambda: w12(spark, root), "segment_id"),
+        rules.equal_totals("events_conserved", segments(spark, root, "event_ids"), F.size("event_ids"), atoms(spark, root, "atom_id", "event_ids"), F.size("event_ids")),
+    ]
+
+
+def _sql_rules() -> dict[str, tuple[str, str]]:
+    named = f"(SELECT segment_id, scene_id, {sql_split()} AS split FROM master_segments)"
+    order = "SELECT DISTINCT segment_id AS key FROM (" + REGISTRY["w12_order_equality"][1] + ")"
+    totals = REGISTRY["a13_conserved_totals"][1]
+    return {
+        "segments_unique": ("unique", "SELECT segment_id AS key FROM master_segments GROUP BY 1 HAVING count(*) > 1"),
+        "atoms_unique": ("unique", "SELECT atom_id AS key FROM partition_atoms GROUP BY 1 HAVING count(*) > 1"),
+        "segment_scenes_exist": ("reference", "SELECT DISTINCT scene_id AS key FROM master_segments WHERE scene_id NOT IN (SELECT scene_id FROM scenes WHERE scene_id IS NOT NULL)"),
+        "issue_atoms_exist": ("reference", "SELECT DISTINCT source_atom_id AS key FROM source_annotations WHERE source_atom_id NOT IN (SELECT source_atom_id FROM partition_atoms WHERE source_atom_id IS NOT NULL)"),
+        "lineitem_orders_exist": ("reference", "SELECT DISTINCT l_orderkey::VARCHAR AS key FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)"),
+        "pairs_match_segments": ("reference", "SELECT segment_id AS key FROM (" + REGISTRY["j1_lonely_keys"][1] + ")"),
+        "target_hashes": ("derived", "SELECT segment_id AS key FROM master_segments WHERE target_text_sha256 IS DISTINCT FROM sha256(target_text)"),
+        "character_counts": ("derived", "SELECT segment_id AS key FROM master_segments WHERE character_count IS DISTINCT FROM length(target_text)"),
+        "scenes_in_one_split": ("leakage", f"SELECT scene_id AS key FROM {named} WHERE scene_id IS NOT NULL AND split IS NOT NULL GROUP BY 1 HAVING min(split) <> max(split)"),
+        "known_splits": ("constant", "SELECT segment_id AS key FROM master_segments WHERE split IS NULL OR split NOT IN ('train', 'validation', 'test')"),
+        "no_verse_numbers": ("constant", "SELECT segment_id AS key FROM master_segments WHERE source_verse_number_status IS DISTINCT FROM 'absent_in_source'"),
+        "no_han_in_instructions": ("pattern", "SELECT segment_id AS key FROM sft_pairs WHERE regexp_matches(instruction_de, '[\\x{3400}-\\x{9fff}]')"),
+        "descriptions_have_han": ("pattern", "SELECT segment_id AS key FROM sft_pairs WHERE NOT coalesce(regexp_matches(description_zh, '[\\x{3400}-\\x{9fff}]'), false)"),
+        "beats_count": ("constant", "SELECT segment_id AS key FROM sft_pairs WHERE NOT coalesce(len(scene_specification.beats_de) BETWEEN 3 AND 9, false)"),
+        "positive_quantity": ("constant", "SELECT l_orderkey::VARCHAR AS key FROM lineitem WHERE NOT coalesce(l_quantity > 0, false)"),
+        "atom_order": ("order", order),
+        "events_conserved": ("total", f"SELECT in_segments::VARCHAR AS key FROM ({totals}) WHERE in_segments <> in_atoms"),
+    }
+
+
+_RULES = _sql_rules()
+
+
+@query("rules_audit", " UNION ALL ".join(f"SELECT '{n}' AS \"check\", '{k}' AS type, count(*) = 0 AS passed, count(*) AS violations FROM ({q})" for n, (k, q) in _RULES.items()))
+def audit(spark, root):
+    return rules.audit(_rules(spark, root))
+
+
+@query("rules_violations", " UNION ALL ".join(f"SELECT '{n}' AS \"check\", '{k}' AS type, coalesce(key, 'null') AS key FROM ({q})" for n, (k, q) in _RULES.items()))
+def violations(spark, root):
+    return rules.violations(_rules(spark, root))
