@@ -1,15 +1,17 @@
 """Problem 3: long spans standing word for word in more than one record.
 
 Every window of ``k`` tokens has a minimiser, the smallest hash of its runs of ``m`` tokens. Consecutive windows with
-the same minimiser travel as one packed string (k + windows - 1 tokens) under that minimiser, which decides the bucket:
-equal windows have equal minimisers and meet. Minimisers seen in one text only can't hold a shared window and are
-dropped before a window is unpacked; the windows of the rest are grouped by their text, so that counts are exact and
-depend on no hash.
-
-Skew: records with the same tokens are one text (class) whose members are expanded at the end; minimisers and windows
-are counted with partial aggregation; the packed strings meet the live minimisers in a join that Spark may split by
-rows; of all windows standing in the same set of texts only one goes into the join that makes pairs (sets are told by
-count, least and greatest key and a 64-bit sum), so a long shared span makes a pair once and not once a window.
+the same minimiser travel as one packed string (k + windows - 1 tokens) to the bucket of that minimiser: equal windows
+have equal minimisers and meet. In its bucket a minimiser that only one text has is dropped; the windows of the others
+are unpacked and sorted by a 128-bit hash of their tokens, which counts them exactly. The packed strings are shuffled
+once, and everything in the bucket happens where it arrives.
+
+Skew: records with the same tokens are one text; a task sends a text once, and the records are expanded at the end.
+Minimisers that hold more than ``hot`` of all packed strings (fewer than 1/hot, found exactly by adding up counts of the
+batches where they are frequent) have no bucket: their windows are counted one by one with partial aggregation and meet
+their counts in a join that Spark may split. Of all windows standing in the same set of texts only one goes into the
+join that makes pairs (sets are told by count, least and greatest key and a 64-bit sum), so that a long shared span
+makes a pair once and not once a window.
 
 Defined results: a null or blank field has no tokens; a field under ``k`` tokens has no window; both fields of one
 record may hold the span, which makes no pair and no share for that record alone; a record delivered repeatedly counts
@@ -28,18 +30,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
-from .text import Rolling, TokenHashes, body, slices, text_key, tokens
+from .text import Rolling, TokenHashes, body, mix, slices, text_key, tokens
 
 
 @dataclass(frozen=True)
 class Params:
-    """k: tokens of a window, the least length of a shared span; m: tokens of the runs minimisers are taken from."""
+    """k: tokens of a window, the least length of a shared span; m: tokens of the runs minimisers are taken from; hot:
+    share of all packed strings from which a minimiser is handled without a bucket."""
 
     k: int = 16
     m: int = 5
-
-
-_PACKED = "segment_id string, field int, text_key binary, n_tokens int, minimiser bigint, start int, windows int, packed string"
+    hot: float = 0.001
 
 
 def _super_windows(h: np.ndarray, off: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,62 +62,148 @@ def _super_windows(h: np.ndarray, off: np.ndarray, p: Params) -> tuple[np.ndarra
     return view.min(1)[begins].view(np.int64), begins, count
 
 
-def packed(df: DataFrame, p: Params) -> DataFrame:
-    """The packed strings of both fields; a row without minimiser for a field that is too short for a window."""
+def _fields(b: pa.RecordBatch, p: Params) -> tuple[list[list[str]], list[str], list[int]]:
+    """Tokens, segment_id and field of both fields of a batch, where they are long enough."""
+    lists, owner, field = [], [], []
+    ids = b.column("segment_id").to_pylist()
+    for f, column in enumerate(("target_text", "instruction_de")):
+        for i, x in zip(ids, b.column(column).to_pylist()):
+            t = tokens(body(x) if f else x)
+            if len(t) >= p.k:
+                lists.append(t)
+                owner.append(i)
+                field.append(f)
+    return lists, owner, field
+
+
+def _read(df: DataFrame) -> DataFrame:
+    return df.select("segment_id", "target_text", "instruction_de").where("segment_id is not null")
+
+
+def members(df: DataFrame, p: Params) -> tuple[DataFrame, list[int]]:
+    """(text_key, segment_id, field, n_tokens of all fields long enough; the hot minimisers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TokenHashes()
         for b in slices(batches):
-            ids = b.column("segment_id").to_pylist()
-            lists, owner, field = [], [], []
-            for f, column in enumerate(("target_text", "instruction_de")):
-                for i, x in zip(ids, b.column(column).to_pylist()):
-                    t = tokens(body(x) if f else x)
-                    if len(t) >= p.k:
-                        lists.append(t)
-                        owner.append(i)
-                        field.append(f)
+            lists, owner, field = _fields(b, p)
+            least, _, _ = _super_windows(*hashes.of(lists), p)
+            value, count = np.unique(least, return_counts=True)
+            often = count >= max(1, p.hot / 2 * len(least))
+            hot = [{"minimiser": int(v), "n": int(n)} for v, n in zip(value[often], count[often])] if len(lists) else []
+            n = len(lists)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([text_key(x) for x in lists], pa.binary()), pa.array(owner, pa.string()), pa.array(field, pa.int32()), pa.array([len(x) for x in lists], pa.int32())]
+                + [pa.array([len(least), *[0] * (n - 1)][:n], pa.int64()), pa.array([hot, *[[]] * (n - 1)][:n], pa.list_(pa.struct([("minimiser", pa.int64()), ("n", pa.int64())])))],
+                names=["text_key", "segment_id", "field", "n_tokens", "strings", "hot"],
+            )
+
+    schema = "text_key binary, segment_id string, field int, n_tokens int, strings bigint, hot array<struct<minimiser:bigint,n:bigint>>"
+    rows = materialise(_read(df).mapInArrow(run, schema), "p3-members")
+    total = rows.agg(F.sum("strings")).first()[0] or 0
+    # what holds more than ``hot`` of all has at least half of that in batches where it holds more than half of ``hot``
+    hot = rows.select(F.explode("hot").alias("h")).groupBy("h.minimiser").agg(F.sum("h.n").alias("n")).where(F.col("n") >= max(2, p.hot / 2 * total))
+    found = [r["minimiser"] for r in hot.collect()]  # fewer than 2/hot
+    return rows.select("text_key", "segment_id", "field", "n_tokens").distinct(), found
+
+
+def packed(df: DataFrame, p: Params, hot: list[int]) -> DataFrame:
+    """text_key, bucket, start, windows, packed: the packed strings of all texts, without those of hot minimisers."""
+    leave = np.array(sorted(hot), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sent = TokenHashes(), _Sent()
+        for b in slices(batches):
+            lists = [x for x in _fields(b, p)[0]]
+            keys = [text_key(x) for x in lists]
+            fresh = [k for k, x in enumerate(keys) if sent.new(x)]
+            lists, keys = [lists[k] for k in fresh], [keys[k] for k in fresh]
             h, off = hashes.of(lists)
             least, begins, count = _super_windows(h, off, p)
-            rec = (np.searchsorted(off, begins, "right") - 1).tolist()
-            start = (begins - off[rec]).tolist() if len(rec) else []
+            keep = ~np.isin(least, leave)
+            least, begins, count = least[keep], begins[keep], count[keep]
+            rec = np.searchsorted(off, begins, "right") - 1
+            start = begins - off[rec]
+            text = [" ".join(lists[r][s : s + c + p.k - 1]) for r, s, c in zip(rec.tolist(), start.tolist(), count.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()).take(pa.array(rec)), pa.array(least), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(text, pa.string())],
+                names=["text_key", "bucket", "start", "windows", "packed"],
+            )
+
+    return _read(df).mapInArrow(run, "text_key binary, bucket bigint, start int, windows int, packed string")
+
+
+def _hot_windows(df: DataFrame, p: Params, hot: list[int]) -> DataFrame:
+    """h1, h2, text_key, pos of the windows whose minimiser is hot."""
+    only = np.array(sorted(hot), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sent = TokenHashes(), _Sent()
+        for b in slices(batches):
+            lists = _fields(b, p)[0]
             keys = [text_key(x) for x in lists]
-            text = [" ".join(lists[r][s : s + c + p.k - 1]) for r, s, c in zip(rec, start, count.tolist())]
-            at = pa.array(rec, pa.int64())
+            fresh = [k for k, x in enumerate(keys) if sent.new(x)]
+            lists, keys = [lists[k] for k in fresh], [keys[k] for k in fresh]
+            h, off = hashes.of(lists)
+            least, begins, count = _super_windows(h, off, p)
+            keep = np.isin(least, only)
+            begins, count = begins[keep], count[keep].astype(np.int64)
+            at = np.repeat(begins, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            one, two = Rolling(h).run(at, at + p.k), Rolling(mix(h)).run(at, at + p.k)
+            rec = np.searchsorted(off, at, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(owner, pa.string()).take(at), pa.array(field, pa.int32()).take(at), pa.array(keys, pa.binary()).take(at), pa.array([len(x) for x in lists], pa.int32()).take(at)]
-                + [pa.array(least, pa.int64()), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(text, pa.string())],
-                names=["segment_id", "field", "text_key", "n_tokens", "minimiser", "start", "windows", "packed"],
+                [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(rec)), pa.array((at - off[rec]).astype(np.int32))], names=["h1", "h2", "text_key", "pos"]
             )
 
-    return df.select("segment_id", "target_text", "instruction_de").where("segment_id is not null").mapInArrow(run, _PACKED)
+    return _read(df).mapInArrow(run, "h1 bigint, h2 bigint, text_key binary, pos int")
+
+
+class _Sent:
+    """Texts a task has sent already. Forgets all when it is full: a text may then be sent again, which changes nothing."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.keys: set[bytes] = set()
+        self.most = most
+
+    def new(self, key: bytes) -> bool:
+        if key in self.keys:
+            return False
+        if len(self.keys) >= self.most:
+            self.keys.clear()
+        self.keys.add(key)
+        return True
 
 
 def shared_windows(df: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """(members, windows). members: text_key, segment_id, field, n_tokens of all fields long enough; windows: win, text_key,
-    pos of all windows that stand in two or more texts."""
-    rows = materialise(packed(df, p), "p3-packed")
-    members = rows.where("start = 0").select("text_key", "segment_id", "field", "n_tokens").distinct()
-    live = rows.groupBy("minimiser").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("minimiser")
-    near = rows.select("minimiser", "text_key", "start", "windows", "packed").join(live, "minimiser")
-    near = near.groupBy("text_key", "start").agg(F.first("windows").alias("windows"), F.first("packed").alias("packed"))
-    cut = F.expr(f"transform(sequence(0, windows - 1), i -> struct(start + i as pos, array_join(slice(split(packed, ' '), i + 1, {p.k}), ' ') as win))")
-    windows = near.select("text_key", F.explode(cut).alias("w")).select("text_key", "w.pos", "w.win")
-    windows = materialise(windows, "p3-windows")
-    twice = windows.groupBy("win").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("win")
-    return members, windows.join(twice, "win").select("win", "text_key", "pos")
+    """(members, windows). windows: win, text_key, pos of all windows that stand in two or more texts."""
+    mine, hot = members(df, p)
+    bucket = Window.partitionBy("bucket")
+    rows = packed(df, p, hot).repartition("bucket")
+    rows = rows.withColumn("a", F.min("text_key").over(bucket)).withColumn("b", F.max("text_key").over(bucket)).where("a <> b")
+    window = f"slice(split(packed, ' '), i + 1, {p.k})"
+    unpack = F.expr(f"transform(sequence(0, windows - 1), i -> struct(start + i as pos, xxhash64({window}) as h1, xxhash64(1, {window}) as h2))")
+    rows = rows.select("bucket", "text_key", F.explode(unpack).alias("w")).select("bucket", "text_key", "w.h1", "w.h2", "w.pos")
+    same = Window.partitionBy("bucket", "h1", "h2")
+    rows = rows.withColumn("a", F.min("text_key").over(same)).withColumn("b", F.max("text_key").over(same)).where("a <> b")
+    windows = rows.select(F.struct("h1", "h2", F.lit(False).alias("hot")).alias("win"), "text_key", "pos")
+    if hot:
+        h = _hot_windows(df, p, hot)
+        twice = h.groupBy("h1", "h2").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("h1", "h2")
+        windows = windows.union(h.join(twice, ["h1", "h2"]).select(F.struct("h1", "h2", F.lit(True).alias("hot")).alias("win"), "text_key", "pos"))
+    return mine, materialise(windows, "p3-windows")
 
 
 def found_pairs(df: DataFrame, p: Params = Params()) -> DataFrame:
     """segment_id_a, segment_id_b: record pairs that share a window, the smaller id first."""
-    members, windows = shared_windows(df, p)
+    mine, windows = shared_windows(df, p)
+    mine = materialise(mine, "p3-texts")
     held = materialise(windows.groupBy("win", "text_key").agg(F.min("pos").alias("pos")), "p3-shared")
     sets = held.groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.sum(F.shiftright(F.xxhash64("text_key"), 24)).alias("sum"))
     chosen = sets.groupBy("n", "a", "b", "sum").agg(F.min("win").alias("win")).select("win")
     rep = held.join(chosen, "win").select("win", "text_key")
     pairs = rep.withColumnRenamed("text_key", "ka").join(rep.withColumnRenamed("text_key", "kb"), "win").where("ka < kb").select("ka", "kb").distinct()
-    copies = members.groupBy("text_key").agg(F.min("segment_id").alias("a"), F.max("segment_id").alias("b")).where("a <> b").select(F.col("text_key").alias("ka"), F.col("text_key").alias("kb"))
-    a, b = (members.select(F.col("text_key").alias(f"k{x}"), F.col("segment_id").alias(x)) for x in "ab")
+    copies = mine.groupBy("text_key").agg(F.min("segment_id").alias("a"), F.max("segment_id").alias("b")).where("a <> b").select(F.col("text_key").alias("ka"), F.col("text_key").alias("kb"))
+    a, b = (mine.select(F.col("text_key").alias(f"k{x}"), F.col("segment_id").alias(x)) for x in "ab")
     both = pairs.union(copies).join(a, "ka").join(b, "kb").where("a <> b")
     return both.select(F.least("a", "b").alias("segment_id_a"), F.greatest("a", "b").alias("segment_id_b")).distinct()
 
@@ -124,14 +211,15 @@ def found_pairs(df: DataFrame, p: Params = Params()) -> DataFrame:
 def coverage(df: DataFrame, p: Params = Params()) -> DataFrame:
     """segment_id, field, n_tokens, shared_tokens, share: tokens of the field that lie in a span of at least ``k`` tokens
     that another record holds too; a row for each field of at least ``k`` tokens."""
-    members, windows = shared_windows(df, p)
-    owners = members.groupBy("text_key").agg(F.min("segment_id").alias("a"), F.max("segment_id").alias("b"))
+    mine, windows = shared_windows(df, p)
+    mine = materialise(mine, "p3-texts")
+    owners = mine.groupBy("text_key").agg(F.min("segment_id").alias("a"), F.max("segment_id").alias("b"))
     whole = owners.where("a <> b").select("text_key", F.lit(True).alias("copied"))
     # a window counts where two different records hold it: one record alone may hold it in both its fields
     spread = windows.join(owners, "text_key").groupBy("win").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("win")
     order = Window.partitionBy("text_key").orderBy("pos")
     step = F.least(F.lit(p.k), F.coalesce(F.lead("pos").over(order) - F.col("pos"), F.lit(p.k)))
     covered = windows.join(spread, "win").select("text_key", "pos").distinct().withColumn("step", step).groupBy("text_key").agg(F.sum("step").alias("covered"))
-    rows = members.join(whole, "text_key", "left").join(covered, "text_key", "left")
+    rows = mine.join(whole, "text_key", "left").join(covered, "text_key", "left")
     shared = F.when(F.col("copied"), F.col("n_tokens")).otherwise(F.coalesce("covered", F.lit(0))).cast("int")
     return rows.select("segment_id", F.when(F.col("field") == 0, "target_text").otherwise("instruction_de").alias("field"), "n_tokens", shared.alias("shared_tokens"), (shared / F.col("n_tokens")).alias("share"))
