@@ -94,7 +94,8 @@ def torn(df: DataFrame) -> DataFrame:
 
 def place(units: list[tuple[str, int, dict]], need: dict, need_all: list[float]) -> dict[str, int]:
     """Split number of each (unit, size, label → count). need: label → what each split still wants of it; need_all: of all
-    records. Both are used up. Ties: the split wanting most records, then the first; units by falling count, size, name."""
+    records. Both are used up. Only splits with room for half of the unit are asked; where none has it, the one wanting
+    most records takes it. Ties: the split wanting most records, then the first; units by falling count, size, name."""
     having: dict = {}
     for k, (_, _, labels) in enumerate(units):
         for label in labels:
@@ -104,7 +105,9 @@ def place(units: list[tuple[str, int, dict]], need: dict, need_all: list[float])
 
     def put(k: int, wants: list[float]) -> None:
         name, size, labels = units[k]
-        to = max(range(len(need_all)), key=lambda s: (wants[s], need_all[s], -s))
+        # the shares of all records come before those of a label: a split that is full takes nothing more
+        fits = [s for s in range(len(need_all)) if 2 * need_all[s] >= size]
+        to = max(fits, key=lambda s: (wants[s], need_all[s], -s)) if fits else max(range(len(need_all)), key=lambda s: (need_all[s], -s))
         out[name] = to
         need_all[to] -= size
         for label, n in labels.items():
