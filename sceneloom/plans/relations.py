@@ -341,7 +341,7 @@ def _encoded(spark, root):
     return p.select("segment_id", split_name(F.col("split")).alias("split"), ids.alias("input_ids"), mask.alias("attention_mask"), labels.alias("labels"))
 
 
-_SQL_ENCODED = f"(SELECT segment_id, {sql_split()} AS split, length(trim(instruction_de, ' ')) + 30 AS prompt, length(target_text) + 1 AS completion FROM {sql_pairs('split', 'instruction_de', 'target_text')} WHERE trim(instruction_de, ' ') <> '' AND target_text IS NOT NULL)"
+_SQL_ENCODED = f"(SELECT segment_id, {sql_split()} AS split, length(trim(instruction_de, ' ')) + 29 AS prompt, length(target_text) + 1 AS completion FROM {sql_pairs('split', 'instruction_de', 'target_text')} WHERE trim(instruction_de, ' ') <> '' AND target_text IS NOT NULL)"
 
 
 @query("x4_x5_encoded_lengths", f"SELECT segment_id, (prompt + completion)::INT AS total, prompt::INT AS prompt, completion::INT AS completion FROM {_SQL_ENCODED}")
