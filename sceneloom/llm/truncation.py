@@ -8,7 +8,7 @@ lengths are significant at a false discovery rate over all tests of all sources
 
 A text is cut if its ending is incomplete. An ending is complete with a sentence's final mark and what may close behind
 it, a bracketed direction, a line of signs only, a dash signature, a known closing formula, or a last line on which an
-unusual share of all texts ends, as sign-offs, headings and lists do. A mark of omission behind an unfinished sentence
+unusual share of all texts ends that are at no significant length, as sign-offs, headings and lists do. A mark of omission behind an unfinished sentence
 can be style, so that such a text is cut only at a significant length; so is every copy of it in another source.
 
 Scale: texts are read once and leave a narrow row each; counts by source and length are aggregated before windows see
@@ -135,10 +135,12 @@ def at_limits(rows: DataFrame, p: Params) -> DataFrame:
 def judged(df: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, source, ending, cut, reason (field limit, unfinished; null if not cut)."""
     rows = materialise(endings(df, p), "p7-endings")
-    limit = at_limits(rows, p).select("doc_id", F.lit(True).alias("limit"))
+    limit = materialise(at_limits(rows, p).select("doc_id", F.lit(True).alias("limit")), "p7-limits")
     texts = max(1, rows.where("ending is not null").count())
     least = max(p.closing_least, p.closing_share * texts)
-    lines = rows.where("line is not null").groupBy("line").agg(F.count_distinct("key_a", "key_b").alias("texts")).where(F.col("texts") >= least).select("line", F.lit(True).alias("closing"))
+    # the first words of a sentence recur as last lines where a limit cuts often, so texts at a limit are no evidence
+    free = rows.where("line is not null").join(limit.select("doc_id"), "doc_id", "left_anti")
+    lines = free.groupBy("line").agg(F.count_distinct("key_a", "key_b").alias("texts")).where(F.col("texts") >= least).select("line", F.lit(True).alias("closing"))
     open_ = rows.where("ending in ('bare', 'marked')").join(limit, "doc_id", "left").join(lines, "line", "left")
     open_ = materialise(open_.select("doc_id", "ending", "key_a", "key_b", F.coalesce("limit", F.lit(False)).alias("limit"), F.coalesce("closing", F.lit(False)).alias("closing")), "p7-open")
     copied = open_.where("ending = 'marked' and limit").select("key_a", "key_b", F.lit(True).alias("copied")).distinct()
