@@ -38,9 +38,9 @@ def resolve_anchors(cuts: DataFrame, events: DataFrame) -> DataFrame:
     atoms = e.groupBy("scene_id", "atom_number").agg(
         F.max("i").alias("last"), F.max_by("kind", "i").alias("last_kind"), F.max(F.when(F.col("kind").isin("verse", "prose"), F.col("i"))).alias("spoken")
     )
-    c = cuts.select("scene_id", "marker", F.regexp_extract("marker", r"^(\d+)", 1).cast("int").alias("atom_number"), F.regexp_extract("marker", r"^\d+(?:@(\d+)|([!^]))?$", 1).alias("at"), F.regexp_extract("marker", r"([!^])$", 1).alias("sign"))
+    c = cuts.select("scene_id", "marker", F.regexp_extract("marker", r"^(\d+)", 1).try_cast("int").alias("atom_number"), F.regexp_extract("marker", r"^\d+(?:@(\d+)|([!^]))?$", 1).alias("at"), F.regexp_extract("marker", r"([!^])$", 1).alias("sign"))
     c = c.join(atoms, ["scene_id", "atom_number"], "left")
-    i = F.when(F.col("at") != "", F.col("at").cast("int")).when((F.col("sign") == "!") & (F.col("last_kind") == "stage"), F.col("last") - 1).when(F.col("sign") == "^", F.col("spoken")).when(F.col("sign") == "", F.col("last"))
+    i = F.when(F.col("at") != "", F.col("at").try_cast("int")).when((F.col("sign") == "!") & (F.col("last_kind") == "stage"), F.col("last") - 1).when(F.col("sign") == "^", F.col("spoken")).when(F.col("sign") == "", F.col("last"))
     c = c.withColumn("i", i).join(e.select("scene_id", "atom_number", "i", "event_id", "scene_ord"), ["scene_id", "atom_number", "i"], "left")
     ok = F.when(F.col("event_id").isNull(), F.raise_error(F.concat(F.lit("no event for cut "), "scene_id", F.lit(" "), "marker"))).otherwise(F.col("event_id"))
     return c.select("scene_id", "marker", ok.alias("event_id"), F.col("scene_ord").alias("stop"))
