@@ -9,13 +9,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
+
+def _worded(df: DataFrame, key: str, words: Column) -> DataFrame:
+    """key, w. Finding words costs more than moving texts, so a few files are spread over the cores first."""
+    needed = [c for c in df.columns if c == key or df.schema[c].dataType.simpleString() == "string"]
+    return spread(df.select(*needed)).select(key, words.alias("w"))
+
 
 def windows(df: DataFrame, key: str, words: Column, n: int) -> DataFrame:
-    """key, pos, h, gram: every window of n words, with its position from 0. Texts under n words have none."""
-    rows = df.select(key, words.alias("w")).where(F.size("w") >= n)
-    at = F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("pos")
-    rows = rows.select(key, "w", at).select(key, "pos", F.slice("w", F.col("pos") + 1, n).alias("gram"))
-    return rows.select(key, "pos", F.xxhash64("gram").alias("h"), "gram")
+    """key, pos, h, gram: every window of n words, with its position from 0. Texts under n words have none.
+
+    The windows are made inside one array and exploded as a whole: to explode positions and slice afterwards would copy
+    the text's words into every row.
+    """
+    rows = _worded(df, key, words)
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("pos"), F.slice("w", i + 1, n).alias("gram")))
+    grams = F.when(F.size("w") >= n, grams)  # not a filter: one would be pushed below the words and find them twice
+    return rows.select(key, F.explode(grams).alias("x")).select(key, "x.pos", F.xxhash64("x.gram").alias("h"), "x.gram")
+
+
+def hashed_windows(df: DataFrame, key: str, words: Column, n: int) -> DataFrame:
+    """key, h1, h2: the distinct windows of n words as 128-bit hashes."""
+    rows = _worded(df, key, words)
+    gram = lambda i: F.slice("w", i + 1, n)
+    grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.xxhash64(gram(i)).alias("h1"), F.xxhash64(F.lit(1), gram(i)).alias("h2")))
+    return rows.select(key, F.explode(F.when(F.size("w") >= n, grams)).alias("x")).select(key, "x.h1", "x.h2").distinct()
 
 
 def matches(prompts: DataFrame, prompt_key: str, prompt_words: Column, targets: DataFrame, target_key: str, target_words: Column, n: int = 4) -> DataFrame:
@@ -39,11 +59,12 @@ def longest(prompts: DataFrame, found: DataFrame, prompt_key: str, target_key: s
 
 
 def reuse(texts: DataFrame, key: str, words: Column, pool: DataFrame, pool_words: Column, n: int = 8) -> DataFrame:
-    """key, grams, reused, ratio: distinct windows of each text and how many of them the pool holds; 0 without windows."""
-    own = windows(texts, key, words, n).select(key, "h", "gram").distinct()
-    known = windows(pool.withColumn("_pool", F.lit(0)), "_pool", pool_words, n).select("h", "gram", F.lit(1).alias("hit")).distinct()
-    counts = own.join(known, ["h", "gram"], "left").groupBy(key).agg(F.count(F.lit(1)).alias("grams"), F.count("hit").alias("reused"))
-    rows = texts.select(key).distinct().join(counts, key, "left")
+    """key, grams, reused, ratio: distinct windows of each text and how many of them the pool holds; 0 without windows. A
+    key is a row of its own; windows are told apart by a 128-bit hash, so that two numbers travel and not eight words."""
+    own = hashed_windows(texts, key, words, n)
+    known = hashed_windows(pool.withColumn("_pool", F.lit(0)), "_pool", pool_words, n).select("h1", "h2", F.lit(1).alias("hit")).distinct()
+    counts = own.join(known, ["h1", "h2"], "left").groupBy(key).agg(F.count(F.lit(1)).alias("grams"), F.count("hit").alias("reused"))
+    rows = texts.select(key).join(counts, key, "left")
     n_, r = F.coalesce("grams", F.lit(0)), F.coalesce("reused", F.lit(0))
     return rows.select(key, n_.alias("grams"), r.alias("reused"), (r / F.greatest(n_, F.lit(1))).alias("ratio"))
 

@@ -23,3 +23,10 @@ def local_session(cores: int | str = "*", app: str = "sceneloom", **conf: str) -
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table ``name`` below ``root``."""
     return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores. Only an input of fewer files than cores is shuffled for it;
+    a large input has more partitions and comes back as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
