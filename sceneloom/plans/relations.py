@@ -183,6 +183,33 @@ def w5(spark, root):
     return r.select("scene_id", sha256(F.col("text")).alias("sha"), F.length("text").cast("bigint").alias("chars"))
 
 
+@query(
+    "w5b_render_parser_form",
+    f"""SELECT atom_id, sha256(string_agg(glue || text, '' ORDER BY event_index)) AS sha FROM (SELECT *, CASE WHEN row_number() OVER w = 1 THEN '' WHEN kind = 'verse' AND lag(kind) OVER w = 'verse' AND stanza_ids = lag(stanza_ids) OVER w THEN chr(10) ELSE chr(10) || chr(10) END AS glue
+    FROM {SQL_EVENTS} WINDOW w AS (PARTITION BY atom_id ORDER BY event_index)) GROUP BY 1""",
+)
+def w5b(spark, root):
+    """The text of each atom by the rule that doesn't look at the source atom."""
+    return sequence.render(events(spark, root), ["atom_id"], "event_index", across_atoms=True).select("atom_id", sha256(F.col("text")).alias("sha"))
+
+
+@query(
+    "filters_predicates",
+    f"""SELECT work_id, count(*) AS atoms, count(*) FILTER (starts_with(source_xpath, '/t:TEI/t:text[1]/t:body[1]')) AS in_body, count(*) FILTER (split IS NULL) AS unsplit, count(*) FILTER (len([e FOR e IN event_ids IF contains(e, '_E0001')]) > 0) AS with_first,
+    count(*) FILTER (len([s FOR s IN effective_speakers IF length(s) > 6]) = len(effective_speakers)) AS long_names FROM {sql_atoms('atom_id', 'work_id', 'source_xpath', 'split', 'event_ids', 'effective_speakers')} GROUP BY 1""",
+)
+def filters(spark, root):
+    """Prefix, null, any and all predicates over atoms."""
+    a = atoms(spark, root, "atom_id", "work_id", "source_xpath", "split", "event_ids", "effective_speakers")
+    return a.groupBy("work_id").agg(
+        F.count(F.lit(1)).alias("atoms"),
+        F.count_if(F.col("source_xpath").startswith("/t:TEI/t:text[1]/t:body[1]")).alias("in_body"),
+        F.count_if(F.col("split").isNull()).alias("unsplit"),
+        F.count_if(F.exists("event_ids", lambda e: F.contains(e, F.lit("_E0001")))).alias("with_first"),
+        F.count_if(F.forall("effective_speakers", lambda s: F.length(s) > 6)).alias("long_names"),
+    )
+
+
 def _sql_context(before, after):
     return f"""WITH e AS {SQL_SCENE_EVENTS}, s AS (SELECT scene_id, segment_id, min(scene_ord) AS lo, max(scene_ord) AS hi FROM e WHERE segment_id IS NOT NULL GROUP BY ALL)
     SELECT s.segment_id, coalesce(string_agg(e.event_id, ',' ORDER BY e.scene_ord) FILTER (e.scene_ord < lo), '') AS context_before, coalesce(string_agg(e.event_id, ',' ORDER BY e.scene_ord) FILTER (e.scene_ord > hi), '') AS context_after
