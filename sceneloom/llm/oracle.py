@@ -44,6 +44,21 @@ named AS (SELECT u, min(g) AS unit_id FROM rows JOIN units USING (segment_id) GR
 SELECT segment_id, unit_id FROM units JOIN torn USING (u) LEFT JOIN named USING (u)
 """
 
+# CR LF becomes two characters of which one is a line end, so that lengths stay and no line end is counted twice
+_S = r"[ \t\n\x{00A0}\x{E000}]"
+
+
+def _longest(units: str) -> str:
+    return f"list_max([length(regexp_replace(u, '^{_S}+|{_S}+$', '', 'g')) FOR u IN {units}])"
+
+
+_P4 = rf"""
+WITH big AS (SELECT DISTINCT segment_id, replace(replace(target_text, chr(13) || chr(10), chr(57344) || chr(10)), chr(13), chr(10)) AS t FROM master_segments WHERE length(target_text) > 2400 AND segment_id IS NOT NULL),
+units AS (SELECT segment_id, {_longest(r"regexp_split_to_array(t, '\n([ \t\x{00A0}\x{E000}]*\n)+')")} AS p, {_longest("string_split(t, chr(10))")} AS l,
+  {_longest("string_split(regexp_replace(t, '([.!?…])" + _S + r"+', '\1' || chr(10), 'g'), chr(10))")} AS s, {_longest("regexp_split_to_array(t, '" + _S + "+')")} AS w FROM big)
+SELECT segment_id, CASE WHEN p <= 2400 THEN 'paragraph' WHEN l <= 2400 THEN 'line' WHEN s <= 2400 THEN 'sentence' WHEN w <= 2400 THEN 'word' ELSE 'none' END AS boundary FROM units
+"""
+
 _P6 = rf"""
 WITH cases AS (SELECT case_id, target_text AS x FROM eval_scenes UNION SELECT case_id, {_first_blank('instruction_de')} FROM eval_scenes),
 cw AS (SELECT case_id, {_WORDS.format('x')} AS w FROM cases WHERE x IS NOT NULL),
@@ -53,4 +68,4 @@ dg AS (SELECT doc_id, unnest([array_to_string(w[i:i + 12], ' ') FOR i IN range(1
 SELECT DISTINCT doc_id, case_id FROM dg JOIN cg USING (g)
 """
 
-SQL = {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p6_found": _P6}
+SQL = {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p4_found": _P4, "p6_found": _P6}
