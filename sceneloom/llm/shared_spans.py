@@ -108,13 +108,13 @@ def members(df: DataFrame, p: Params) -> tuple[DataFrame, list[int]]:
 
 
 def packed(df: DataFrame, p: Params, hot: list[int]) -> DataFrame:
-    """text_key, bucket, start, windows, packed: the packed strings of all texts, without those of hot minimisers."""
+    """text_key, bucket, start, packed: the packed strings of all texts, without those of hot minimisers."""
     leave = np.array(sorted(hot), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sent = TokenHashes(), _Sent()
         for b in slices(batches):
-            lists = [x for x in _fields(b, p)[0]]
+            lists = _fields(b, p)[0]
             keys = [text_key(x) for x in lists]
             fresh = [k for k, x in enumerate(keys) if sent.new(x)]
             lists, keys = [lists[k] for k in fresh], [keys[k] for k in fresh]
@@ -126,11 +126,11 @@ def packed(df: DataFrame, p: Params, hot: list[int]) -> DataFrame:
             start = begins - off[rec]
             text = [" ".join(lists[r][s : s + c + p.k - 1]) for r, s, c in zip(rec.tolist(), start.tolist(), count.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()).take(pa.array(rec)), pa.array(least), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(text, pa.string())],
-                names=["text_key", "bucket", "start", "windows", "packed"],
+                [pa.array(keys, pa.binary()).take(pa.array(rec)), pa.array(least), pa.array(start.astype(np.int32)), pa.array(text, pa.string())],
+                names=["text_key", "bucket", "start", "packed"],
             )
 
-    return _read(df).mapInArrow(run, "text_key binary, bucket bigint, start int, windows int, packed string")
+    return _read(df).mapInArrow(run, "text_key binary, bucket bigint, start int, packed string")
 
 
 def _hot_windows(df: DataFrame, p: Params, hot: list[int]) -> DataFrame:
@@ -180,8 +180,10 @@ def shared_windows(df: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     bucket = Window.partitionBy("bucket")
     rows = packed(df, p, hot).repartition("bucket")
     rows = rows.withColumn("a", F.min("text_key").over(bucket)).withColumn("b", F.max("text_key").over(bucket)).where("a <> b")
-    window = f"slice(split(packed, ' '), i + 1, {p.k})"
-    unpack = F.expr(f"transform(sequence(0, windows - 1), i -> struct(start + i as pos, xxhash64({window}) as h1, xxhash64(1, {window}) as h2))")
+    # the tokens are named twice below, so that the split stays a column and is not done again for each window
+    rows = rows.select("bucket", "text_key", "start", F.split("packed", " ").alias("t"))
+    window = f"slice(t, i + 1, {p.k})"
+    unpack = F.expr(f"transform(sequence(0, size(t) - {p.k}), i -> struct(start + i as pos, xxhash64({window}) as h1, xxhash64(1, {window}) as h2))")
     rows = rows.select("bucket", "text_key", F.explode(unpack).alias("w")).select("bucket", "text_key", "w.h1", "w.h2", "w.pos")
     same = Window.partitionBy("bucket", "h1", "h2")
     rows = rows.withColumn("a", F.min("text_key").over(same)).withColumn("b", F.max("text_key").over(same)).where("a <> b")
