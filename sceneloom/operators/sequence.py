@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import in_order
+from ..scratch import materialise
 
 
 def render(df: DataFrame, by: list[str], order: str, *, across_atoms: bool = False) -> DataFrame:
@@ -126,11 +127,12 @@ def row_index(df: DataFrame, by: str, order: str) -> DataFrame:
     """df with row_index_zero_based within ``by``, by ``order``.
 
     A split may hold most rows, so they are not numbered in one task: rows are range-partitioned by (by, order), each
-    partition numbers its own rows, and the counts of the partitions before are added.
+    partition numbers its own rows, and the counts of the partitions before are added. The numbered rows are written
+    once, since ranges come from a sample: a second pass could draw other ones.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = df.repartitionByRange(n, by, order).withColumn("_part", F.spark_partition_id())
-    local = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part", by).orderBy(order)))
+    local = materialise(parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part", by).orderBy(order))), "row-index")
     sizes = local.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     before = sizes.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))

@@ -70,8 +70,12 @@ def sql_atoms(*columns: str) -> str:
 
 
 def events(spark: SparkSession, root: str) -> DataFrame:
-    """An event for each line of an atom: kind by the atom's kind, a speaker's label where a speech begins with one."""
-    a = atoms(spark, root, "atom_id", "source_atom_id", "segment_id", "scene_id", "work_id", "source_kind", "text").where("scene_id is not null and text is not null")
+    """An event for each line of an atom: kind by the atom's kind, a speaker's label where a speech begins with one.
+
+    Repeated rows are dropped where their scene is put together, so that everything done by scene needs one shuffle.
+    """
+    a = table(spark, root, "partition_atoms").select("atom_id", "source_atom_id", "segment_id", "scene_id", "work_id", "source_kind", "text")
+    a = a.where("scene_id is not null and text is not null").repartition("scene_id").distinct()
     lines = a.select("*", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("line <> ''")
     kind = F.when(F.col("source_kind") == "stage", "stage").when((F.col("source_kind") == "speech") & (F.col("i") == 0) & F.col("line").rlike(r"^\p{Lu}+\.( \(.*\))?\z"), "speaker").when(F.col("source_kind") == "p", "prose").otherwise("verse")
     return lines.select("atom_id", "source_atom_id", "segment_id", "scene_id", "work_id", "source_kind", F.col("i").alias("event_index"), F.format_string("%s_E%04d", "atom_id", F.col("i") + 1).alias("event_id"), kind.alias("kind"), F.col("line").alias("text"), F.array("source_kind").alias("stanza_ids"))

@@ -61,7 +61,7 @@ def test_links_order_and_index(spark):
     a = spark.createDataFrame([("x", 0, "a"), ("x", 1, "b")], "by string, ord int, id string")
     b = spark.createDataFrame([("x", 0, "a"), ("x", 1, "c"), ("x", 2, "d")], "by string, ord int, id string")
     assert {(r.ord, r.left_id, r.right_id) for r in s.order_mismatches(a, b, "by").collect()} == {(1, "b", "c"), (2, None, "d")}
-    rows = spark.createDataFrame([("train" if k % 10 else None, f"P{k:03d}") for k in range(200)], "split string, segment_id string")
+    rows = spark.createDataFrame([("train" if k % 10 else None, f"P{k:05d}") for k in range(20_000)], "split string, segment_id string").withColumn("more", F.col("segment_id"))
     got = s.row_index(rows, "split", "segment_id").collect()
     for split in ("train", None):
         mine = sorted((r.segment_id, r.row_index_zero_based) for r in got if r.split == split)
