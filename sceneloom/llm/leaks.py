@@ -42,7 +42,7 @@ class Params:
     near: int = 10
     slack: int = 2
     block_rows: int = 20_000
-    block_words: int = 4_000_000
+    block_words: int = 2_000_000
     query_bytes: int = 8_000_000
 
 
