@@ -1,18 +1,21 @@
 """Cutting lineage with written tables in the folder all executors share.
 
 The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests, a laptop) an
-own folder is made and set. A table written here survives the loss of any executor; a query that goes
+own folder is made. A table written here survives the loss of any executor; a query that goes
 on from it reads plain Parquet, so column pruning and size statistics work again.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Folders made for local sessions that name none, by application.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,11 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get(_KEY, None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError(f"{_KEY} must name a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="sceneloom-")
-    spark.conf.set(_KEY, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sceneloom-")
+    return _OWN[app]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +41,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Remove every scratch table below the shared folder. Call it when no result that reads one is needed any more."""
-    root = spark.conf.get(_KEY, None)
-    if root:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/sceneloom")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sceneloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
