@@ -2,10 +2,10 @@
 
 The documents' words go into a positional inverted index: documents are taken in blocks, and for each block and term
 the index stores the sorted places of the term in the block (documents one after another with a gap between them). The
-index is a table in the shared folder, written once for each call and read with a filter on the query's terms. For each window of
-``least`` words of a held-out passage the lists of its terms, rarest first, are shifted by the terms' offsets and
-intersected; what remains are exact phrase matches. Proximity matches come from the same lists: the rarest terms of
-a window must stand near their offsets, then all terms are counted that do.
+index is a table in the shared folder, written once for each call; of it, the lists of the query's terms are read. For
+each window of ``least`` words of a held-out passage the lists of its terms, rarest first, are shifted by the terms'
+offsets and intersected; what remains are exact phrase matches. Proximity matches come from the same lists: several of
+the rarest terms of a window must stand near their offsets, then all terms are counted that do.
 
 Scale: a block is indexed where its documents are read and no text is shuffled; only the lists of query terms move, to
 one task a block, whose size ``block_rows`` and ``block_words`` bound. The held-out items are the stated query set: they
@@ -133,24 +133,47 @@ class Postings:
             at = at[self.within(at + k, passage[k])]
         return at
 
-    def near(self, passage: list[str], p: Params) -> tuple[np.ndarray, np.ndarray]:
-        """(places, words matched) at which at least ``near`` words stand near their offsets, the rarest of those that
-        the block has first. A passage with fewer than ``near`` known words has none."""
-        known = [k for k in range(len(passage)) if passage[k] in self.lists]
-        none = np.zeros(0, np.int64)
-        if len(known) < p.near:
-            return none, none
-        known.sort(key=lambda k: len(self.lists[passage[k]]))
-        # if at least ``near`` match, at most len - near don't: one of the len - near + 1 rarest does
-        at = np.unique(np.concatenate([self.lists[passage[k]] - k for k in known[: len(passage) - p.near + 1]]))
-        hits = np.zeros(len(at), np.int64)
-        for i, k in enumerate(known):
-            hits += self.within(at + k, passage[k], p.slack)
-            ok = hits + (len(known) - i - 1) >= p.near
-            at, hits = at[ok], hits[ok]
-            if not len(at):
-                return none, none
-        return at, hits
+    def near(self, x: list[str], p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(documents, windows, words matched) of the windows of a passage that match nearby: at some start at least
+        ``near`` of the window's ``least`` words stand at most ``slack`` from their offsets.
+
+        Of the rarest words of such a window several must stand near, too. So only these words' diagonals (place less
+        position) are sorted, in cells of the passage that hold each window whole, and only where enough of them lie
+        together are all words looked up.
+        """
+        empty = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n, width = len(x), p.least
+        if n < width:
+            return none
+        lists = [self.lists.get(t, empty) for t in x]
+        sizes = np.array([len(c) for c in lists])
+        together = min(4, p.near)
+        rare = np.zeros(n, bool)  # among the rarest of some window
+        for k in range(n - width + 1):
+            rare[k + np.argsort(sizes[k : k + width], kind="stable")[: width - p.near + together]] = True
+        out = [none]
+        for lo in range(0, n - width + 1, width):
+            hi = min(n, lo + 2 * width - 1)
+            parts = [lists[j] - j for j in range(lo, hi) if rare[j] and sizes[j]]
+            d = np.sort(np.concatenate(parts)) if parts else empty
+            if len(d) < together:
+                continue
+            first, last = d[: len(d) - together + 1], d[together - 1 :]
+            seed = last - first <= 2 * p.slack
+            if not seed.any():
+                continue
+            at = np.unique(np.concatenate([first[seed] + s for s in range(-p.slack, p.slack + 1)]))
+            hit = np.zeros((len(at), hi - lo + 1), np.int64)
+            for j in range(lo, hi):
+                if sizes[j]:
+                    hit[:, j - lo + 1] = self.within(at + j, x[j], p.slack)
+            sums = np.cumsum(hit, axis=1)
+            count = sums[:, width:] - sums[:, :-width]
+            row, k = np.nonzero(count >= p.near)
+            if len(row):
+                out.append((self.doc(at[row] + lo + k + width // 2), lo + k, count[row, k]))
+        return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _queries(cases: DataFrame, p: Params) -> Iterator[list[tuple[str, str, list[str]]]]:
@@ -217,19 +240,11 @@ def proximity(docs: DataFrame, cases: DataFrame, p: Params = Params()) -> DataFr
         raise ValueError("near is too small or slack too large for least")
 
     def match(lists: Postings, case: str, field: str, x: list[str]) -> Iterator[tuple]:
-        docs, best = [], []
-        for k in range(len(x) - p.least + 1):
-            at, hits = lists.near(x[k : k + p.least], p)
-            if len(at):
-                d = lists.doc(at + p.least // 2)  # the middle lies in the document, also where the first words are missing
-                order = np.lexsort((-hits, d))
-                d, hits = d[order], hits[order]
-                one = np.concatenate(([True], d[1:] != d[:-1]))
-                docs.append(d[one])
-                best.append(hits[one])
-        if docs:
-            t = pd.DataFrame({"d": np.concatenate(docs), "b": np.concatenate(best)}).groupby("d")["b"].agg(["size", "max"])
-            yield from ((int(d), case, field, int(n), int(m)) for d, n, m in zip(t.index, t["size"], t["max"]))
+        # the middle of a window lies in the document, also where the window's first words are missing
+        docs, windows, hits = lists.near(x, p)
+        if len(docs):
+            t = pd.DataFrame({"d": docs, "k": windows, "b": hits}).groupby("d").agg(n=("k", "nunique"), m=("b", "max"))
+            yield from ((int(d), case, field, int(n), int(m)) for d, n, m in zip(t.index, t["n"], t["m"]))
 
     schema = "doc_id bigint, case_id string, field string, windows bigint, best bigint"
     out = _search(docs, cases, p, schema, match)

@@ -61,7 +61,7 @@ def brute_near(docs, cases, p):
                 for j in range(len(x) - p.least + 1):
                     seen = 0
                     passage = x[j : j + p.least]
-                    for at in {q - o for o, y in enumerate(passage) for q in where.get(y, ())}:
+                    for at in {q - o + e for o, y in enumerate(passage) for q in where.get(y, ()) for e in range(-p.slack, p.slack + 1)}:
                         seen = max(seen, sum(any(abs(q - at - o) <= p.slack for q in where.get(y, ())) for o, y in enumerate(passage)))
                     windows += seen >= p.near
                     best = max(best, seen)
