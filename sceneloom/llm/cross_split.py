@@ -2,12 +2,19 @@
 
 Records are normalised to words and cut into chunks by content: a cut falls behind a word where the rolling hash of
 it and the word before is divisible by ``avg_words``. Chunk digests are joined across the sides; the lengths of shared
-chunks give the overlap fraction of each record. Records whose fraction could belong to a near copy become candidate
-pairs, and these alone are compared exactly by their distinct word sequences.
+chunks give the overlap fraction of each record. Records with a fraction of ``overlap`` become candidate pairs.
+
+Scattered single changes leave few chunks whole, so that a near copy may stay below that fraction. Candidates are
+therefore also records that meet in a prefix of their word sequences: of n distinct ones, a record with the needed
+similarity shares ceil(similarity * n) at least, so in any order that holds for all records two such records share
+``common`` of their first n - ceil(similarity * n) + ``common`` (or all they share, where that is less). This misses no
+pair. The order puts word sequences last that were seen
+often while the chunks were made; it decides how many pairs meet, never which are found. Candidates alone are compared
+exactly by their distinct word sequences.
 
 Skew: exact copies are one class (grouped while still packed, one row a record); digests are counted with partial
 aggregation; a chunk that many records share is joined only where a record could not reach the needed fraction without
-it (prefix order by rising frequency, which loses no pair with that fraction). Nothing is capped.
+it (prefix order by rising frequency, which loses no pair with that fraction). No record and no pair is capped.
 
 Defined results: a null or blank field has no chunks and is in no pair; a field with fewer than ``gram`` words has no
 word sequence and is in no pair; a null or unknown split belongs to no side; a record delivered repeatedly counts once;
@@ -34,27 +41,30 @@ TRAIN, HELD_OUT = 1, 2
 class Params:
     """avg_words: mean chunk length; min_words: chunks below it carry no evidence (unless a record has no other);
     overlap: fraction of a record's chunk words that must stand in the other record for it to be compared;
-    gram and similarity: the exact comparison."""
+    gram and similarity: the exact comparison; often: how many word sequences are told apart by frequency in the order of
+    the prefixes, all others count as rare; common: how many word sequences the prefixes of a pair must share."""
 
     avg_words: int = 4
     min_words: int = 3
     overlap: float = 0.2
     gram: int = 3
     similarity: float = 0.6
+    often: int = 200_000
+    common: int = 3
 
 
-_CHUNKED = "segment_id string, side int, field int, text_key binary, n_words int, digests array<bigint>, lengths array<int>"
+_CHUNKED = "segment_id string, side int, field int, text_key binary, key bigint, n_words int, digests array<bigint>, lengths array<int>"
+#: The field of rows that hold no record but the word sequences a slice has often, with their counts.
+_OFTEN = -1
 
 
-def _chunks(lists: list[list[str]], fields: np.ndarray, hashes: TokenHashes, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chunks(roll: Rolling, off: np.ndarray, fields: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Digest and length of each chunk, and each record's offset in them."""
-    h, off = hashes.of(lists)
-    n = len(lists)
-    if not len(h):
+    n, size = len(off) - 1, int(off[-1])
+    if not size:
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(n + 1, np.int32)
-    at = np.arange(len(h))
-    roll = Rolling(h)
-    cut = np.zeros(len(h), bool)
+    at = np.arange(size)
+    cut = np.zeros(size, bool)
     cut[1:] = roll.run(at[:-1], at[1:] + 1) % np.uint64(p.avg_words) == 0
     full = off[:-1] < off[1:]
     cut[off[:-1][full]] = False
@@ -70,29 +80,111 @@ def _chunks(lists: list[list[str]], fields: np.ndarray, hashes: TokenHashes, p:
     return digest[keep], length[keep].astype(np.int32), np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
 
 
+def _sequences(roll: Rolling, off: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word sequence, and the record it stands in."""
+    at, rec = np.arange(off[-1]), np.repeat(np.arange(len(off) - 1), np.diff(off))
+    whole = at + p.gram <= off[1:][rec]
+    return roll.run(at[whole], at[whole] + p.gram).view(np.int64), rec[whole]
+
+
+def _prefixes(g: np.ndarray, rec: np.ndarray, n: int, often: np.ndarray, counts: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, record, place from 1, sizes): the prefix of each record's distinct sequences, ordered by their count in
+    ``often`` (sorted; 0 if not there) and by hash. sizes: distinct sequences by record."""
+    order = np.lexsort((g, rec))
+    g, rec = g[order], rec[order]
+    first = np.ones(len(g), bool)
+    first[1:] = (g[1:] != g[:-1]) | (rec[1:] != rec[:-1])
+    g, rec = g[first], rec[first]
+    sizes = np.bincount(rec, minlength=n)
+    if len(often) and len(g):
+        at = np.minimum(np.searchsorted(often, g), len(often) - 1)
+        order = np.lexsort((g, np.where(often[at] == g, counts[at], 0), rec))
+        g = g[order]
+    place = np.arange(len(g)) - np.concatenate(([0], np.cumsum(sizes)[:-1]))[rec] + 1 if len(g) else np.zeros(0, np.int64)
+    needed = np.ceil(p.similarity * sizes - 1e-6).astype(np.int64)
+    keep = place <= (sizes - needed + p.common)[rec]
+    return g[keep], rec[keep], place[keep], sizes
+
+
+def _key(text_key: bytes) -> int:
+    return int.from_bytes(text_key[:8], "big", signed=True)
+
+
+def _texts(b: pa.RecordBatch) -> tuple[np.ndarray, list[list[str]], np.ndarray]:
+    """The words of both fields of a batch where there are any: row (of twice the batch), words, field."""
+    texts = [words(x) for x in b.column("target_text").to_pylist()] + [words(body(x)) for x in b.column("instruction_de").to_pylist()]
+    rows = np.array([k for k, x in enumerate(texts) if x], np.int64)
+    return rows, [texts[k] for k in rows], (rows >= b.num_rows).astype(np.int32)
+
+
+def _sided(df: DataFrame) -> DataFrame:
+    s = split_name(F.col("split"))
+    side = F.when(s == "train", TRAIN).when(s.isin("validation", "test"), HELD_OUT)
+    return df.select("segment_id", side.alias("side"), "target_text", "instruction_de").where("segment_id is not null and side is not null")
+
+
 def chunked(df: DataFrame, p: Params) -> DataFrame:
-    """A row for each record and field: its side, the key of its words, the digests and lengths of its chunks."""
+    """A row for each record and field: its side, the key of its words, the digests and lengths of its chunks. Besides, a row
+    of field _OFTEN for each slice of records: word sequences that stand in it more than once, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TokenHashes()
         for b in slices(batches):
             ids, side = b.column("segment_id"), b.column("side")
-            texts = [words(x) for x in b.column("target_text").to_pylist()] + [words(body(x)) for x in b.column("instruction_de").to_pylist()]
-            rows = np.array([k for k, x in enumerate(texts) if x], np.int64)
-            lists = [texts[k] for k in rows]
-            fields = (rows >= b.num_rows).astype(np.int32)
-            digest, length, off = _chunks(lists, fields, hashes, p)
+            rows, lists, fields = _texts(b)
+            h, word_off = hashes.of(lists)
+            roll = Rolling(h)
+            digest, length, off = _chunks(roll, word_off, fields, p)
             at = pa.array(rows % max(1, b.num_rows))
             keys = [text_key(x) for x in lists]
+            names = ["segment_id", "side", "field", "text_key", "key", "n_words", "digests", "lengths"]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(at), side.take(at), pa.array(fields), pa.array(keys, pa.binary()), pa.array(map(_key, keys), pa.int64()), pa.array([len(x) for x in lists], pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(digest)), pa.ListArray.from_arrays(pa.array(off), pa.array(length))], names=names
+            )
+            g, counts = np.unique(_sequences(roll, word_off, p)[0], return_counts=True)
+            g, counts = g[counts > 1], counts[counts > 1]
             yield pa.RecordBatch.from_arrays(
-                [ids.take(at), side.take(at), pa.array(fields), pa.array(keys, pa.binary()), pa.array([len(x) for x in lists], pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(digest)), pa.ListArray.from_arrays(pa.array(off), pa.array(length))],
-                names=["segment_id", "side", "field", "text_key", "n_words", "digests", "lengths"],
+                [pa.array([None], pa.string()), pa.array([0], pa.int32()), pa.array([_OFTEN], pa.int32()), pa.array([b""], pa.binary()), pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([g], pa.list_(pa.int64())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))], names=names
             )
 
-    s = split_name(F.col("split"))
-    side = F.when(s == "train", TRAIN).when(s.isin("validation", "test"), HELD_OUT)
-    rows = df.select("segment_id", side.alias("side"), "target_text", "instruction_de").where("segment_id is not null and side is not null")
-    return rows.mapInArrow(run, _CHUNKED)
+    return _sided(df).mapInArrow(run, _CHUNKED)
+
+
+def _often(chunks: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The word sequences counted most often in the slices, sorted by hash, and their counts."""
+    c = chunks.where(F.col("field") == _OFTEN).select(F.explode(F.arrays_zip("digests", "lengths")).alias("c"))
+    top = c.groupBy(F.col("c.digests").alias("g")).agg(F.sum("c.lengths").alias("n")).orderBy(F.desc("n"), "g").limit(p.often).collect()
+    top.sort()
+    return np.array([r.g for r in top], np.int64), np.array([r.n for r in top], np.int64)
+
+
+def _near_by_prefix(df: DataFrame, often: np.ndarray, counts: np.ndarray, p: Params) -> DataFrame:
+    """field, key_a, key_b: all texts of the two sides that share ``common`` word sequences of both prefixes at places
+    that allow the similarity. A text that a task meets again is left out, so copies are few before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TokenHashes()
+        seen: set[tuple[int, int]] = set()
+        for b in slices(batches):
+            _, lists, fields = _texts(b)
+            keys = [_key(text_key(x)) for x in lists]
+            new = [k for k, x in enumerate(zip(keys, fields.tolist())) if not (x in seen or seen.add(x))]
+            key, field = np.array([keys[k] for k in new], np.int64), fields[new]
+            h, off = hashes.of([lists[k] for k in new])
+            g, rec, place, sizes = _prefixes(*_sequences(Rolling(h), off, p), len(new), often, counts, p)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(field[rec]), pa.array(key[rec]), pa.array(sizes[rec].astype(np.int32)), pa.array(place.astype(np.int32))], names=["g", "field", "key", "n", "place"])
+
+    def side(which: int, x: str) -> DataFrame:
+        rows = _sided(df).where(F.col("side") == which).select("target_text", "instruction_de").mapInArrow(run, "g bigint, field int, key bigint, n int, place int")
+        rows = rows.repartition("g", "field").distinct()  # the join needs no second shuffle
+        return rows.select("g", "field", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "place")])
+
+    # at each of the first common sequences, what is left of both must do for the sequences two similar records share
+    shared = F.lit(p.similarity / (1 + p.similarity)) * (F.col("n_a") + F.col("n_b"))
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + p.common
+    met = side(TRAIN, "a").join(side(HELD_OUT, "b"), ["g", "field"])
+    met = met.where((F.col("key_a") != F.col("key_b")) & (left >= shared - 1e-6)).groupBy("field", "key_a", "key_b").agg(F.count(F.lit(1)).alias("met"), F.max(F.greatest("n_a", "n_b")).alias("n"))
+    return met.where(F.col("met") >= F.least(F.lit(p.common), F.ceil(F.lit(p.similarity) * F.col("n") - 1e-6))).select("field", "key_a", "key_b")
 
 
 def _grams(df: DataFrame, p: Params) -> DataFrame:
@@ -124,9 +216,10 @@ def overlaps(df: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]
     rep_a, rep_b, similarity of all class pairs at or above ``similarity`` with sides apart, of which both may be the
     same class.
     """
-    rows = materialise(chunked(df, p), "p1-chunks")
+    chunks = materialise(chunked(df, p), "p1-chunks")
+    rows = chunks.where(F.col("field") != _OFTEN)
     classes = rows.groupBy("field", "text_key").agg(
-        F.min("segment_id").alias("rep"), F.bit_or("side").alias("sides"), F.first("n_words").alias("n_words"), F.first("digests").alias("digests"), F.first("lengths").alias("lengths")
+        F.min("segment_id").alias("rep"), F.bit_or("side").alias("sides"), F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.first("digests").alias("digests"), F.first("lengths").alias("lengths")
     )
     classes = materialise(classes, "p1-classes")
     members = rows.select("field", "text_key", "segment_id", "side").distinct().join(classes.select("field", "text_key", "rep"), ["field", "text_key"]).select("field", "rep", "segment_id", "side")
@@ -145,8 +238,11 @@ def overlaps(df: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]
 
     a = prefix.where(F.col("sides").bitwiseAND(TRAIN) != 0).select("digest", "field", F.col("rep").alias("rep_a"))
     b = prefix.where(F.col("sides").bitwiseAND(HELD_OUT) != 0).select("digest", "field", F.col("rep").alias("rep_b"))
-    candidates = a.join(b, ["digest", "field"]).where("rep_a <> rep_b").select("field", "rep_a", "rep_b").distinct()
-    candidates = materialise(candidates, "p1-candidates")
+    by_chunk = a.join(b, ["digest", "field"]).where("rep_a <> rep_b").select("field", "rep_a", "rep_b")
+    by_prefix = _near_by_prefix(df, *_often(chunks, p), p)
+    for x in "ab":
+        by_prefix = by_prefix.join(classes.select("field", F.col("key").alias(f"key_{x}"), F.col("rep").alias(f"rep_{x}")), ["field", f"key_{x}"])
+    candidates = materialise(by_chunk.union(by_prefix.select("field", "rep_a", "rep_b")).distinct(), "p1-candidates")
 
     wanted = candidates.select(F.col("rep_a").alias("segment_id"), "field").union(candidates.select(F.col("rep_b").alias("segment_id"), "field")).distinct()
     texts = df.select("segment_id", "target_text", "instruction_de").join(wanted, "segment_id").select("segment_id", "field", F.when(F.col("field") == 0, F.col("target_text")).otherwise(F.col("instruction_de")).alias("text"))

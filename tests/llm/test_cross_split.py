@@ -64,3 +64,18 @@ def test_nulls_short_long_and_empty(spark):
     rows = [(None, None, "train", "a b c d", None), ("A", None, "train", None, None), ("B", None, "test", None, None), ("C", None, None, "a b c d", None), ("D", None, "train", "zwei worte", ""), ("E", None, "test", "zwei worte", "   "), ("F", None, "train", long, None), ("G", None, "test", long + " ende", None)]
     assert [tuple(r) for r in c.found_pairs(table(spark, rows)).collect()] == [("F", "G")]
     assert c.found_pairs(table(spark, [])).count() == 0 and c.report(table(spark, [])).count() == 0
+
+
+def test_scattered_changes_that_leave_few_chunks_whole(spark):
+    r = random.Random(4)
+    vocabulary = [f"wort{k}" for k in range(3000)]
+    rows = []
+    for k in range(500):
+        text = [r.choice(vocabulary) for _ in range(r.choice([14, 30, 60]))]
+        rows.append((f"A{k:03d}", "F1", "train", " ".join(text), None))
+        for at in range(r.randrange(9), len(text), 13):
+            text[at] = "neu"
+        rows.append((f"B{k:03d}", "F2", "test", " ".join(text), None))
+    want = brute(rows)
+    assert len(want) > 200
+    assert {tuple(x) for x in c.found_pairs(table(spark, rows)).collect()} == want
