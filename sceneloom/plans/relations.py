@@ -336,6 +336,30 @@ def l3(spark, root):
     return overlap.longest(e, found, "case_id", "segment_id")
 
 
+_PAIR_PROMPTS = f"SELECT segment_id AS case_id, {LEXICAL.format('instruction_de')} AS w FROM {sql_pairs('instruction_de')} WHERE instruction_de IS NOT NULL"
+
+
+def _pair_runs(spark, root):
+    """The screen of the training prompts: every pair's instruction against the targets of all pairs, its own among them."""
+    e = pairs(spark, root, "instruction_de").where("instruction_de is not null").withColumnRenamed("segment_id", "case_id")
+    t = pairs(spark, root, "target_text").where("target_text is not null")
+    return e, overlap.matches(e, "case_id", lexical_words(F.col("instruction_de")), t, "segment_id", lexical_words(F.col("target_text")), 4)
+
+
+@query("l1_l2_pair_word_runs", f"WITH {_sql_runs(4, _PAIR_PROMPTS, _TARGETS)} SELECT case_id, segment_id, pos::INT AS pos, target_pos::INT AS target_pos, length::INT AS length FROM found")
+def l2_pairs(spark, root):
+    return _pair_runs(spark, root)[1]
+
+
+@query(
+    "l3_a14_pair_gate",
+    f"""WITH {_sql_runs(4, _PAIR_PROMPTS, _TARGETS)} SELECT case_id, coalesce(max(length), 0)::INT AS longest_any, coalesce(max(length) FILTER (segment_id = case_id), 0)::INT AS longest_own, coalesce(max(length), 0) < 6 AS passes FROM ps LEFT JOIN found USING (case_id) GROUP BY 1""",
+)
+def l3_pairs(spark, root):
+    e, found = _pair_runs(spark, root)
+    return overlap.longest(e, found, "case_id", "segment_id")
+
+
 @query(
     "l4_reuse_ratio",
     f"""WITH g AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM (SELECT doc_id, {OVERLAP.format('text')} AS w FROM documents))),

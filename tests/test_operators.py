@@ -148,3 +148,14 @@ def test_digests_locks_and_runs(spark, tmp_path):
     runs.finish("prepare", f, rows=3)
     runs.require("prepare", f)
     assert not runs.done("prepare", runs.fingerprint("prepare", data="d2"))
+
+
+def test_pair_gate_screens_training_prompts(spark, tmp_path):
+    from sceneloom import plans
+
+    rows = [("A", "eins zwei drei vier fünf sechs sieben", "der Anfang eins zwei drei vier fünf sechs und Schluss", 1), ("B", "nichts davon steht hier", "vorn eins zwei drei vier hinten", 1), ("C", "a b c d", None, 1), ("D", None, "ganz ohne Treffer in jedem Ziel", 1), ("A", "alt", "alt", 0)]
+    spark.createDataFrame(rows, "segment_id string, target_text string, instruction_de string, delivered_at int").write.parquet(f"{tmp_path}/sft_pairs.parquet")
+    got = {tuple(r) for r in plans.queries()["l3_a14_pair_gate"](spark, str(tmp_path)).collect()}
+    assert got == {("A", 6, 6, False), ("B", 4, 0, True), ("D", 0, 0, True)}
+    runs = {tuple(r) for r in plans.queries()["l1_l2_pair_word_runs"](spark, str(tmp_path)).collect()}
+    assert runs == {("A", "A", 2, 0, 6), ("A", "A", 3, 1, 5), ("A", "A", 4, 2, 4), ("B", "A", 1, 0, 4)}
