@@ -228,13 +228,13 @@ def overlaps(df: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]
     parts = parts.select("rep", "field", "sides", "weight", F.col("c.digests").alias("digest"), F.col("c.lengths").alias("length"))
     shared = parts.groupBy("digest").agg(F.bit_or("sides").alias("both"), F.count(F.lit(1)).alias("df")).where(F.col("both") == (TRAIN | HELD_OUT)).select("digest", "df")
     parts = parts.join(shared, "digest")
+    fractions = parts.groupBy("rep", "field").agg((F.sum("length") / F.max("weight")).alias("overlap"))
     by = Window.partitionBy("rep", "field")
     falling = by.orderBy(F.desc("df"), "digest").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("shared", F.sum("length").over(by)).withColumn("so_far", F.sum("length").over(falling))
     # a class on both sides shares all its chunks with itself, so that only chunks found in another class tell candidates
     needed = p.overlap * F.col("weight")
     prefix = materialise(parts.where(F.col("so_far") >= needed).select("rep", "field", "sides", "digest", "shared", "weight"), "p1-prefix")
-    fractions = prefix.groupBy("rep", "field").agg((F.max("shared") / F.max("weight")).alias("overlap"))
 
     a = prefix.where(F.col("sides").bitwiseAND(TRAIN) != 0).select("digest", "field", F.col("rep").alias("rep_a"))
     b = prefix.where(F.col("sides").bitwiseAND(HELD_OUT) != 0).select("digest", "field", F.col("rep").alias("rep_b"))
@@ -265,10 +265,12 @@ def found_pairs(df: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def report(df: DataFrame, p: Params = Params()) -> DataFrame:
-    """split, work_id, records, overlapping: held-out records and those with a near copy in train, for each split and work."""
+    """split, work_id, records, overlapping, mean_overlap, max_overlap: held-out records and those with a near copy in train,
+    for each split and work; mean and maximum of the records' overlap fractions (of the larger field, 0 without a chunk)."""
     s = split_name(F.col("split"))
     held = df.select("segment_id", "work_id", s.alias("split")).where("split in ('validation', 'test')").distinct()
-    members, _, pairs = overlaps(df, p)
+    members, fractions, pairs = overlaps(df, p)
+    share = fractions.join(members.where(F.col("side") == HELD_OUT), ["field", "rep"]).groupBy("segment_id").agg(F.max("overlap").alias("overlap"))
     hit = pairs.select("field", F.col("rep_b").alias("rep")).distinct().join(members.where(F.col("side") == HELD_OUT), ["field", "rep"]).select("segment_id", F.lit(1).alias("hit")).distinct()
-    rows = held.join(hit, "segment_id", "left")
-    return rows.groupBy("split", "work_id").agg(F.countDistinct("segment_id").alias("records"), F.countDistinct(F.when(F.col("hit") == 1, F.col("segment_id"))).alias("overlapping"))
+    rows = held.join(hit, "segment_id", "left").join(share, "segment_id", "left").fillna(0.0, ["overlap"])
+    return rows.groupBy("split", "work_id").agg(F.countDistinct("segment_id").alias("records"), F.countDistinct(F.when(F.col("hit") == 1, F.col("segment_id"))).alias("overlapping"), F.avg("overlap").alias("mean_overlap"), F.max("overlap").alias("max_overlap"))

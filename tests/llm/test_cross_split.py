@@ -79,3 +79,10 @@ def test_scattered_changes_that_leave_few_chunks_whole(spark):
     want = brute(rows)
     assert len(want) > 200
     assert {tuple(x) for x in c.found_pairs(table(spark, rows)).collect()} == want
+
+
+def test_report_has_fractions_below_the_candidates(spark):
+    common = " ".join(f"gleich{k}" for k in range(40))
+    rows = [("A", "F1", "train", common + " " + " ".join(f"a{k}" for k in range(360)), None), ("B", "F2", "test", " ".join(f"b{k}" for k in range(360)) + " " + common, None), ("C", "F2", "test", "ganz anderer text hier", None)]
+    (r,) = c.report(table(spark, rows)).collect()
+    assert (r.records, r.overlapping) == (2, 0) and 0 < r.max_overlap < 0.2 and abs(r.mean_overlap - r.max_overlap / 2) < 1e-9
