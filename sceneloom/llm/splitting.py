@@ -3,7 +3,8 @@
 Every place where a text may be cut has a strength: paragraph 4, line 3, sentence 2, word 1; between any other two
 characters 0. A sparse table over the strengths answers, for any window of places, which is the strongest, the rightmost
 of equals. The splitter asks for the strongest cut in each permissible window (at least ``fill`` of the limit, at most
-the limit), cuts there, steps back by the overlap to the next word, and goes on.
+the limit), cuts there, steps back by the overlap to the next word, and goes on. The boundary a text needs comes from
+the same index: it is the weakest among the strongest cuts of all windows as wide as the limit.
 
 White space and line ends are those of ``text.WHITE``; a blank line is empty or of white space only. Lengths are code
 points. Everything is done text by text in Arrow batches: no shuffle but the one that drops repeated deliveries.
@@ -60,20 +61,6 @@ class Boundaries:
         self.length = len(text)
         self.start, self.end, self.strength = np.array(start, np.int64), np.array(end, np.int64), np.array(strength, np.int8)
 
-    def longest(self, least: int) -> int:
-        """Code points of the longest unit where the text is cut at every gap of at least this strength, units stripped."""
-        cut = self.strength >= least
-        # units run from gap to gap; weaker gaps stay inside, but for those at the ends of the text, which are stripped
-        outer = (self.start == 0) | (self.end == self.length)
-        cut |= outer
-        begin = np.concatenate(([0], self.end[cut]))
-        stop = np.concatenate((self.start[cut], [self.length]))
-        return int((stop - begin).max())
-
-    def level(self, limit: int) -> int:
-        """The strongest boundary that leaves no unit over the limit; 0 where even words are too long."""
-        return next((s for s in (PARAGRAPH, LINE, SENTENCE, WORD) if self.longest(s) <= limit), 0)
-
 
 class RangeMax:
     """Sparse table: the rightmost of the largest values in any range, in constant time. Spans up to ``widest`` are kept."""
@@ -92,6 +79,37 @@ class RangeMax:
         k = (hi - lo).bit_length() - 1
         return int(max(self.rows[k][lo], self.rows[k][hi - 2**k])) % (self.n + 1)
 
+    def largest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The largest value in each [lo, hi); -1 for an empty range."""
+        out = np.full(len(lo), -1, np.int64)
+        some = np.flatnonzero(hi > lo)
+        k = np.frexp((hi - lo)[some])[1] - 1
+        for j in np.unique(k):
+            at = some[k == j]
+            out[at] = np.maximum(self.rows[j][lo[at]], self.rows[j][hi[at] - 2**j]) // (self.n + 1)
+        return out
+
+
+def level_of(text: str, limit: int) -> int:
+    """The strongest boundary that leaves no unit over the limit; 0 where even words are too long.
+
+    Cut at every gap of a strength, no unit is over the limit just if behind the text's begin and behind each gap another
+    gap at least as strong begins within the limit, unless the text ends first. So the answer is the least, over all these
+    places, of the strongest gap in the permissible window: one question to the index for each place.
+    """
+    b = Boundaries(text)
+    inner = (b.start > 0) & (b.end < b.length)
+    # white space at either end is stripped and belongs to no unit
+    begin = int(b.end[0]) if len(b.end) and b.start[0] == 0 else 0
+    stop = int(b.start[-1]) if len(b.end) and b.end[-1] == b.length else b.length
+    starts, ends, strength = b.start[inner], b.end[inner], b.strength[inner]
+    at = np.concatenate(([begin], ends))
+    at = at[stop - at > limit]
+    if not len(at):
+        return PARAGRAPH
+    strongest = RangeMax(strength, limit + 1).largest(np.searchsorted(starts, at), np.searchsorted(starts, at + limit, "right"))
+    return max(0, int(strongest.min()))
+
 
 def pieces_of(text: str, p: Params) -> list[tuple[int, int, int]]:
     """(start, end, strength of the cut at its end) of each piece; the last ends the text, with strength PARAGRAPH."""
@@ -109,9 +127,10 @@ def pieces_of(text: str, p: Params) -> list[tuple[int, int, int]]:
         if lo < hi:
             g = index.best(int(lo), int(hi))
             end, strength, then = int(stops[g]), int(b.strength[g]), int(begins[g])
-        else:  # no gap in the window: any gap before it is better than a cut inside a word
-            g = int(hi) - 1
-            if g >= 0 and stops[g] > at + p.overlap:
+        else:  # no gap in the window: the strongest gap before it is better than a cut inside a word
+            early = int(np.searchsorted(stops, at + p.overlap, "right"))
+            if early < hi:
+                g = index.best(early, int(hi))
                 end, strength, then = int(stops[g]), int(b.strength[g]), int(begins[g])
             else:
                 end, strength, then = at + p.limit, 0, at + p.limit
@@ -131,7 +150,7 @@ def found(df: DataFrame, p: Params = Params()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            level = [NAMES[Boundaries(x).level(p.limit)] for x in b.column("target_text").to_pylist()]
+            level = [NAMES[level_of(x, p.limit)] for x in b.column("target_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("segment_id"), pa.array(level, pa.string())], names=["segment_id", "boundary"])
 
     rows = df.select("segment_id", "target_text").where(F.col("segment_id").isNotNull() & (F.length("target_text") > p.limit))

@@ -44,7 +44,7 @@ texts = st.text(alphabet=st.sampled_from(list("ab.!…  \t\n\r ")), max_size=12
 @given(texts, st.integers(1, 30))
 def test_level_equals_splitting(text, limit):
     if text.strip(s.WHITE):
-        assert s.NAMES[s.Boundaries(text).level(limit)] == level(text, limit)
+        assert s.NAMES[s.level_of(text, limit)] == level(text, limit)
 
 
 @settings(max_examples=400, deadline=None)
@@ -87,3 +87,22 @@ def test_operators(spark):
     assert all(r.end - r.start == len(r.text) <= 2400 for r in got)
     assert [r.scene_id for r in got if r.segment_id == "C"] == ["S"] * 3
     assert s.found(table(spark, [])).count() == 0 and s.pieces(table(spark, [])).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcdeß.", min_size=1, max_size=40), min_size=300, max_size=900), st.lists(st.sampled_from([" ", "\n", "\n\n", "\r\n", "\u00a0"]), min_size=900, max_size=900))
+def test_pieces_share_the_stated_overlap(words, gaps):
+    text = "".join(w + g for w, g in zip(words, gaps))
+    p = s.Params()
+    got = s.pieces_of(text, p)
+    for (_, e, _), (b, _, _) in zip(got, got[1:]):
+        # words are shorter than the overlap, so a piece begins at the first word of the last 200 code points
+        starts = [m.start() for m in re.finditer(f"[^{s.WHITE}]+", text) if e - p.overlap <= m.start() < e]
+        assert b == starts[0] and p.overlap - 40 - 2 <= e - b <= p.overlap
+
+
+def test_without_a_gap_in_the_window_the_strongest_earlier_one_is_cut():
+    p = s.Params(limit=20, overlap=2, fill=0.5)
+    text = "aa bb.\ncc d" + "e" * 30
+    (_, end, strength), *_ = s.pieces_of(text, p)
+    assert (end, strength) == (6, s.LINE)
