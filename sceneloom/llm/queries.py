@@ -38,6 +38,7 @@ def queries() -> dict[str, Query]:
         "p7_found": _on("documents", truncation.found),
         "p7_rates": _on("documents", truncation.rates),
         "p7_limits": _on("documents", truncation.limits),
+        "p7_reasons": _on("documents", truncation.reasons),
     }
 
 

@@ -21,8 +21,8 @@ def text(r, n):
 
 
 def test_endings(spark):
-    whole = ["Er geht.", "Geht er?", "„Ja.“", "Sie geht …!", "Ein Satz.\n(ab)", "Ein Satz.\n* * *", "Ein Satz.\n— Lioba", "Ein Satz.\n\nENDE", "Blatt 3 von 4", "走。", "Er geht. …", "Ein Satz.  ​\n", "...", "Gut. [...]"]
-    bare = ["Er geht nach", "Er ge", "Er geht, ", "und dann –", "X (leise", "die Stadt:", "Er sagte. Dann kam d"]
+    whole = ["Er geht.", "Geht er?", "„Ja.“", "Sie geht …!", "Ein Satz.\n(ab)", "Ein Satz.\n* * *", "走。", "Er geht. …", "Ein Satz.  ​\n", "...", "Gut. [...]"]
+    bare = ["Er geht nach", "Er ge", "Er geht, ", "und dann –", "X (leise", "die Stadt:", "Er sagte. Dann kam d", "Ein Satz.\n— Lioba", "Ein Satz.\n\nENDE", "Blatt 3 von 4"]
     marked = ["Er geht …", "Er geht…", "Er geht [...]", "Er geht..."]
     blank = [None, "", " \n "]
     every = [(x, k) for k, xs in (("complete", whole), ("bare", bare), ("marked", marked), (None, blank)) for x in xs]
@@ -70,9 +70,43 @@ def test_finds_cut_texts_and_limits(spark):
     assert not any(s in ("free", None) for s, *_ in limits)
     rates = {r.source: r for r in t.rates(df).collect()}
     assert sum(r.documents for r in rates.values()) == len(rows) and sum(r.cut for r in rates.values()) == len(got)
+    assert all(r.cut == r.at_limit + r.broken for r in rates.values()) and rates["free"].broken > 0
     assert rates[None].cut == 0 and rates["chars"].at_limit > 0
 
 
+def other_corpus(n, seed):
+    """Another language, other closing lines, a list at the end; a limit of 300 code points and broken transfers."""
+    r = random.Random(seed)
+    names = ["Ilona", "Béla", "Márta", "Géza", "Ottó"]
+    closing = [lambda: f"sgd. {r.choice(names)} {r.choice(names)}", lambda: f"p. {r.randrange(1, 9)} / 9", lambda: "Filed under: " + ", ".join(r.sample(names, 2)), lambda: "FINIS", lambda: "Cast\n" + "\n".join(r.sample([f"{x}, a clerk" for x in names], 3))]
+    rows, cut = [], {"field limit": set(), "broken transfer": set()}
+    for k in range(n):
+        x = text(r, r.randrange(60, 700))
+        source = ["press", "archive", "blog"][k % 3]
+        if source == "press" and len(x) > 300:
+            x = x[:300]
+            if x.rstrip()[-1] not in ".!?":
+                cut["field limit"].add(k)
+        elif k % 37 == 0:
+            x = x[: r.randrange(30, len(x) - 1)].rstrip(".!? \n")
+            cut["broken transfer"].add(k)
+        elif k % 5 == 0:
+            x += "\n\n" + r.choice(closing)()
+        rows.append((k, source, x))
+    return rows, cut
+
+
+def test_closing_lines_are_learned_at_any_size(spark):
+    for n in (600, 3000):
+        rows, cut = other_corpus(n, n)
+        got = {"field limit": set(), "broken transfer": set()}
+        for x in t.judged(table(spark, rows)).where("cut").collect():
+            got[x.reason].add(x.doc_id)
+        # a broken text may be as long as the limit by chance
+        assert got["field limit"] | got["broken transfer"] == cut["field limit"] | cut["broken transfer"]
+        assert cut["field limit"] <= got["field limit"]
+
+
 def test_hazard_test_is_an_upper_bound():
     """The bound used for the p-value is never below the binomial tail."""
     import math
