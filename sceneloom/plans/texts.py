@@ -226,41 +226,3 @@ def s1(spark, root):
     write_jsonl(segments(spark, root, "target_text", "event_ids"), path)
     back = read_jsonl(spark, path, "segment_id string, target_text string, event_ids array<string>")
     return back.select("segment_id", sha256(F.col("target_text")).alias("sha"), F.size("event_ids").alias("events"))
-
-
-def _markup(spark, root):
-    """A marked-up document for each scene, made of its atoms."""
-    from .base import events
-
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\r"), F.lit(" "))
-    e = events(spark, root)
-    tag = F.when(F.col("kind") == "speaker", "speaker").when(F.col("kind") == "stage", "stage").when(F.col("kind") == "prose", "p").otherwise("l")
-    lines = e.select("scene_id", "atom_id", "source_kind", "event_index", F.concat(F.lit("<"), tag, F.lit(">"), esc(F.col("text")), F.lit("</"), tag, F.lit(">")).alias("x"))
-    a = lines.groupBy("scene_id", "atom_id", "source_kind").agg(F.array_join(in_order(F.col("x"), F.col("event_index")), "").alias("x"))
-    wrap = F.when(F.col("source_kind") == "speech", "sp").when(F.col("source_kind") == "lg", "lg").otherwise("ab-group")
-    x = F.when(wrap == "ab-group", F.col("x")).otherwise(F.concat(F.lit("<"), wrap, F.lit(">"), "x", F.lit("</"), wrap, F.lit(">")))
-    d = a.select("scene_id", "atom_id", x.alias("x")).groupBy("scene_id").agg(F.array_join(in_order(F.col("x"), F.col("atom_id")), "").alias("x"))
-    doc = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div type="scene"><head>'), "scene_id", F.lit("</head>"), "x", F.lit("</div></body></text></TEI>"))
-    return d.select(F.col("scene_id").alias("work_id"), F.encode(doc, "utf-8").alias("content"))
-
-
-@query(
-    "tei_events",
-    f"""SELECT scene_id AS work_id, count(*) AS events, count(*) FILTER (kind = 'verse') AS verses, count(*) FILTER (kind = 'speaker') AS labels, count(*) FILTER (kind = 'stage') AS stages,
-    sha256(string_agg({NORM.format('text')}, chr(10) ORDER BY atom_id, event_index)) AS sha FROM {SQL_EVENTS} WHERE {NORM.format('text')} <> '' GROUP BY 1""",
-)
-def tei_events(spark, root):
-    """Markup made of the atoms, parsed into events again: nothing lost, nothing added, order kept."""
-    from ..sources import tei
-
-    e = tei.events(tei.explode(_markup(spark, root)))
-    kinds = [F.count_if(F.col("kind") == k).alias(n) for k, n in (("verse", "verses"), ("speaker", "labels"), ("stage", "stages"))]
-    return e.groupBy("work_id").agg(F.count(F.lit(1)).alias("events"), *kinds, sha256(F.array_join(in_order(F.col("text"), F.col("ord")), "\n")).alias("sha"))
-
-
-@query("tei_line_coverage", "SELECT NULL::VARCHAR AS work_id, NULL::INT AS ord, NULL::VARCHAR AS expected, NULL::VARCHAR AS found WHERE false")
-def tei_coverage(spark, root):
-    """Verse lines that the events miss or add, by an independent walk: none."""
-    from ..sources import tei
-
-    return tei.uncovered_lines(tei.explode(_markup(spark, root)))

@@ -24,11 +24,21 @@ PLAY = (
 @pytest.fixture(scope="module")
 def rows(spark):
     docs = spark.createDataFrame([("F1", bytearray(PLAY.encode())), ("F2", None)], "work_id string, content binary")
-    return tei.explode(docs).cache()
+    return tei.marks(docs)
 
 
-def test_events_in_order(spark, rows):
-    e = tei.events(rows).orderBy("ord").collect()
+@pytest.fixture(scope="module")
+def ev(rows):
+    return tei.events(rows).cache()
+
+
+def of(spark, *bodies, head=HEAD):
+    docs = spark.createDataFrame([(f"W{k}", bytearray((head + b + "</text></TEI>").encode())) for k, b in enumerate(bodies)], "work_id string, content binary")
+    return tei.marks(docs)
+
+
+def test_events_in_order(ev):
+    e = ev.orderBy("ord").collect()
     assert [(x.scene_id, x.atom_id[-5:], x.kind, x.text) for x in e] == [
         ("F1_S001", "A0001", "prose", "Vorwort"),
         ("F1_S002", "A0001", "speaker", "WIRTIN."),
@@ -44,36 +54,52 @@ def test_events_in_order(spark, rows):
     assert e[1].speakers == ["wirtin", "bote"] and e[6].stages == ["leise"] and e[8].speakers == []
     assert e[1].scene_group_id == e[6].scene_group_id != e[8].scene_group_id
     assert e[6].scene_xpath == "/t:TEI/t:text[1]/t:body[1]/t:div[1]/block[2]"
+    assert e[2].stanza_ids == ["/t:TEI/t:text[1]/t:body[1]/t:div[1]/t:div[1]/t:sp[1]/t:lg[1]"] and e[4].stanza_ids == []
+    assert [h.title for h in e[1].hierarchy] == ["Wald", "Lichtung"] and [h.type for h in e[6].hierarchy] == ["Szene"] and e[0].region == "front"
 
 
-def test_scenes_atoms_and_logs(spark, rows):
-    e = tei.events(rows)
-    a = tei.atoms(e)
+def test_scenes_atoms_and_logs(rows, ev):
+    a = tei.atoms(ev)
     first = a.where("atom_id = 'F1_S002_A0001'").first()
     assert first.text == "WIRTIN.\n\nEin Wort\nzwei drei\n\nvier" and first.kind == "speech" and first.verse_indices == [1, 2, 3] and first.source_line_numbers == ["1", None, None] and first.speaker_labels == ["WIRTIN."]
-    s = {r.scene_id: r for r in tei.scenes(e, a).collect()}
+    s = {r.scene_id: r for r in tei.scenes(ev, a).collect()}
     assert [s[k].scene_title for k in sorted(s)] == ["front", "Lichtung", "Wald", "Haus / innen"]
     assert s["F1_S002"].atom_ids == ["F1_S002_A0001", "F1_S002_A0002"] and s["F1_S002"].word_count == 7
-    assert {(r.tag, r.requires_review) for r in rows.where("row = 'exclusion'").collect()} == {("note", True), ("castList", False)}
-    assert [(r.kind, r.tag) for r in rows.where("row = 'choice'").orderBy("ord").collect()] == [("orig", "choice"), ("lem", "app")]
-    assert [(r.xml_id, r.names) for r in rows.where("row = 'person'").collect()] == [("wirtin", ["Die Wirtin"])]
-    assert [r.text for r in rows.where("row = 'markup'").collect()] == ["stark"]
-    assert rows.where("row = 'structure'").count() == 4 and rows.where("row = 'heading'").count() == 5
-    assert tei.uncovered_lines(rows).count() == 0
-    assert tei.uncovered_lines(rows.where("not (row = 'event' and text = 'vier')")).count() == 2
-    assert [(r.work_id, r.unknown) for r in tei.unknown_speakers(rows).collect()] == [("F1", ["bote", "geist"])]
+    assert {(r.tag, r.text, r.requires_review) for r in tei.exclusions(rows).collect()} == {("note", "nicht das", True), ("castList", "weg", False)}
+    assert {(r.selected_tag, r.tag) for r in tei.choices(rows).collect()} == {("orig", "choice"), ("lem", "app")}
+    assert [(r.person_id, r.names) for r in tei.persons(rows).collect()] == [("wirtin", ["Die Wirtin"])]
+    assert [r.text for r in tei.inline_markup(rows).collect()] == ["stark"]
+    assert sorted(tuple(r.direct_titles) for r in tei.structure(rows).collect()) == [("Haus", "innen"), ("Lichtung",), ("Nur Kopf",), ("Wald",)]
+    assert tei.headings(rows).count() == 5
+    assert tei.uncovered_lines(rows, ev).count() == 0
+    assert tei.uncovered_lines(rows, ev.where("text <> 'vier'")).count() == 2
+    assert [(r.work_id, r.unknown) for r in tei.unknown_speakers(rows, ev).collect()] == [("F1", ["bote", "geist"])]
 
 
 @pytest.mark.parametrize("bad", ['<!DOCTYPE x><TEI/>', "<html/>", '<TEI xmlns="http://www.tei-c.org/ns/1.0"/>', "<TEI", HEAD + "<body><div><p><choice><x/></choice></p></div></body></text></TEI>"])
 def test_refused_documents(bad):
     with pytest.raises(Exception):
-        tei.Reader(bad.encode()).read()
-
-
-def test_unclassified_text():
-    got = [r for r in tei.Reader((HEAD + "<body><div><sp>los<l>a</l>mehr</sp></div></body></text></TEI>").encode()).read() if r["row"] == "event"]
-    assert [(r["kind"], r["text"]) for r in got] == [("unclassified_text", "los"), ("verse", "a"), ("unclassified_text", "mehr")]
-    assert got[0]["xpath"].endswith("/t:sp[1]/text()") and got[2]["xpath"].endswith("/t:l[1]/following-sibling::text()[1]")
+        list(tei.Marks().read(bad.encode()))
+    with pytest.raises(ValueError):
+        list(tei.Marks().read((HEAD + "</text></TEI>").encode(), largest=10))
+
+
+def test_loose_text_breaks_and_nested_parts(spark):
+    rows = of(
+        spark,
+        "<body><div><sp>los<l>a</l>mehr</sp></div></body>",
+        "<body><div><lg><l>a <hi>b</hi> <hi>c</hi><lb/>d</l><l><note>x</note></l></lg><app><rdg><l>weg</l></rdg></app><p>q<choice><corr>1</corr><sic>2<choice><reg>3</reg><orig>4</orig></choice></sic></choice>r</p></div></body>",
+        "<body><head>Stück</head><p>ohne Teilung</p></body>",
+        "<body><div><head/><div><p> </p></div></div></body>",
+    )
+    e = {}
+    for r in tei.events(rows).orderBy("work_id", "ord").collect():
+        e.setdefault(r.work_id, []).append((r.kind, r.text, r.xpath.split("/t:div[1]/")[-1], r.scene_title))
+    assert e["W0"] == [("unclassified_text", "los", "t:sp[1]/text()", "body"), ("verse", "a", "t:sp[1]/t:l[1]", "body"), ("unclassified_text", "mehr", "t:sp[1]/t:l[1]/following-sibling::text()[1]", "body")]
+    assert [x[:2] for x in e["W1"]] == [("verse", "a b c d"), ("verse", "weg"), ("prose", "q24r")]
+    assert [(k, t, s) for k, t, _, s in e["W2"]] == [("prose", "ohne Teilung", "Stück")] and "W3" not in e
+    assert {(r.xpath[-12:], r.selected_tag) for r in tei.choices(rows).collect()} == {("div[1]/t:app[1]"[-12:], "rdg"), ("t:choice[1]", "sic")[:0] or ("]/t:choice[1]"[-12:], "sic"), ("]/t:choice[1]"[-12:], "orig")}
+    assert tei.uncovered_lines(rows, tei.events(rows)).count() == 0
 
 
 def test_jsonl(spark, tmp_path):
