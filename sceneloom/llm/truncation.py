@@ -70,13 +70,10 @@ def _trimmed(line: Column) -> Column:
 
 
 def _beginnings(line: Column, p: Params) -> Column:
-    """Hashes of the first word, the first two, ... of a line; empty for a line of fewer."""
-    w = F.split(line, r"\s+")
-    return F.transform(F.sequence(F.lit(1), F.least(F.lit(p.closing_words), F.size(w))), lambda n: F.xxhash64(F.slice(w, 1, n)))
-
-
-def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.translate(text, "\r", "\n"), "\n"), _trimmed), lambda x: x != "")
+    """Hashes of the first word, the first two, ... of a line; empty for a blank one."""
+    # a limited split looks at no more of the line than is needed; it may begin with an empty string
+    w = F.slice(F.filter(F.split(line, r"\s+", p.closing_words + 2), lambda x: x != ""), 1, p.closing_words)
+    return F.transform(w, lambda _, k: F.xxhash64(F.slice(w, 1, k + 1)))
 
 
 def endings(df: DataFrame, p: Params) -> DataFrame:
@@ -171,7 +168,7 @@ def closings(df: DataFrame, rows: DataFrame, limit: DataFrame, p: Params) -> Dat
     free = rows.where("begins is not null").join(limit.select("doc_id"), "doc_id", "left_anti")
     final = free.select(F.explode("begins").alias("begin"), "key_a", "key_b").groupBy("begin").agg(F.count_distinct("key_a", "key_b").alias("final")).where(F.col("final") >= p.closing_least)
     final = materialise(final, "p7-final")
-    lines = df.where("doc_id is not null and text is not null").select(_lines(F.col("text")).alias("x"))
+    lines = df.where("doc_id is not null and text is not null").select(F.filter(F.split("text", r"[\r\n]+"), lambda x: F.trim(x) != "").alias("x"))
     inner = lines.where(F.size("x") > 1).select(F.explode(F.slice("x", 1, F.size("x") - 1)).alias("x")).select(F.explode(_beginnings(F.col("x"), p)).alias("begin"))
     inner = inner.join(final.select("begin"), "begin", "left_semi").groupBy("begin").agg(F.count(F.lit(1)).alias("inner"))
     share = F.col("final") / (F.col("final") + F.col("inner"))
