@@ -8,18 +8,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import strip
+
 IGNORED = -100  # Fixed value: the label that a loss leaves out.
 
-TASK, EXCERPT, REFERENCE = "### Aufgabe\n", "\n\n### Textauszug\n", "### Referenz\n"  # Fixed values: the prompt's headings.
+# The prompt's headings; the stock opening of an instruction.
+TASK, EXCERPT, REFERENCE = "### Aufgabe\n", "\n\n### Textauszug\n", "### Vergleichstext (nicht abschreiben)\n"
+INTRO = "Schreibe einen literarischen Textausschnitt auf Deutsch nach den folgenden inhaltlichen Vorgaben. Halte die Reihenfolge der Vorgänge ein. Unterscheide ausgeführte Handlungen von Berichten, Wünschen, Träumen und Behauptungen der Figuren. Gib nur den Textausschnitt aus, ohne Erläuterung."
+
+
+def instruction(form: Column, situation: Column, beats: Column, intro: str = INTRO) -> Column:
+    """An instruction made of the allowed fields of a specification; null where one of them is."""
+    return F.concat(F.lit(f"{intro}\n\nForm: "), form, F.lit("\nAusgangslage: "), situation, F.lit("\nAblauf: "), F.array_join(beats, " "))
+
+
+def _filled(c: Column, what: str) -> Column:
+    """The text as it is; null or of white space only is an error."""
+    return F.when(F.coalesce(strip(c), F.lit("")) == "", F.raise_error(F.lit(f"blank {what}"))).otherwise(c)
 
 
 def training_prompt(instruction: Column, reference: Column | None = None) -> Column:
-    """The prompt of an instruction, with an optional reference before it; a blank instruction raises an error."""
-    task = F.concat(F.lit(TASK), F.trim(instruction), F.lit(EXCERPT))
+    """The prompt of an instruction, taken as it is, with an optional reference before it; a blank instruction is an error."""
+    task = F.concat(F.lit(TASK), _filled(instruction, "instruction"), F.lit(EXCERPT))
     if reference is not None:
         task = F.concat(F.when(reference.isNotNull(), F.concat(F.lit(REFERENCE), reference, F.lit("\n\n"))).otherwise(""), task)
-    blank = instruction.isNull() | (F.trim(instruction) == "")
-    return F.when(blank, F.raise_error(F.lit("blank instruction"))).otherwise(task)
+    return task
 
 
 def code_points(c: Column) -> Column:
@@ -35,7 +48,8 @@ def masked(prompt_ids: Column, target_ids: Column, eos: int) -> tuple[Column, Co
 
 
 def encoded(df: DataFrame, prompt: str, target: str, encoder: Callable[[], Callable[[str], list[int]]], eos: int) -> DataFrame:
-    """segment_id, input_ids, attention_mask, labels with a tokenizer of one's own, made once a task by ``encoder``."""
+    """segment_id, input_ids, attention_mask, labels with a tokenizer of one's own, made once a task by ``encoder``. A blank
+    prompt or target is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
@@ -43,7 +57,7 @@ def encoded(df: DataFrame, prompt: str, target: str, encoder: Callable[[], Calla
             one, two = ([encode(x) for x in b.column(k).to_pylist()] for k in (1, 2))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(one, pa.list_(pa.int32())), pa.array(two, pa.list_(pa.int32()))], names=["segment_id", "a", "b"])
 
-    rows = df.where(F.col(prompt).isNotNull() & F.col(target).isNotNull()).select("segment_id", prompt, target)
+    rows = df.select("segment_id", _filled(F.col(prompt), "prompt").alias("p"), _filled(F.col(target), "target").alias("t"))
     ids, mask, labels = masked(F.col("a"), F.col("b"), eos)
     return rows.mapInArrow(run, "segment_id string, a array<int>, b array<int>").select("segment_id", ids.alias("input_ids"), mask.alias("attention_mask"), labels.alias("labels"))
 

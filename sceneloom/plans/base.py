@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import sequence
 from ..operators.splits import split_name
 from ..session import table
 
@@ -69,16 +70,29 @@ def sql_atoms(*columns: str) -> str:
     return f"(SELECT DISTINCT {', '.join(columns)} FROM partition_atoms)"
 
 
-def events(spark: SparkSession, root: str) -> DataFrame:
-    """An event for each line of an atom: kind by the atom's kind, a speaker's label where a speech begins with one.
+def _atom_lines() -> Column:
+    """The lines of an atom that aren't empty, with number, id and kind: kind by the atom's, a speaker's label where a
+    speech begins with one."""
+    split = F.split("text", "\n")
+    kind = lambda x, i: (
+        F.when(F.col("source_kind") == "stage", "stage").when((F.col("source_kind") == "speech") & (i == 0) & x.rlike(r"^\p{Lu}+\.( \(.*\))?\z"), "speaker").when(F.col("source_kind") == "p", "prose").otherwise("verse")
+    )
+    rows = F.transform(split, lambda x, i: F.struct(i.alias("event_index"), F.format_string("%s_E%04d", "atom_id", i + 1).alias("event_id"), kind(x, i).alias("kind"), x.alias("text")))
+    return F.filter(rows, lambda r: r["text"] != "")
+
+
+_ATOM = ("source_atom_id", "segment_id", "work_id", "source_kind")
+
 
-    Repeated rows are dropped where their scene is put together, so that everything done by scene needs one shuffle.
-    """
-    a = table(spark, root, "partition_atoms").select("atom_id", "source_atom_id", "segment_id", "scene_id", "work_id", "source_kind", "text")
-    a = a.where("scene_id is not null and text is not null").repartition("scene_id").distinct()
-    lines = a.select("*", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("line <> ''")
-    kind = F.when(F.col("source_kind") == "stage", "stage").when((F.col("source_kind") == "speech") & (F.col("i") == 0) & F.col("line").rlike(r"^\p{Lu}+\.( \(.*\))?\z"), "speaker").when(F.col("source_kind") == "p", "prose").otherwise("verse")
-    return lines.select("atom_id", "source_atom_id", "segment_id", "scene_id", "work_id", "source_kind", F.col("i").alias("event_index"), F.format_string("%s_E%04d", "atom_id", F.col("i") + 1).alias("event_id"), kind.alias("kind"), F.col("line").alias("text"), F.array("source_kind").alias("stanza_ids"))
+def _event_atoms(spark: SparkSession, root: str) -> DataFrame:
+    a = table(spark, root, "partition_atoms").select("scene_id", "atom_id", *_ATOM, "text")
+    return a.where("scene_id is not null and text is not null").repartition("atom_id").distinct()
+
+
+def events(spark: SparkSession, root: str) -> DataFrame:
+    """An event for each line of an atom that belongs to a scene."""
+    e = _event_atoms(spark, root).select("scene_id", "atom_id", *_ATOM, F.inline(_atom_lines()))
+    return e.withColumn("stanza_ids", F.array("source_kind"))
 
 
 SQL_EVENTS = rf"""(SELECT atom_id, source_atom_id, segment_id, scene_id, work_id, source_kind, i AS event_index, printf('%s_E%04d', atom_id, i + 1) AS event_id, line AS text, [source_kind] AS stanza_ids,
@@ -87,12 +101,9 @@ SQL_EVENTS = rf"""(SELECT atom_id, source_atom_id, segment_id, scene_id, work_id
 
 
 def scene_events(spark: SparkSession, root: str) -> DataFrame:
-    """events with scene_ord (from 1) and atom_number within the scene."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("scene_id")
-    e = events(spark, root)
-    return e.withColumn("scene_ord", F.row_number().over(w.orderBy("atom_id", "event_index"))).withColumn("atom_number", F.dense_rank().over(w.orderBy("atom_id")))
+    """events with scene_ord and atom_number (both from 1) within the scene."""
+    e = sequence.number_events(_event_atoms(spark, root), _atom_lines(), *_ATOM)
+    return e.withColumn("stanza_ids", F.array("source_kind"))
 
 
 SQL_SCENE_EVENTS = f"(SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY atom_id, event_index) AS scene_ord, dense_rank() OVER (PARTITION BY scene_id ORDER BY atom_id) AS atom_number FROM {SQL_EVENTS})"

@@ -48,13 +48,13 @@ def documents(spark, root) -> DataFrame:
 
 
 # every event of these documents, in order: x is the text, loose text included, path the one of its atom, leaf the step to it
-_SQL = f"""WITH base AS (SELECT printf('%s_B%03d', scene_id, n // {_SIZE}) AS work_id, scene_id, n % 2 AS part, atom_id, source_kind, event_index AS i, kind, {NORM.format('text')} AS x
+_SQL = f"""WITH base AS (SELECT printf('%s_B%03d', scene_id, n // {_SIZE}) AS work_id, scene_id, n % 2 AS part, atom_id, source_kind, event_index AS i, kind, CASE WHEN event_index % 5 = 4 AND kind = 'verse' THEN {NORM.format(chr(34) + 'text' + chr(34) + " || 'leise'")} ELSE {NORM.format('text')} END AS x
     FROM (SELECT *, CAST(regexp_extract(atom_id, '_A(\\d+)', 1) AS INT) AS n FROM {SQL_EVENTS}) WHERE {NORM.format('text')} <> ''),
   atom AS (SELECT *, CASE source_kind WHEN 'speech' THEN 'sp' WHEN 'lg' THEN 'lg' ELSE 'q' END AS atag FROM (SELECT DISTINCT work_id, scene_id, part, atom_id, source_kind FROM base)),
   scene AS (SELECT *, dense_rank() OVER (PARTITION BY work_id ORDER BY part) AS s FROM atom),
   placed AS (SELECT *, printf('%s_S%03d', work_id, s) AS sid, row_number() OVER (PARTITION BY work_id, part ORDER BY atom_id) AS k,
     '{_BODY}' || CASE part WHEN 0 THEN '/t:div[1]' ELSE '' END || '/t:' || atag || '[' || row_number() OVER (PARTITION BY work_id, part, atag ORDER BY atom_id) || ']' AS apath FROM scene),
-  leaves AS (SELECT work_id, scene_id, part, sid, k, apath, atag, i, kind, x || CASE WHEN i % 5 = 4 AND kind = 'verse' THEN 'leise' ELSE '' END AS x,
+  leaves AS (SELECT work_id, scene_id, part, sid, k, apath, atag, i, kind, x,
     apath || '/t:' || CASE kind WHEN 'verse' THEN 'l' WHEN 'prose' THEN 'p' ELSE kind END || '[' || row_number() OVER (PARTITION BY work_id, part, k, kind ORDER BY i) || ']' AS xpath FROM base JOIN placed USING (work_id, scene_id, part, atom_id, source_kind)),
   ev AS (SELECT * FROM leaves UNION ALL SELECT work_id, scene_id, part, sid, k, apath, atag, -1, 'unclassified_text', 'los', apath || '/text()' FROM placed WHERE atag = 'q')
   """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import in_order, lexical_words, overlap_words, sha256
+from ..functions import lexical_words, overlap_words, sha256, strip
 from ..operators import encode, joins, overlap, release, rules, sequence, splits
 from ..streaming import early_stop
 from . import texts  # noqa: F401  # some rules reuse its SQL
@@ -23,6 +23,13 @@ def j1_lonely(spark, root):
     return joins.lonely_keys(m, p, "segment_id")
 
 
+@query("j1_lonely_groups", "SELECT scene_group_id, 'left' AS side FROM (SELECT scene_group_id FROM master_segments WHERE scene_group_id IS NOT NULL EXCEPT SELECT scene_group_id FROM scenes) UNION ALL SELECT scene_group_id, 'right' FROM (SELECT scene_group_id FROM scenes WHERE scene_group_id IS NOT NULL EXCEPT SELECT scene_group_id FROM master_segments)")
+def j1_groups(spark, root):
+    """Groups as delivered, in all their spellings, against those of the scenes."""
+    m, p = (table(spark, root, t).select("scene_group_id").where("scene_group_id is not null") for t in ("master_segments", "scenes"))
+    return joins.lonely_keys(m, p, "scene_group_id")
+
+
 @query("j1_pair_join", f"SELECT m.segment_id, m.target_text = p.target_text AS same_text, m.sha = p.target_text_sha256 AS same_hash FROM (SELECT segment_id, target_text, target_text_sha256 AS sha FROM {sql_segments('target_text', 'target_text_sha256')}) m JOIN {sql_pairs('target_text', 'target_text_sha256')} p USING (segment_id)")
 def j1_pairs(spark, root):
     m = segments(spark, root, "target_text", "target_text_sha256").select("segment_id", F.col("target_text").alias("t"), F.col("target_text_sha256").alias("s"))
@@ -137,17 +144,35 @@ def j11(spark, root):
 # --- ordered events
 
 
+_SQL_MARKED = f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY scene_id, atom_number ORDER BY scene_ord) - 1 AS i FROM {SQL_SCENE_EVENTS}),
+    l AS (SELECT scene_id, atom_number, max(i) AS last, max(i) FILTER (kind IN ('verse', 'prose')) AS spoken, arg_max(kind, i) AS last_kind FROM e GROUP BY ALL),
+    m AS (SELECT *, CASE WHEN last_kind = 'stage' AND last > 0 THEN '!' WHEN spoken IS NULL THEN '' WHEN atom_number % 3 = 0 THEN '^' WHEN atom_number % 3 = 1 THEN '@0' ELSE '' END AS sign FROM l),
+    r AS (SELECT m.scene_id, m.atom_number, m.atom_number || sign AS marker, e.event_id, e.scene_ord::INT AS stop FROM m JOIN e USING (scene_id, atom_number) WHERE e.i = CASE sign WHEN '!' THEN last - 1 WHEN '^' THEN spoken WHEN '@0' THEN 0 ELSE last END)"""
+
+
+def _marked(spark, root):
+    """(events, a marker for every atom in one of the four spellings of the grammar, resolved)."""
+    e = scene_events(spark, root)
+    a = e.groupBy("scene_id", "atom_number").agg(F.max(F.when(F.col("kind").isin("verse", "prose"), 1)).alias("spoken"), F.max_by("kind", "scene_ord").alias("last"), F.count(F.lit(1)).alias("n"))
+    k = F.col("atom_number") % 3
+    sign = F.when((F.col("last") == "stage") & (F.col("n") > 1), "!").when(F.col("spoken").isNull(), "").when(k == 0, "^").when(k == 1, "@0").otherwise("")
+    return e, sequence.resolve_anchors(a.select("scene_id", F.concat("atom_number", sign).alias("marker")), e)
+
+
+@query("w1_anchors", _SQL_MARKED + " SELECT scene_id, marker, event_id, stop FROM r")
+def w1(spark, root):
+    return _marked(spark, root)[1]
+
+
 @query(
-    "w1_w2_anchors",
-    f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY scene_id, atom_number ORDER BY scene_ord) - 1 AS i FROM {SQL_SCENE_EVENTS}), l AS (SELECT scene_id, atom_number, max(i) AS last, max(i) FILTER (kind IN ('verse', 'prose')) AS spoken FROM e WHERE atom_number % 5 = 1 GROUP BY ALL)
-    SELECT l.scene_id, atom_number || CASE WHEN spoken IS NULL THEN '' WHEN atom_number % 2 = 0 THEN '^' ELSE '@0' END AS marker, e.event_id, e.scene_ord::INT AS stop FROM l JOIN e USING (scene_id, atom_number) WHERE e.i = CASE WHEN spoken IS NULL THEN last WHEN atom_number % 2 = 0 THEN spoken ELSE 0 END""",
+    "w2_invalid_cuts",
+    _SQL_MARKED + """, c AS (SELECT *, lag(stop) OVER (PARTITION BY scene_id ORDER BY atom_number) AS before FROM r), n AS (SELECT scene_id, count(*) AS n FROM e GROUP BY 1)
+    SELECT scene_id, stop FROM c JOIN n USING (scene_id) WHERE coalesce(stop <= before, false) OR stop <= 0 OR stop >= n""",
 )
-def w1(spark, root):
-    """A cut behind every fifth atom, in three spellings of the anchor grammar. The step is the fixture, not a sample."""
-    e = scene_events(spark, root)
-    marks = e.where("atom_number % 5 = 1").groupBy("scene_id", "atom_number").agg(F.max(F.when(F.col("kind").isin("verse", "prose"), 1)).alias("spoken"))
-    sign = F.when(F.col("spoken").isNull(), "").when(F.col("atom_number") % 2 == 0, "^").otherwise("@0")
-    return sequence.resolve_anchors(marks.select("scene_id", F.concat("atom_number", sign).alias("marker")), e)
+def w2(spark, root):
+    """The cuts behind every atom as they stand: those at the end of a scene don't lie inside it."""
+    e, cuts = _marked(spark, root)
+    return sequence.invalid_cuts(cuts.select("scene_id", F.regexp_extract("marker", r"^\d+", 0).cast("int").alias("cut_ord"), "stop"), e)
 
 
 @query(
@@ -175,12 +200,13 @@ def w4(spark, root):
 
 @query(
     "w5_render",
-    f"""SELECT scene_id, sha256(string_agg(glue || text, '' ORDER BY scene_ord)) AS sha, sum(length(glue || text))::BIGINT AS chars FROM (SELECT *, CASE WHEN scene_ord = 1 THEN '' WHEN kind = 'verse' AND lag(kind) OVER w = 'verse' AND stanza_ids = lag(stanza_ids) OVER w AND source_atom_id = lag(source_atom_id) OVER w THEN chr(10) ELSE chr(10) || chr(10) END AS glue
-    FROM {SQL_SCENE_EVENTS} WINDOW w AS (PARTITION BY scene_id ORDER BY scene_ord)) GROUP BY 1""",
+    f"""SELECT scene_id, ((scene_ord - 1) // 1000)::INT AS piece, sha256(string_agg(glue || text, '' ORDER BY scene_ord)) AS sha, sum(length(glue || text))::BIGINT AS chars FROM (SELECT *, CASE WHEN scene_ord = 1 THEN '' WHEN kind = 'verse' AND lag(kind) OVER w = 'verse' AND stanza_ids = lag(stanza_ids) OVER w AND source_atom_id = lag(source_atom_id) OVER w THEN chr(10) ELSE chr(10) || chr(10) END AS glue
+    FROM {SQL_SCENE_EVENTS} WINDOW w AS (PARTITION BY scene_id ORDER BY scene_ord)) GROUP BY 1, 2""",
 )
 def w5(spark, root):
-    r = sequence.render(scene_events(spark, root), ["scene_id"], "scene_ord")
-    return r.select("scene_id", sha256(F.col("text")).alias("sha"), F.length("text").cast("bigint").alias("chars"))
+    """The texts of all scenes, in pieces of a thousand events."""
+    r = sequence.render_scenes(scene_events(spark, root))
+    return r.select("scene_id", "piece", sha256(F.col("text")).alias("sha"), F.length("text").cast("bigint").alias("chars"))
 
 
 @query(
@@ -212,36 +238,36 @@ def filters(spark, root):
 
 def _sql_context(before, after):
     return f"""WITH e AS {SQL_SCENE_EVENTS}, s AS (SELECT scene_id, segment_id, min(scene_ord) AS lo, max(scene_ord) AS hi FROM e WHERE segment_id IS NOT NULL GROUP BY ALL)
-    SELECT s.segment_id, coalesce(string_agg(e.event_id, ',' ORDER BY e.scene_ord) FILTER (e.scene_ord < lo), '') AS context_before, coalesce(string_agg(e.event_id, ',' ORDER BY e.scene_ord) FILTER (e.scene_ord > hi), '') AS context_after
+    SELECT s.scene_id, s.segment_id, coalesce(string_agg(e.event_id, ',' ORDER BY e.scene_ord) FILTER (e.scene_ord < lo), '') AS context_before, coalesce(string_agg(e.event_id, ',' ORDER BY e.scene_ord) FILTER (e.scene_ord > hi), '') AS context_after
     FROM s LEFT JOIN e ON e.scene_id = s.scene_id AND (e.scene_ord BETWEEN lo - {before} AND lo - 1 OR e.scene_ord BETWEEN hi + 1 AND hi + {after}) GROUP BY s.scene_id, s.segment_id"""
 
 
 @query("w6_context", _sql_context(18, 12))
 def w6(spark, root):
-    e = scene_events(spark, root)
-    rows = sequence.context(e.withColumn("segment_id", F.concat_ws("|", "scene_id", "segment_id")).where("segment_id is not null"))
-    return rows.select(F.substring_index("segment_id", "|", -1).alias("segment_id"), F.array_join("context_before", ",").alias("context_before"), F.array_join("context_after", ",").alias("context_after"))
+    rows = sequence.context(scene_events(spark, root))
+    return rows.select("scene_id", "segment_id", F.array_join("context_before", ",").alias("context_before"), F.array_join("context_after", ",").alias("context_after"))
 
 
 @query(
     "w7_ledger",
-    f"""SELECT scene_id, segment_id, max(event_id) FILTER (scene_ord = hi) AS cut_after, array_to_string(list(event_id ORDER BY scene_ord) FILTER (scene_ord > hi - 12), ',') AS last_events
-    FROM (SELECT *, max(scene_ord) OVER (PARTITION BY scene_id, segment_id) AS hi FROM {SQL_SCENE_EVENTS}) WHERE segment_id IS NOT NULL GROUP BY ALL""",
+    f"""WITH e AS {SQL_SCENE_EVENTS}, h AS (SELECT scene_id, segment_id, max(scene_ord) AS hi, arg_max(event_id, scene_ord) AS cut_after FROM e WHERE segment_id IS NOT NULL GROUP BY ALL),
+    n AS (SELECT h.scene_id, h.segment_id, hi, cut_after, e.event_id, e.scene_ord, e.kind, e.source_atom_id, e.text, (e.scene_ord > hi) AS behind FROM h JOIN e ON e.scene_id = h.scene_id AND e.scene_ord BETWEEN hi - 11 AND hi + 12 WHERE e.scene_ord > hi OR e.segment_id = h.segment_id),
+    g AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN '' WHEN kind = 'verse' AND lag(kind) OVER w = 'verse' AND source_atom_id = lag(source_atom_id) OVER w THEN chr(10) ELSE chr(10) || chr(10) END || text AS x FROM n WINDOW w AS (PARTITION BY scene_id, segment_id, behind ORDER BY scene_ord))
+    SELECT scene_id, segment_id, any_value(cut_after) AS cut_after, max(event_id) FILTER (scene_ord = hi + 1) AS next_event, coalesce(string_agg(event_id, ',' ORDER BY scene_ord) FILTER (NOT behind), '') AS left_events, coalesce(string_agg(event_id, ',' ORDER BY scene_ord) FILTER (behind), '') AS right_events,
+    sha256(coalesce(string_agg(x, '' ORDER BY scene_ord) FILTER (NOT behind), '')) AS left_sha, sha256(coalesce(string_agg(x, '' ORDER BY scene_ord) FILTER (behind), '')) AS right_sha FROM g GROUP BY ALL""",
 )
 def w7(spark, root):
-    """The last event of every segment and the last twelve places up to it."""
-    e = scene_events(spark, root).where("segment_id is not null")
-    hi = e.groupBy("scene_id", "segment_id").agg(F.max("scene_ord").alias("hi"), F.max_by("event_id", "scene_ord").alias("cut_after"))
-    near = e.join(hi, ["scene_id", "segment_id"]).where(F.col("scene_ord") > F.col("hi") - 12)
-    return near.groupBy("scene_id", "segment_id").agg(F.first("cut_after").alias("cut_after"), F.array_join(in_order(F.col("event_id"), F.col("scene_ord")), ",").alias("last_events"))
+    """The end of every segment with up to twelve events of the segment before it and of the scene behind it."""
+    r = sequence.boundary_ledger(scene_events(spark, root))
+    return r.select("scene_id", "segment_id", "cut_after", "next_event", F.array_join("left_events", ",").alias("left_events"), F.array_join("right_events", ",").alias("right_events"), sha256(F.col("left_context")).alias("left_sha"), sha256(F.col("right_context")).alias("right_sha"))
 
 
 @query(
     "w8_continues",
-    f"SELECT segment_id, (k = 'verse' AND coalesce(same, false)) AS continues FROM (SELECT segment_id, arg_min(kind, scene_ord) AS k, arg_min(coalesce(before = source_atom_id, false), scene_ord) AS same FROM (SELECT *, lag(source_atom_id) OVER (PARTITION BY scene_id ORDER BY scene_ord) AS before FROM {SQL_SCENE_EVENTS}) WHERE segment_id IS NOT NULL GROUP BY 1)",
+    f"SELECT scene_id, segment_id, (k = 'verse' AND coalesce(same, false)) AS continues FROM (SELECT scene_id, segment_id, arg_min(kind, scene_ord) AS k, arg_min(coalesce(before = source_atom_id, false), scene_ord) AS same FROM (SELECT *, lag(source_atom_id) OVER (PARTITION BY scene_id ORDER BY scene_ord) AS before FROM {SQL_SCENE_EVENTS}) WHERE segment_id IS NOT NULL GROUP BY 1, 2)",
 )
 def w8(spark, root):
-    return sequence.continues(scene_events(spark, root)).where("segment_id is not null")
+    return sequence.continues(scene_events(spark, root))
 
 
 @query(
@@ -262,14 +288,17 @@ def w10(spark, root):
     return a.groupBy("segment_id").agg(F.min_by("source_xpath", "atom_id").alias("first"), F.max_by("source_xpath", "atom_id").alias("last"))
 
 
+_SQL_FIFTHS = f"(SELECT * REPLACE (scene_id || '-' || (scene_ord - 1) // 5 AS segment_id) FROM {SQL_SCENE_EVENTS})"
+
+
 @query(
     "w11_bad_cuts",
-    f"SELECT scene_id, event_id, kind = 'speaker' AS after_label, (kind = 'verse' AND next_kind = 'verse' AND next_atom = source_atom_id) AS inside_stanza FROM (SELECT *, lead(kind) OVER w AS next_kind, lead(source_atom_id) OVER w AS next_atom, lead(segment_id) OVER w AS next_segment FROM {SQL_SCENE_EVENTS} WINDOW w AS (PARTITION BY scene_id ORDER BY scene_ord)) WHERE next_segment <> segment_id AND (kind = 'speaker' OR (kind = 'verse' AND next_kind = 'verse' AND next_atom = source_atom_id))",
+    f"SELECT scene_id, event_id, kind = 'speaker' AS after_label, (kind = 'verse' AND next_kind = 'verse' AND next_atom = source_atom_id) AS inside_stanza FROM (SELECT *, lead(kind) OVER w AS next_kind, lead(source_atom_id) OVER w AS next_atom, lead(segment_id) OVER w AS next_segment FROM {_SQL_FIFTHS} WINDOW w AS (PARTITION BY scene_id ORDER BY scene_ord)) WHERE next_segment <> segment_id AND (kind = 'speaker' OR (kind = 'verse' AND next_kind = 'verse' AND next_atom = source_atom_id))",
 )
 def w11(spark, root):
-    w = Window.partitionBy("scene_id").orderBy("scene_ord")
-    e = scene_events(spark, root).select("scene_id", "event_id", "segment_id", "kind", F.lead("segment_id").over(w).alias("next"), F.coalesce((F.col("kind") == "verse") & (F.lead("kind").over(w) == "verse") & (F.lead("source_atom_id").over(w) == F.col("source_atom_id")), F.lit(False)).alias("inside_stanza"))
-    return e.where("next <> segment_id").where("kind = 'speaker' or inside_stanza").select("scene_id", "event_id", (F.col("kind") == "speaker").alias("after_label"), "inside_stanza")
+    """Cut behind every fifth event, the bad places among the cuts (the delivered cuts are all good)."""
+    e = scene_events(spark, root)
+    return sequence.bad_cuts(e.withColumn("segment_id", F.concat_ws("-", "scene_id", F.floor((F.col("scene_ord") - 1) / 5))))
 
 
 @query(
@@ -330,7 +359,7 @@ def l2(spark, root):
     return _runs(spark, root)[1]
 
 
-@query("l3_a14_gate", f"WITH {_sql_runs(4, _PROMPTS, _TARGETS)} SELECT case_id, coalesce(max(length), 0)::INT AS longest_any, 0 AS longest_own, coalesce(max(length), 0) < 6 AS passes FROM eval_scenes LEFT JOIN found USING (case_id) WHERE instruction_de IS NOT NULL GROUP BY 1")
+@query("l3_a14_gate", f"WITH {_sql_runs(4, _PROMPTS, _TARGETS)} SELECT case_id, coalesce(max(length), 0)::INT AS longest_any, coalesce(max(length) FILTER (segment_id = case_id), 0)::INT AS longest_own, coalesce(max(length), 0) < 6 AS passes FROM eval_scenes LEFT JOIN found USING (case_id) WHERE instruction_de IS NOT NULL GROUP BY 1")
 def l3(spark, root):
     e, found = _runs(spark, root)
     return overlap.longest(e, found, "case_id", "segment_id")
@@ -387,12 +416,12 @@ def l5(spark, root):
 
 
 def _encoded(spark, root):
-    p = pairs(spark, root, "split", "instruction_de", "target_text").where("trim(instruction_de) <> '' and target_text is not null")
+    p = pairs(spark, root, "split", "instruction_de", "target_text").where((strip(F.col("instruction_de")) != "") & (strip(F.col("target_text")) != ""))
     ids, mask, labels = encode.masked(encode.code_points(encode.training_prompt(F.col("instruction_de"))), encode.code_points(F.col("target_text")), 0)
     return p.select("segment_id", split_name(F.col("split")).alias("split"), ids.alias("input_ids"), mask.alias("attention_mask"), labels.alias("labels"))
 
 
-_SQL_ENCODED = f"(SELECT segment_id, {sql_split()} AS split, length(trim(instruction_de, ' ')) + 29 AS prompt, length(target_text) + 1 AS completion FROM {sql_pairs('split', 'instruction_de', 'target_text')} WHERE trim(instruction_de, ' ') <> '' AND target_text IS NOT NULL)"
+_SQL_ENCODED = f"(SELECT segment_id, {sql_split()} AS split, instruction_de, target_text, length(instruction_de) + 29 AS prompt, length(target_text) + 1 AS completion FROM {sql_pairs('split', 'instruction_de', 'target_text')} WHERE {NORM.format('instruction_de')} <> '' AND {NORM.format('target_text')} <> '')"
 
 
 @query("x4_x5_encoded_lengths", f"SELECT segment_id, (prompt + completion)::INT AS total, prompt::INT AS prompt, completion::INT AS completion FROM {_SQL_ENCODED}")
@@ -400,6 +429,21 @@ def x5(spark, root):
     return encode.lengths(_encoded(spark, root))
 
 
+_CODES = "[unicode(c) FOR c IN string_split({0}, '')]"
+_PROMPT = "'### Aufgabe' || chr(10) || instruction_de || chr(10) || chr(10) || '### Textauszug' || chr(10)"
+
+
+@query(
+    "x4_encoded",
+    f"""SELECT segment_id, sha256(array_to_string(list_concat({_CODES.format(_PROMPT)}, {_CODES.format('target_text')}, [0]), ',')) AS ids, sha256(array_to_string([1 FOR x IN range(prompt + completion)], ',')) AS mask,
+    sha256(array_to_string(list_concat([-100 FOR x IN range(prompt)], {_CODES.format('target_text')}, [0]), ',')) AS labels FROM {_SQL_ENCODED}""",
+)
+def x4(spark, root):
+    """Ids, mask and labels of every sample, element by element."""
+    h = lambda c: sha256(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return _encoded(spark, root).select("segment_id", h("input_ids").alias("ids"), h("attention_mask").alias("mask"), h("labels").alias("labels"))
+
+
 @query("x6_padding", f"SELECT batch, segment_id, max(prompt + completion) OVER (PARTITION BY batch)::INT AS padded, (prompt + completion)::INT AS attended, completion::INT AS learned FROM (SELECT *, substr(sha256(segment_id), 1, 3) AS batch FROM {_SQL_ENCODED})")
 def x6(spark, root):
     rows = _encoded(spark, root).withColumn("batch", F.substring(F.sha2("segment_id", 256), 1, 3))

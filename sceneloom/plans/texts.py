@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import char_count, containment, has_han, in_order, lexical_words, norm, ordered_distinct, overlap_words, prefix_suffix, sha256, upper_median, word_count
+from ..functions import char_count, containment, has_han, in_order, lexical_words, norm, ordered_distinct, overlap_words, prefix_suffix, sha256, strip, upper_median, word_count
 from ..operators import encode
+from ..operators.topk import first_rows, longest_and_median
 from .base import *
 
 _COUNT = "len(regexp_extract_all({0}, '[^" + W.replace("{", "{{").replace("}", "}}") + "]+'))"
@@ -32,22 +33,23 @@ def n2(spark, root):
     return segments(spark, root, "target_text").select("segment_id", word_count(F.col("target_text")).alias("words"), char_count(F.col("target_text")).alias("chars"))
 
 
-@query("n4_stale_hashes", "SELECT DISTINCT segment_id FROM master_segments WHERE segment_id IS NOT NULL AND sha256(target_text) IS DISTINCT FROM target_text_sha256")
+@query("n4_hashes", "SELECT segment_id, sha256(any_value(target_text)) AS sha, bool_or(sha256(target_text) IS DISTINCT FROM target_text_sha256) AS stale FROM master_segments WHERE segment_id IS NOT NULL GROUP BY 1")
 def n4(spark, root):
-    s = table(spark, root, "master_segments").where("segment_id is not null")
-    return s.where(~sha256(F.col("target_text")).eqNullSafe(F.col("target_text_sha256"))).select("segment_id").distinct()
+    """The hash of every segment's text, and whether a delivery states another one."""
+    s = table(spark, root, "master_segments").where("segment_id is not null").select("segment_id", "target_text_sha256", sha256(F.col("target_text")).alias("sha"))
+    return s.groupBy("segment_id").agg(F.max("sha").alias("sha"), F.bool_or(~F.col("sha").eqNullSafe(F.col("target_text_sha256"))).alias("stale"))
 
 
-@query("n6_lexical_words", f"SELECT doc_id, CAST(len(w) AS INT) AS words, array_to_string(w[1:20], ' ') AS first FROM (SELECT doc_id, {LEXICAL.format('text')} AS w FROM documents)")
+@query("n6_lexical_words", f"SELECT doc_id, CAST(len(w) AS INT) AS words, sha256(array_to_string(w, ' ')) AS sha FROM (SELECT doc_id, {LEXICAL.format('text')} AS w FROM documents)")
 def n6(spark, root):
     w = table(spark, root, "documents").select("doc_id", lexical_words(F.col("text")).alias("w"))
-    return w.select("doc_id", F.when(F.col("w").isNotNull(), F.size("w")).alias("words"), F.array_join(F.slice("w", 1, 20), " ").alias("first"))
+    return w.select("doc_id", F.when(F.col("w").isNotNull(), F.size("w")).alias("words"), sha256(F.array_join("w", " ")).alias("sha"))
 
 
-@query("n7_overlap_words", f"SELECT doc_id, CAST(len(w) AS INT) AS words, array_to_string(w[1:20], ' ') AS first FROM (SELECT doc_id, {OVERLAP.format('text')} AS w FROM documents)")
+@query("n7_overlap_words", f"SELECT doc_id, CAST(len(w) AS INT) AS words, sha256(array_to_string(w, ' ')) AS sha FROM (SELECT doc_id, {OVERLAP.format('text')} AS w FROM documents)")
 def n7(spark, root):
     w = table(spark, root, "documents").select("doc_id", overlap_words(F.col("text")).alias("w"))
-    return w.select("doc_id", F.when(F.col("w").isNotNull(), F.size("w")).alias("words"), F.array_join(F.slice("w", 1, 20), " ").alias("first"))
+    return w.select("doc_id", F.when(F.col("w").isNotNull(), F.size("w")).alias("words"), sha256(F.array_join("w", " ")).alias("sha"))
 
 
 @query("n8_han", f"SELECT segment_id, regexp_matches(instruction_de, '[\\x{{3400}}-\\x{{9fff}}]') AS in_instruction, regexp_matches(description_zh, '[\\x{{3400}}-\\x{{9fff}}]') AS in_description FROM {sql_pairs('instruction_de', 'description_zh')}")
@@ -77,20 +79,21 @@ _BODY_SQL = "'Form: ' || scene_specification.form_de || chr(10) || 'Ausgangslage
 
 @query(
     "n11_template",
-    f"SELECT segment_id, sha256({_BODY_SQL}) AS rendered, {_BODY_SQL} = CASE WHEN instr(instruction_de, chr(10) || chr(10)) > 0 THEN substr(instruction_de, instr(instruction_de, chr(10) || chr(10)) + 2) END AS in_step FROM {sql_pairs('instruction_de', 'scene_specification')}",
+    f"SELECT segment_id, sha256('{encode.INTRO}' || chr(10) || chr(10) || {_BODY_SQL}) AS rendered, {_BODY_SQL} = CASE WHEN instr(instruction_de, chr(10) || chr(10)) > 0 THEN substr(instruction_de, instr(instruction_de, chr(10) || chr(10)) + 2) END AS in_step FROM {sql_pairs('instruction_de', 'scene_specification')}",
 )
 def n11(spark, root):
-    """The body rebuilt from the allowed fields of the specification, and whether the instruction is in step with it."""
+    """The instruction rebuilt from the allowed fields of the specification, and whether the delivered body is in step with it."""
     s = F.col("scene_specification")
-    body = F.concat(F.lit("Form: "), s["form_de"], F.lit("\nAusgangslage: "), s["situation_de"], F.lit("\nAblauf: "), F.array_join(s["beats_de"], " "))
     p = pairs(spark, root, "instruction_de", "scene_specification")
-    return p.select("segment_id", sha256(body).alias("rendered"), (body == prefix_suffix(F.col("instruction_de"))[1]).alias("in_step"))
+    whole = encode.instruction(s["form_de"], s["situation_de"], s["beats_de"])
+    return p.select("segment_id", sha256(whole).alias("rendered"), (prefix_suffix(whole)[1] == prefix_suffix(F.col("instruction_de"))[1]).alias("in_step"))
 
 
-@query("n12_training_prompt", f"SELECT segment_id, sha256('### Aufgabe' || chr(10) || trim(instruction_de, ' ') || chr(10) || chr(10) || '### Textauszug' || chr(10)) AS prompt_sha256 FROM {sql_pairs('instruction_de')} WHERE trim(instruction_de, ' ') <> ''")
+@query("n12_training_prompt", f"SELECT segment_id, sha256('### Aufgabe' || chr(10) || instruction_de || chr(10) || chr(10) || '### Textauszug' || chr(10)) AS prompt_sha256, sha256('### Vergleichstext (nicht abschreiben)' || chr(10) || coalesce(target_text, '') || chr(10) || chr(10) || '### Aufgabe' || chr(10) || instruction_de || chr(10) || chr(10) || '### Textauszug' || chr(10)) AS with_reference FROM {sql_pairs('instruction_de', 'target_text')} WHERE {NORM.format('instruction_de')} <> ''")
 def n12(spark, root):
-    p = pairs(spark, root, "instruction_de").where("trim(instruction_de) <> ''")
-    return p.select("segment_id", sha256(encode.training_prompt(F.col("instruction_de"))).alias("prompt_sha256"))
+    p = pairs(spark, root, "instruction_de", "target_text").where(strip(F.col("instruction_de")) != "")
+    i = F.col("instruction_de")
+    return p.select("segment_id", sha256(encode.training_prompt(i)).alias("prompt_sha256"), sha256(encode.training_prompt(i, F.coalesce("target_text", F.lit("")))).alias("with_reference"))
 
 
 @query(
@@ -198,13 +201,42 @@ def a13(spark, root):
     return s.join(a, "k").select("in_segments", "in_atoms")
 
 
-@query("s8_reading_copy", f"SELECT scene_id, sha256(string_agg('[' || segment_id || ']' || chr(10) || coalesce(target_text, ''), chr(10) ORDER BY segment_id)) AS sha FROM {sql_segments('scene_id', 'target_text')} GROUP BY 1")
+@query("s8_reading_copy", f"SELECT scene_id, (k // 1000)::INT AS page, sha256(string_agg('[' || segment_id || ']' || chr(10) || coalesce(target_text, ''), chr(10) ORDER BY segment_id)) AS sha FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY segment_id) - 1 AS k FROM {sql_segments('scene_id', 'target_text')}) GROUP BY 1, 2")
 def s8(spark, root):
-    from ..sources.jsonl import report
+    """A reading copy of every scene, in pages of a thousand segments."""
+    from ..sources.jsonl import pages
 
     s = segments(spark, root, "scene_id", "target_text")
     line = F.concat(F.lit("["), "segment_id", F.lit("]\n"), F.coalesce("target_text", F.lit("")))
-    return report(s, ["scene_id"], line, "segment_id").select("scene_id", sha256(F.col("text")).alias("sha"))
+    return pages(s, "scene_id", line, "segment_id").select("scene_id", "page", sha256(F.col("text")).alias("sha"))
+
+
+@query(
+    "s8_directory",
+    f"""WITH t AS (SELECT scene_id, arg_max(struct_pack(title_zh, title), struct_pack(a := registered_at, b := title_zh, c := title)) AS t FROM scenes WHERE scene_id IS NOT NULL AND registered_at IS NOT NULL GROUP BY 1),
+    s AS (SELECT scene_id, (k // 1000)::INT AS page, string_agg(segment_id || chr(12288) || CAST({_COUNT.format('target_text')} AS VARCHAR), chr(10) ORDER BY segment_id) AS x FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY segment_id) - 1 AS k FROM {sql_segments('scene_id', 'target_text')} WHERE scene_id IS NOT NULL) GROUP BY 1, 2)
+    SELECT scene_id, page, sha256(scene_id || chr(12288) || coalesce(t.title_zh, '') || chr(12288) || coalesce(t.title, '') || chr(10) || x) AS sha FROM s JOIN t USING (scene_id)""",
+)
+def s8_directory(spark, root):
+    """The directory of every scene: its titles, and its segments with their word counts."""
+    from ..sources.jsonl import pages
+
+    t = table(spark, root, "scenes").where("scene_id is not null and registered_at is not null").groupBy("scene_id").agg(F.max(F.struct("registered_at", "title_zh", "title")).alias("t"))
+    s = segments(spark, root, "scene_id", "target_text").where("scene_id is not null")
+    wide = F.lit("\u3000")
+    p = pages(s, "scene_id", F.concat("segment_id", wide, word_count(F.col("target_text")).cast("string")), "segment_id").join(t, "scene_id")
+    head = F.concat("scene_id", wide, F.coalesce("t.title_zh", F.lit("")), wide, F.coalesce("t.title", F.lit("")), F.lit("\n"))
+    return p.select("scene_id", "page", sha256(F.concat(head, "text")).alias("sha"))
+
+
+@query("s8_blind_sheet", "SELECT case_id, sha256(string_agg(chr(64 + k::INT) || ': ' || condition, chr(10) ORDER BY k)) AS sha FROM (SELECT case_id, condition, row_number() OVER (PARTITION BY case_id ORDER BY sha256('11|' || case_id || '|' || condition), condition) AS k FROM eval_scenes, (SELECT unnest(['base', 'tuned', 'human']) AS condition)) GROUP BY 1")
+def s8_blind(spark, root):
+    """The key sheet of a blind comparison."""
+    from ..operators import joins, splits
+    from ..sources.jsonl import report
+
+    c = splits.blind_order(joins.conditions(table(spark, root, "eval_scenes"), [11], ["base", "tuned", "human"]).select("case_id", "condition"), "case_id", "condition", "11")
+    return report(c, ["case_id"], F.concat("label", F.lit(": "), "condition"), "label").select("case_id", sha256(F.col("text")).alias("sha"))
 
 
 @query("top_longest", f"SELECT segment_id, CAST(length(target_text) AS INT) AS chars FROM {sql_segments('target_text')} WHERE target_text IS NOT NULL ORDER BY length(target_text) DESC, segment_id LIMIT 2")
@@ -219,10 +251,24 @@ def s1(spark, root):
     """Written as JSON lines to the shared folder and read again with an explicit schema."""
     import uuid
 
-    from ..scratch import shared_dir
+    from ..scratch import scratch_dir
     from ..sources.jsonl import read_jsonl, write_jsonl
 
-    path = f"{shared_dir(spark)}/sceneloom/jsonl-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/jsonl-{uuid.uuid4().hex}"
     write_jsonl(segments(spark, root, "target_text", "event_ids"), path)
     back = read_jsonl(spark, path, "segment_id string, target_text string, event_ids array<string>")
     return back.select("segment_id", sha256(F.col("target_text")).alias("sha"), F.size("event_ids").alias("events"))
+
+
+@query("top_longest_and_median", f"WITH s AS (SELECT segment_id, CAST(length(target_text) AS INT) AS chars FROM {sql_segments('target_text')} WHERE target_text IS NOT NULL), r AS (SELECT *, row_number() OVER (ORDER BY chars, segment_id) - 1 AS k, count(*) OVER () AS n FROM s) SELECT 'longest' AS pick, segment_id, chars FROM r WHERE k = n - 1 UNION ALL SELECT 'median', segment_id, chars FROM r WHERE k = n // 2")
+def top_median(spark, root):
+    """The longest text and the one at the upper median, by length and id: the samples of a trial run."""
+    s = segments(spark, root, "target_text").where("target_text is not null").select("segment_id", F.length("target_text").alias("chars"))
+    return longest_and_median(s, "chars", "segment_id")
+
+
+@query("top_first_cases", "SELECT k AS asked, case_id FROM (SELECT *, row_number() OVER (ORDER BY case_id) AS n FROM eval_scenes), (SELECT unnest([0, 5]) AS k) WHERE k = 0 OR n <= k")
+def top_first(spark, root):
+    """The first five cases, and with zero all of them."""
+    e = table(spark, root, "eval_scenes").select("case_id")
+    return first_rows(e, 0, "case_id").select(F.lit(0).alias("asked"), "case_id").union(first_rows(e, 5, "case_id").select(F.lit(5), "case_id"))

@@ -31,15 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/sceneloom/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a DataFrame that reads it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sceneloom/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Remove every scratch table below the shared folder. Call it when no result that reads one is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sceneloom")
+    """Remove the scratch tables of this application. Call it when no result that reads one is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

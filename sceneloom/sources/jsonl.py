@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import in_order
+from ..operators.ranges import numbered
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -50,6 +51,12 @@ def report(df: DataFrame, by: list[str], line: Column, order: str, separator: st
     return df.select(*by, F.col(order).alias("_o"), line.alias("_l")).groupBy(*by).agg(F.array_join(in_order(F.col("_l"), F.col("_o")), separator).alias("text"))
 
 
+def pages(df: DataFrame, by: str, line: Column, order: str, lines: int = 1000, separator: str = "\n") -> DataFrame:
+    """by, page, text: the lines of groups of any size, in pages of a bounded number of lines numbered from 0."""
+    rows = numbered(df.select(by, F.col(order).alias("_o"), line.alias("_l")), by, "_o", number="_k", name="pages")
+    return report(rows.select(by, F.floor(F.col("_k") / lines).cast("int").alias("page"), "_o", "_l"), [by, "page"], F.col("_l"), "_o", separator)
+
+
 def raw_bytes(spark: SparkSession, path: str) -> DataFrame:
     """path, content, sha256 of files."""
     return spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("sha256"))

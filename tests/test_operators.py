@@ -30,21 +30,24 @@ def test_reuse_and_reference(spark):
 
 
 def test_encoding_padding_and_budget(spark):
-    df = spark.createDataFrame([("A", "ab", "xyz"), ("B", "é", ""), ("C", None, "x")], "segment_id string, p string, t string")
+    df = spark.createDataFrame([("A", "ab", "xyz"), ("B", "é", "\u00a0.")], "segment_id string, p string, t string")
+    for bad in ((None, "x"), ("x", None), ("\t\n", "x"), ("x", "\u00a0")):
+        with pytest.raises(Exception, match="blank"):
+            encode.encoded(spark.createDataFrame([("A", *bad)], df.schema), "p", "t", lambda: lambda s: [ord(c) for c in s], eos=0).collect()
     rows = encode.encoded(df, "p", "t", lambda: lambda s: [ord(c) for c in s], eos=0)
     got = {r.segment_id: r for r in rows.collect()}
     assert set(got) == {"A", "B"} and got["A"].input_ids == [97, 98, 120, 121, 122, 0] and got["A"].labels == [-100, -100, 120, 121, 122, 0]
-    assert {r.segment_id: (r.total, r.prompt, r.completion) for r in encode.lengths(rows).collect()} == {"A": (6, 2, 4), "B": (2, 1, 1)}
+    assert {r.segment_id: (r.total, r.prompt, r.completion) for r in encode.lengths(rows).collect()} == {"A": (6, 2, 4), "B": (4, 1, 3)}
     p = {r.segment_id: r for r in encode.padded(rows.withColumn("batch", F.lit(1)), "batch", 0).collect()}
-    assert p["B"].input_ids == [233, 0, 0, 0, 0, 0] and p["B"].attention_mask == [1, 1, 0, 0, 0, 0] and p["B"].labels == [-100, 0, -100, -100, -100, -100]
+    assert p["B"].input_ids == [233, 160, 46, 0, 0, 0] and p["B"].attention_mask == [1, 1, 1, 1, 0, 0] and p["B"].labels == [-100, 160, 46, 0, -100, -100]
     assert [r.segment_id for r in encode.over_limit(rows, 5).collect()] == ["A"]
     one = spark.createDataFrame([(65,), (64,), (1900,)], "n int")
     assert [r.b for r in one.select(encode.budget(F.col("n"), 1920).alias("b")).collect()] == [128, 64, 1920]
     with pytest.raises(Exception, match="over the limit"):
         one.select(encode.budget(F.col("n"), 1000)).collect()
     with pytest.raises(Exception, match="blank instruction"):
-        spark.createDataFrame([(" ",)], "x string").select(encode.training_prompt(F.col("x"))).collect()
-    assert spark.createDataFrame([("tu",)], "x string").select(encode.training_prompt(F.col("x"), F.lit("r")).alias("x")).first().x == "### Referenz\nr\n\n### Aufgabe\ntu\n\n### Textauszug\n"
+        spark.createDataFrame([("\t\n",)], "x string").select(encode.training_prompt(F.col("x"))).collect()
+    assert spark.createDataFrame([(" tu ",)], "x string").select(encode.training_prompt(F.col("x"), F.lit("r")).alias("x")).first().x == "### Vergleichstext (nicht abschreiben)\nr\n\n### Aufgabe\n tu \n\n### Textauszug\n"
 
 
 def test_splits(spark, tmp_path):
