@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "p2_assign": _on("master_segments", grouped_split.assign),
         "p2_balance": _on("master_segments", grouped_split.balance),
         "p3_found": _on("sft_pairs", shared_spans.found_pairs),
+        "p3_groups": _on("sft_pairs", shared_spans.groups),
         "p3_coverage": _on("sft_pairs", shared_spans.coverage),
         "p4_found": _on("master_segments", splitting.found),
         "p4_pieces": _on("master_segments", splitting.pieces),

@@ -7,11 +7,13 @@ are unpacked and sorted by a 128-bit hash of their tokens, which counts them exa
 once, and everything in the bucket happens where it arrives.
 
 Skew: records with the same tokens are one text; a task sends a text once, and the records are expanded at the end.
-Minimisers that hold more than ``hot`` of all packed strings (fewer than 1/hot, found exactly by adding up counts of the
-batches where they are frequent) have no bucket: their windows are counted one by one with partial aggregation and meet
-their counts in a join that Spark may split. Of all windows standing in the same set of texts only one goes into the
-join that makes pairs (sets are told by count, least and greatest key and a 64-bit sum), so that a long shared span
-makes a pair once and not once a window.
+Minimisers with more than about ``bucket`` packed strings (or a millionth of all, if that is more) have no bucket: their
+windows are counted one by one with partial aggregation and meet their counts in a join that Spark may split. So a bucket
+stays about 10 MB up to 10^11 strings, and the minimisers without one are at most two millions. Which route a minimiser
+takes is told by a fixed part of its strings; what is found is the same on both. The buckets are spread over as many
+partitions as there are ``partition`` strings. Of all windows standing in the same set of texts only one goes into the
+join that makes pairs (sets are told by count, least and greatest key and 128 bits of hashes, as texts and windows are),
+so that a long shared span makes a pair once and not once a window. ``groups`` gives the same links without pairs.
 
 Defined results: a null or blank field has no tokens; a field under ``k`` tokens has no window; both fields of one
 record may hold the span, which makes no pair and no share for that record alone; a record delivered repeatedly counts
@@ -35,12 +37,15 @@ from .text import Rolling, TokenHashes, body, mix, slices, text_key, tokens
 
 @dataclass(frozen=True)
 class Params:
-    """k: tokens of a window, the least length of a shared span; m: tokens of the runs minimisers are taken from; hot:
-    share of all packed strings from which a minimiser is handled without a bucket."""
+    """k: tokens of a window, the least length of a shared span; m: tokens of the runs minimisers are taken from; bucket:
+    packed strings from which a minimiser has no bucket; every: one string in so many is counted for that; partition:
+    packed strings of a partition, about."""
 
     k: int = 16
     m: int = 5
-    hot: float = 0.001
+    bucket: int = 100_000
+    every: int = 64
+    partition: int = 60_000
 
 
 def _super_windows(h: np.ndarray, off: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,37 +85,38 @@ def _read(df: DataFrame) -> DataFrame:
     return df.select("segment_id", "target_text", "instruction_de").where("segment_id is not null")
 
 
-def members(df: DataFrame, p: Params) -> tuple[DataFrame, list[int]]:
-    """(text_key, segment_id, field, n_tokens of all fields long enough; the hot minimisers)."""
+def members(df: DataFrame, p: Params) -> tuple[DataFrame, np.ndarray, int]:
+    """(text_key, segment_id, field, n_tokens of all fields long enough; the hot minimisers, sorted; number of packed strings)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = TokenHashes()
         for b in slices(batches):
             lists, owner, field = _fields(b, p)
-            least, _, _ = _super_windows(*hashes.of(lists), p)
-            value, count = np.unique(least, return_counts=True)
-            often = count >= max(1, p.hot / 2 * len(least))
-            hot = [{"minimiser": int(v), "n": int(n)} for v, n in zip(value[often], count[often])] if len(lists) else []
-            n = len(lists)
+            h, off = hashes.of(lists)
+            least, begins, _ = _super_windows(h, off, p)
+            keys = [text_key(x) for x in lists]
+            rec = np.searchsorted(off, begins, "right") - 1
+            # strings are chosen by text and place, so that copies of a text show the same ones
+            salt = np.array([int.from_bytes(k[:8], "big") for k in keys], np.uint64)
+            counted = mix(salt[rec] + (begins - off[rec]).astype(np.uint64)) % np.uint64(p.every) == 0
+            ends = np.concatenate(([0], np.cumsum(np.bincount(rec[counted], minlength=len(lists))))).astype(np.int32)
+            strings = np.bincount(rec, minlength=len(lists)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([text_key(x) for x in lists], pa.binary()), pa.array(owner, pa.string()), pa.array(field, pa.int32()), pa.array([len(x) for x in lists], pa.int32())]
-                + [pa.array([len(least), *[0] * (n - 1)][:n], pa.int64()), pa.array([hot, *[[]] * (n - 1)][:n], pa.list_(pa.struct([("minimiser", pa.int64()), ("n", pa.int64())])))],
-                names=["text_key", "segment_id", "field", "n_tokens", "strings", "hot"],
+                [pa.array(keys, pa.binary()), pa.array(owner, pa.string()), pa.array(field, pa.int32()), pa.array([len(x) for x in lists], pa.int32()), pa.array(strings), pa.ListArray.from_arrays(pa.array(ends), pa.array(least[counted]))],
+                names=["text_key", "segment_id", "field", "n_tokens", "strings", "counted"],
             )
 
-    schema = "text_key binary, segment_id string, field int, n_tokens int, strings bigint, hot array<struct<minimiser:bigint,n:bigint>>"
+    schema = "text_key binary, segment_id string, field int, n_tokens int, strings int, counted array<bigint>"
     rows = materialise(_read(df).mapInArrow(run, schema), "p3-members")
     total = rows.agg(F.sum("strings")).first()[0] or 0
-    # what holds more than ``hot`` of all has at least half of that in batches where it holds more than half of ``hot``
-    hot = rows.select(F.explode("hot").alias("h")).groupBy("h.minimiser").agg(F.sum("h.n").alias("n")).where(F.col("n") >= max(2, p.hot / 2 * total))
-    found = [r["minimiser"] for r in hot.collect()]  # fewer than 2/hot
-    return rows.select("text_key", "segment_id", "field", "n_tokens").distinct(), found
+    limit = max(p.bucket, total // 1_000_000)
+    hot = rows.select(F.explode("counted").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1, limit / p.every / 2))
+    found = np.array(sorted(r["x"] for r in hot.collect()), np.int64)  # at most 2 * total / limit
+    return rows.select("text_key", "segment_id", "field", "n_tokens").distinct(), found, total
 
 
-def packed(df: DataFrame, p: Params, hot: list[int]) -> DataFrame:
+def packed(df: DataFrame, p: Params, hot: np.ndarray) -> DataFrame:
     """text_key, bucket, start, packed: the packed strings of all texts, without those of hot minimisers."""
-    leave = np.array(sorted(hot), np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sent = TokenHashes(), _Sent()
         for b in slices(batches):
@@ -120,7 +126,7 @@ def packed(df: DataFrame, p: Params, hot: list[int]) -> DataFrame:
             lists, keys = [lists[k] for k in fresh], [keys[k] for k in fresh]
             h, off = hashes.of(lists)
             least, begins, count = _super_windows(h, off, p)
-            keep = ~np.isin(least, leave)
+            keep = ~np.isin(least, hot)
             least, begins, count = least[keep], begins[keep], count[keep]
             rec = np.searchsorted(off, begins, "right") - 1
             start = begins - off[rec]
@@ -133,10 +139,8 @@ def packed(df: DataFrame, p: Params, hot: list[int]) -> DataFrame:
     return _read(df).mapInArrow(run, "text_key binary, bucket bigint, start int, packed string")
 
 
-def _hot_windows(df: DataFrame, p: Params, hot: list[int]) -> DataFrame:
+def _hot_windows(df: DataFrame, p: Params, hot: np.ndarray) -> DataFrame:
     """h1, h2, text_key, pos of the windows whose minimiser is hot."""
-    only = np.array(sorted(hot), np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sent = TokenHashes(), _Sent()
         for b in slices(batches):
@@ -146,7 +150,7 @@ def _hot_windows(df: DataFrame, p: Params, hot: list[int]) -> DataFrame:
             lists, keys = [lists[k] for k in fresh], [keys[k] for k in fresh]
             h, off = hashes.of(lists)
             least, begins, count = _super_windows(h, off, p)
-            keep = np.isin(least, only)
+            keep = np.isin(least, hot)
             begins, count = begins[keep], count[keep].astype(np.int64)
             at = np.repeat(begins, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             one, two = Rolling(h).run(at, at + p.k), Rolling(mix(h)).run(at, at + p.k)
@@ -176,9 +180,10 @@ class _Sent:
 
 def shared_windows(df: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """(members, windows). windows: win, text_key, pos of all windows that stand in two or more texts."""
-    mine, hot = members(df, p)
+    mine, hot, strings = members(df, p)
     bucket = Window.partitionBy("bucket")
-    rows = packed(df, p, hot).repartition("bucket")
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-strings // p.partition))
+    rows = packed(df, p, hot).repartition(n, "bucket")
     rows = rows.withColumn("a", F.min("text_key").over(bucket)).withColumn("b", F.max("text_key").over(bucket)).where("a <> b")
     # the tokens are named twice below, so that the split stays a column and is not done again for each window
     rows = rows.select("bucket", "text_key", "start", F.split("packed", " ").alias("t"))
@@ -188,21 +193,26 @@ def shared_windows(df: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     same = Window.partitionBy("bucket", "h1", "h2")
     rows = rows.withColumn("a", F.min("text_key").over(same)).withColumn("b", F.max("text_key").over(same)).where("a <> b")
     windows = rows.select(F.struct("h1", "h2", F.lit(False).alias("hot")).alias("win"), "text_key", "pos")
-    if hot:
+    if len(hot):
         h = _hot_windows(df, p, hot)
         twice = h.groupBy("h1", "h2").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("h1", "h2")
         windows = windows.union(h.join(twice, ["h1", "h2"]).select(F.struct("h1", "h2", F.lit(True).alias("hot")).alias("win"), "text_key", "pos"))
     return mine, materialise(windows, "p3-windows")
 
 
+def _chosen(windows: DataFrame) -> DataFrame:
+    """win, text_key, pos: of all windows standing in the same set of texts one, where it first stands in each."""
+    held = materialise(windows.groupBy("win", "text_key").agg(F.min("pos").alias("pos")), "p3-shared")
+    key = F.struct(F.count(F.lit(1)), F.min("text_key"), F.max("text_key"), F.bit_xor(F.xxhash64("text_key")), F.bit_xor(F.xxhash64(F.lit(1), "text_key")))
+    chosen = held.groupBy("win").agg(key.alias("set")).groupBy("set").agg(F.min("win").alias("win")).select("win")
+    return held.join(chosen, "win")
+
+
 def found_pairs(df: DataFrame, p: Params = Params()) -> DataFrame:
     """segment_id_a, segment_id_b: record pairs that share a window, the smaller id first."""
     mine, windows = shared_windows(df, p)
     mine = materialise(mine, "p3-texts")
-    held = materialise(windows.groupBy("win", "text_key").agg(F.min("pos").alias("pos")), "p3-shared")
-    sets = held.groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.sum(F.shiftright(F.xxhash64("text_key"), 24)).alias("sum"))
-    chosen = sets.groupBy("n", "a", "b", "sum").agg(F.min("win").alias("win")).select("win")
-    rep = held.join(chosen, "win").select("win", "text_key")
+    rep = _chosen(windows).select("win", "text_key")
     pairs = rep.withColumnRenamed("text_key", "ka").join(rep.withColumnRenamed("text_key", "kb"), "win").where("ka < kb").select("ka", "kb").distinct()
     copies = mine.groupBy("text_key").agg(F.min("segment_id").alias("a"), F.max("segment_id").alias("b")).where("a <> b").select(F.col("text_key").alias("ka"), F.col("text_key").alias("kb"))
     a, b = (mine.select(F.col("text_key").alias(f"k{x}"), F.col("segment_id").alias(x)) for x in "ab")
@@ -210,6 +220,19 @@ def found_pairs(df: DataFrame, p: Params = Params()) -> DataFrame:
     return both.select(F.least("a", "b").alias("segment_id_a"), F.greatest("a", "b").alias("segment_id_b")).distinct()
 
 
+def groups(df: DataFrame, p: Params = Params()) -> DataFrame:
+    """span, segment_id, records: the links of ``found_pairs`` without pairs, a row for each record and shared span. Two records
+    share a window just if they stand under one span; of spans in the same set of texts there is one. A record whose whole
+    text is copied stands under the text's own span with its copies."""
+    mine, windows = shared_windows(df, p)
+    mine = materialise(mine, "p3-texts")
+    of = _chosen(windows).select(F.format_string("%016x%016x", "win.h1", "win.h2").alias("span"), "text_key")
+    copied = mine.groupBy("text_key").agg(F.min("segment_id").alias("a"), F.max("segment_id").alias("b")).where("a <> b").select(F.hex("text_key").alias("span"), "text_key")
+    rows = of.union(copied).join(mine.select("text_key", "segment_id"), "text_key").select("span", "segment_id").distinct()
+    sizes = rows.groupBy("span").agg(F.count(F.lit(1)).alias("records")).where("records > 1")
+    return rows.join(sizes, "span")
+
+
 def coverage(df: DataFrame, p: Params = Params()) -> DataFrame:
     """segment_id, field, n_tokens, shared_tokens, share: tokens of the field that lie in a span of at least ``k`` tokens
     that another record holds too; a row for each field of at least ``k`` tokens."""

@@ -39,6 +39,10 @@ def check(spark, rows, p):
     df = table(spark, rows)
     assert {tuple(r) for r in s.found_pairs(df, p).collect()} == pairs
     assert {(r.segment_id, r.field): (r.n_tokens, r.shared_tokens) for r in s.coverage(df, p).collect()} == cover
+    linked = defaultdict(set)
+    for r in s.groups(df, p).collect():
+        linked[r.span].add(r.segment_id)
+    assert {(a, b) for x in linked.values() for a in x for b in x if a < b} == pairs
     return pairs
 
 
@@ -64,15 +68,15 @@ def test_equals_brute_force(spark):
 def test_small_windows_few_words_and_hot_minimisers(spark):
     r = random.Random(5)
     rows = [(f"S{k}", " ".join(r.choice("ab") for _ in range(r.randrange(3, 30))), None) for k in range(30)] + [("same", "a a a a a a a a a", "x\n\na a a a a a a")]
-    check(spark, rows, s.Params(k=5, m=2, hot=0.2))
-    check(spark, rows, s.Params(k=5, m=2, hot=1.0))
+    check(spark, rows, s.Params(k=5, m=2, bucket=20, every=1, partition=7))
+    check(spark, rows, s.Params(k=5, m=2))
 
 
 def test_hot_passage_in_a_third_of_the_records(spark):
     r = random.Random(6)
     passage = " ".join(f"formel{k}" for k in range(20))
     rows = [(f"S{k:03d}", " ".join(f"w{r.randrange(5000)}" for _ in range(30)) + (" " + passage + f" e{k}" if k % 3 == 0 else ""), None) for k in range(90)]
-    assert len(check(spark, rows, s.Params(hot=0.01))) == 30 * 29 // 2
+    assert len(check(spark, rows, s.Params(bucket=10, every=2))) == 30 * 29 // 2
 
 
 def test_nulls_copies_long_and_empty(spark):
