@@ -2,14 +2,19 @@
 
 The documents' words go into a positional inverted index: documents are taken in blocks, and for each block and term
 the index stores the sorted places of the term in the block (documents one after another with a gap between them). The
-index is a table in the shared folder, written once for each call; of it, the lists of the query's terms are read. For
-each window of ``least`` words of a held-out passage the lists of its terms, rarest first, are shifted by the terms'
-offsets and intersected; what remains are exact phrase matches. Proximity matches come from the same lists: several of
-the rarest terms of a window must stand near their offsets, then all terms are counted that do.
+index is a table in the shared folder and may be kept for further queries.
 
-Scale: a block is indexed where its documents are read and no text is shuffled; only the lists of query terms move, to
-one task a block, whose size ``block_rows`` and ``block_words`` bound. The held-out items are the stated query set: they
-are sent to the tasks in blocks of at most ``query_bytes`` of text each, so that what is broadcast never grows with them.
+A held-out passage is asked for by its rarest terms: windows of ``least`` words with the same rarest word are one piece,
+which is sent only to the blocks that hold this word. There its list, shifted by the word's offset, is intersected with
+the shifted lists of the words around it, and what is left with ``least`` words in a row is an exact phrase match. A
+proximity match lacks at most ``least - near`` words of a window, so that one of the ``least - near + 1`` rarest is there:
+passages are sent to the blocks that hold one of these, several of the rarest words must stand near their offsets there,
+and then all words are counted that do.
+
+Scale: a block is indexed where its documents are read and no text is shuffled; only the lists of query terms move, and
+only those of blocks that are asked, to one task a block, whose size ``block_rows`` and ``block_words`` bound. Held-out
+items are tables like the others, in chunks of about ``query_bytes`` of text that meet a block one by one, so that
+neither the driver nor a task holds them all.
 
 Defined results: null and blank texts or passages hold nothing; a passage under ``least`` words can't leak; copies of a
 document are rows of their own; a case leaks once a document however often it stands there; repeated case rows count
@@ -24,7 +29,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +42,8 @@ from .text import body, words
 @dataclass(frozen=True)
 class Params:
     """least: words of an exact passage; near, slack: a proximity match holds at least ``near`` of a window's ``least``
-    words at most ``slack`` words from their offsets,; block_rows, block_words: bounds of
-    an index block; query_bytes: text of the held-out items in one round."""
+    words at most ``slack`` words from their offsets; block_rows, block_words: bounds of an index block; query_bytes: text of
+    the held-out items of a chunk, about."""
 
     least: int = 13
     near: int = 10
@@ -121,17 +128,20 @@ class Postings:
         k[k == len(x)] = len(x) - 1
         return (x[k] >= places - slack) & (x[k] <= places + slack)
 
-    def phrase(self, passage: list[str]) -> np.ndarray:
-        """Places at which the passage begins."""
-        if any(t not in self.lists for t in passage):
+    def around(self, x: list[str], at: int, least: int) -> np.ndarray:
+        """Places of the word x[at] from which at least ``least`` words of x, this one among them, stand in a row."""
+        here = self.lists.get(x[at])
+        if here is None:
             return np.zeros(0, np.int64)
-        order = sorted(range(len(passage)), key=lambda k: len(self.lists[passage[k]]))
-        at = self.lists[passage[order[0]]] - order[0]
-        for k in order[1:]:
-            if not len(at):
-                break
-            at = at[self.within(at + k, passage[k])]
-        return at
+        length = np.ones(len(here), np.int64)
+        for step, stop in ((1, len(x)), (-1, -1)):
+            alive = np.arange(len(here))
+            for k in range(at + step, stop, step):
+                if x[k] not in self.lists or not len(alive):
+                    break
+                alive = alive[self.within(here[alive] + k - at, x[k])]
+                length[alive] += 1
+        return here[length >= least]
 
     def near(self, x: list[str], p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(documents, windows, words matched) of the windows of a passage that match nearby: at some start at least
@@ -176,76 +186,123 @@ class Postings:
         return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _queries(cases: DataFrame, p: Params) -> Iterator[list[tuple[str, str, list[str]]]]:
-    """The held-out passages (case_id, field, words) in rounds of at most ``query_bytes`` of text. Read as a stream."""
+def passages(cases: DataFrame, p: Params) -> DataFrame:
+    """case_id, field, chunk, x: the words of the held-out passages of ``least`` words and more."""
     rows = cases.select("case_id", "target_text", "instruction_de").where("case_id is not null").distinct()
-    out, held = [], 0
-    for r in rows.toLocalIterator():
-        for field, x in (("target_text", r["target_text"]), ("instruction_de", body(r["instruction_de"]))):
-            w = words(x)
-            if len(w) < p.least:
-                continue
-            size = len(x.encode())
-            if out and held + size > p.query_bytes:
-                yield out
-                out, held = [], 0
-            out.append((r["case_id"], field, w))
-            held += size
-    if out:
-        yield out
-
-
-def _search(docs: DataFrame, cases: DataFrame, p: Params, schema: str, match: Callable[[Postings, str, str, list[str]], Iterator[tuple]]) -> DataFrame | None:
-    """Rows of all rounds of queries against the stored index; null where there are no queries."""
-    spark = docs.sparkSession
-    stored = index(docs, p)
-    found = None
-    names = [x.split()[0] for x in schema.split(", ")]
+    size = rows.agg(F.sum(F.coalesce(F.length("target_text"), F.lit(0)) + F.coalesce(F.length("instruction_de"), F.lit(0)))).first()[0] or 0
+    chunks = -(-size // p.query_bytes)
 
-    def matcher(sent: Broadcast) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            lists = Postings(rows)
-            return pd.DataFrame([row for case, field, x in sent.value for row in match(lists, case, field, x)], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for case, target, instruction in zip(*(b.column(c).to_pylist() for c in ("case_id", "target_text", "instruction_de"))):
+                chunk = xxhash.xxh3_64_intdigest(case) % max(1, chunks)
+                out += [(case, field, chunk, x) for field, x in (("target_text", words(target)), ("instruction_de", words(body(instruction)))) if len(x) >= p.least]
+            columns = list(zip(*out)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())))], names=["case_id", "field", "chunk", "x"])
 
-        return run
+    return materialise(rows.mapInArrow(run, "case_id string, field string, chunk int, x array<string>").distinct(), "p6-passages")
 
-    for queries in _queries(cases, p):
-        terms = sorted({w for _, _, x in queries for w in x})
-        sent = spark.sparkContext.broadcast(queries)
-        wanted = F.broadcast(spark.createDataFrame([(t,) for t in [DOCS, *terms]], "term string"))  # bounded by query_bytes
-        here = stored.join(wanted, "term", "left_semi").groupBy("block").applyInPandas(matcher(sent), schema)
-        found = here if found is None else found.union(here)
-    return found
 
+def _rated(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """asked with ``counts``: how often each word of the passage stands in the corpus."""
+    terms = asked.select(F.explode("x").alias("term")).distinct()
+    totals = stored.select("term", "n").join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("total"))
+    places = asked.select("case_id", "field", "x", "chunk", F.posexplode("x").alias("k", "term")).join(totals, "term", "left")
+    # two passages of a case and field differ in their words, so that these belong to the key
+    counts = F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("total", F.lit(0)).alias("n")))), lambda s: s["n"])
+    return places.groupBy("case_id", "field", "chunk", "x").agg(counts.alias("counts"))
 
-def found(docs: DataFrame, cases: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, case_id: documents holding at least ``least`` consecutive words of the case's target_text or body."""
 
-    def match(lists: Postings, case: str, field: str, x: list[str]) -> Iterator[tuple]:
-        hits = [lists.phrase(x[k : k + p.least]) for k in range(len(x) - p.least + 1)]
-        hits = [h for h in hits if len(h)]
-        if hits:
-            yield from ((int(d), case) for d in np.unique(lists.doc(np.concatenate(hits))))
+def _pieces(rated: DataFrame, p: Params) -> DataFrame:
+    """case_id, field, chunk, term, x, at: the windows with one rarest word, x[at], as one piece x of the passage."""
 
-    schema = "doc_id bigint, case_id string"
-    out = _search(docs, cases, p, schema, match)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out.distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for case, field, chunk, x, counts in zip(*(b.column(c).to_pylist() for c in ("case_id", "field", "chunk", "x", "counts"))):
+                view = sliding_window_view(np.array(counts), p.least)
+                rarest = view.argmin(1) + np.arange(len(view))
+                begins = np.flatnonzero(np.diff(rarest, prepend=-1))
+                for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(view)]):
+                    at = int(rarest[lo])
+                    if counts[at]:
+                        out.append((case, field, chunk, x[at], x[lo : hi + p.least - 1], at - lo))
+            columns = list(zip(*out)) or [[]] * 6
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["case_id", "field", "chunk", "term", "x", "at"])
 
+    return rated.mapInArrow(run, "case_id string, field string, chunk int, term string, x array<string>, at int")
 
-def proximity(docs: DataFrame, cases: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, case_id, field, windows, best: windows of the case's field with a proximity match in the document, and the
-    most words matched in one. Exact matches are among them."""
 
-    if p.least - p.near + p.slack > p.least // 2:
-        raise ValueError("near is too small or slack too large for least")
+def _rare_terms(rated: DataFrame, p: Params) -> DataFrame:
+    """case_id, field, chunk, x, term: for each window of the passage the rarest words of which a proximity match holds one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, terms = [], []
+            for i, (x, counts) in enumerate(zip(b.column("x").to_pylist(), b.column("counts").to_pylist())):
+                view = sliding_window_view(np.array(counts), p.least)
+                some = np.unique(np.argsort(view, axis=1, kind="stable")[:, : p.least - p.near + 1] + np.arange(len(view))[:, None])
+                mine = sorted({x[k] for k in some.tolist() if counts[k]})
+                at += [i] * len(mine)
+                terms += mine
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("case_id", "field", "chunk", "x")), pa.array(terms, pa.string())], names=["case_id", "field", "chunk", "x", "term"])
 
-    def match(lists: Postings, case: str, field: str, x: list[str]) -> Iterator[tuple]:
-        # the middle of a window lies in the document, also where the window's first words are missing
-        docs, windows, hits = lists.near(x, p)
-        if len(docs):
-            t = pd.DataFrame({"d": docs, "k": windows, "b": hits}).groupby("d").agg(n=("k", "nunique"), m=("b", "max"))
-            yield from ((int(d), case, field, int(n), int(m)) for d, n, m in zip(t.index, t["n"], t["m"]))
+    return rated.mapInArrow(run, "case_id string, field string, chunk int, x array<string>, term string")
 
-    schema = "doc_id bigint, case_id string, field string, windows bigint, best bigint"
-    out = _search(docs, cases, p, schema, match)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+def _search(stored: DataFrame, asked: DataFrame, routed: DataFrame, schema: str, match: Callable[[Postings, pd.DataFrame], Iterator[tuple]]) -> DataFrame:
+    """Rows of ``match`` for the lists of every block and the queries sent to it (routed: block, chunk and more)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    terms = asked.select("chunk", F.explode("x").alias("term")).distinct()
+    terms = terms.union(asked.select("chunk", F.lit(DOCS)).distinct())
+    lists = stored.join(terms, "term").join(routed.select("block", "chunk").distinct(), ["block", "chunk"], "left_semi")
+
+    def run(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        rows = match(Postings(lists), queries) if len(lists) and len(queries) else ()
+        return pd.DataFrame(list(rows), columns=names)
+
+    return lists.groupBy("block", "chunk").cogroup(routed.groupBy("block", "chunk")).applyInPandas(run, schema)
+
+
+def found(docs: DataFrame, cases: DataFrame, p: Params = Params(), stored: DataFrame | None = None) -> DataFrame:
+    """doc_id, case_id: documents holding at least ``least`` consecutive words of the case's target_text or body. stored: an
+    ``index`` of the documents kept from before."""
+    stored = index(docs, p) if stored is None else stored
+    asked = passages(cases, p)
+    pieces = materialise(_pieces(_rated(asked, stored), p), "p6-pieces")
+    routed = materialise(stored.select("block", "term").join(pieces, "term").drop("term"), "p6-routed")
+
+    def match(lists: Postings, queries: pd.DataFrame) -> Iterator[tuple]:
+        hits: dict[str, list[np.ndarray]] = {}
+        for case, x, at in zip(queries["case_id"], queries["x"], queries["at"]):
+            places = lists.around(list(x), int(at), p.least)
+            if len(places):
+                hits.setdefault(case, []).append(lists.doc(places))
+        for case, some in hits.items():
+            yield from ((int(d), case) for d in np.unique(np.concatenate(some)))
+
+    return _search(stored, asked, routed, "doc_id bigint, case_id string", match).distinct()
+
+
+def proximity(docs: DataFrame, cases: DataFrame, p: Params = Params(), stored: DataFrame | None = None) -> DataFrame:
+    """doc_id, case_id, field, windows, best: windows of the case's field with a proximity match in the document, and the
+    most words matched in one. Exact matches are among them. stored: as in ``found``."""
+    if p.least - p.near + p.slack > p.least // 2:
+        raise ValueError("near is too small or slack too large for least")
+    stored = index(docs, p) if stored is None else stored
+    asked = passages(cases, p)
+    terms = materialise(_rare_terms(_rated(asked, stored), p), "p6-rare")
+    routed = materialise(stored.select("block", "term").join(terms, "term").drop("term").distinct(), "p6-routed")
+
+    def match(lists: Postings, queries: pd.DataFrame) -> Iterator[tuple]:
+        for case, field, x in zip(queries["case_id"], queries["field"], queries["x"]):
+            # the middle of a window lies in the document, also where the window's first words are missing
+            at, windows, hits = lists.near(list(x), p)
+            if len(at):
+                t = pd.DataFrame({"d": at, "k": windows, "b": hits}).groupby("d").agg(n=("k", "nunique"), m=("b", "max"))
+                yield from ((int(d), case, field, int(n), int(m)) for d, n, m in zip(t.index, t["n"], t["m"]))
+
+    return _search(stored, asked, routed, "doc_id bigint, case_id string, field string, windows bigint, best bigint", match)

@@ -40,12 +40,17 @@ def data(seed=2):
     return docs, cases
 
 
-def test_equals_brute_force_over_blocks_and_rounds(spark):
+def test_equals_brute_force_over_blocks_and_chunks(spark):
     docs, cases = data()
     want = brute(docs, cases)
     assert len(want) > 10
     for p in (k.Params(), k.Params(block_rows=7, query_bytes=700)):
         assert {tuple(r) for r in k.found(*tables(spark, docs, cases + cases[:2]), p).collect()} == want
+    d, c = tables(spark, docs, cases)
+    stored = k.index(d)
+    half = c.where("case_id < 'C06'")
+    assert {tuple(r) for r in k.found(d, half, stored=stored).collect()} == {x for x in want if x[1] < "C06"}
+    assert {(r.doc_id, r.case_id) for r in k.proximity(d, half, stored=stored).collect()} >= {x for x in want if x[1] < "C06"}
 
 
 def brute_near(docs, cases, p):
