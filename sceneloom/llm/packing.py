@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
 from .text import slices
 
 # The Unicode property White_Space, as the tokenizer's pattern has it.
@@ -154,3 +155,19 @@ def fill_report(df: DataFrame, p: Params = Params()) -> DataFrame:
     """containers, tokens, capacity, unused_share: how well the containers are filled, in one row."""
     c = pack(df, p).where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("used"))
     return c.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (1 - F.sum("used") / (F.count(F.lit(1)) * p.capacity)).alias("unused_share"))
+
+
+def check(df: DataFrame, p: Params = Params()) -> DataFrame:
+    """documents, lost, overfull, split_small, well_filled: one row; documents that came out nowhere or with another number of
+    tokens, containers over the capacity, texts cut though they fit, and whether at most a hundredth of the room and one
+    container of each group are left unused."""
+    x = materialise(pack(df, p), "p5-packed")
+    sizes = x.groupBy("doc_id").agg(F.sum("n_tokens").alias("packed"), F.count(F.lit(1)).alias("parts"))
+    docs = sized(df.where("doc_id is not null"), p).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("copies"))
+    rows = docs.join(sizes, "doc_id", "left")
+    one = rows.agg(F.sum("copies").alias("documents"), F.count_if(~F.col("n").eqNullSafe(F.col("packed"))).alias("lost"), F.count_if((F.col("copies") == 1) & (F.col("n") <= p.capacity) & (F.col("parts") > 1)).alias("split_small"), F.sum("n").alias("tokens"))
+    used = x.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    full = used.agg(F.count_if(F.col("used") > p.capacity).alias("overfull"), F.count(F.lit(1)).alias("containers"), F.count_distinct(F.substring("container", 1, 6)).alias("groups"))
+    room = (F.col("containers") - F.col("groups")) * p.capacity
+    # both are one row
+    return one.withColumn("k", F.lit(1)).join(full.withColumn("k", F.lit(1)), "k").select(F.coalesce("documents", F.lit(0)).alias("documents"), "lost", "overfull", "split_small", (F.coalesce("tokens", F.lit(0)) >= 0.99 * room).alias("well_filled"))

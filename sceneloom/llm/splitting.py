@@ -177,3 +177,21 @@ def pieces(df: DataFrame, p: Params = Params()) -> DataFrame:
     rows = df.select("segment_id", "scene_id", "target_text").where("segment_id is not null and target_text is not null")
     rows = rows.groupBy("segment_id").agg(F.min("scene_id").alias("scene_id"), F.first("target_text").alias("target_text"))
     return rows.mapInArrow(run, "segment_id string, scene_id string, piece int, start int, end int, boundary string, text string")
+
+
+def check(df: DataFrame, p: Params = Params()) -> DataFrame:
+    """segments, too_long, gaps, disorder: one row over all pieces; pieces over the limit, places where text other than white
+    space is lost, and pieces that don't go on from the one before with at most the stated overlap."""
+    x = pieces(df, p)
+    rows = x.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "end", "text"))).alias("x"))
+    whole = df.where("segment_id is not null and target_text is not null").groupBy("segment_id").agg(F.first("target_text").alias("t"))
+    # a text and its pieces: a bounded unit
+    blank = lambda c: F.regexp_replace(c, f"[{WHITE}]+", "") == ""
+    rows = whole.join(rows, "segment_id", "left").withColumn("n", F.size("x"))
+    steps = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda k: F.struct(F.get("x", k - 1).alias("a"), F.get("x", k).alias("b"), k.alias("k")))
+    steps = F.when(F.col("n") > 1, steps).otherwise(F.slice(F.array(F.struct(F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(0)).alias("b"), F.lit(0).alias("k"))), 1, 0))
+    lost = F.exists(steps, lambda s: ~blank(F.substring(F.col("t"), s["a"]["end"] + 1, F.greatest(F.lit(0), s["b"]["start"] - s["a"]["end"]))))
+    lost = lost | F.coalesce(F.get("x", F.lit(0))["start"] != 0, F.lit(True)) | ~blank(F.substring(F.col("t"), F.element_at("x", -1)["end"] + 1, F.length("t")))
+    wrong = F.exists(steps, lambda s: (s["b"]["piece"] != s["k"]) | (s["b"]["start"] <= s["a"]["start"]) | (s["b"]["end"] <= s["a"]["end"]) | (s["a"]["end"] - s["b"]["start"] > p.overlap))
+    said = F.exists("x", lambda s: s["text"] != F.substring(F.col("t"), s["start"] + 1, s["end"] - s["start"]))
+    return rows.agg(F.count(F.lit(1)).alias("segments"), F.count_if(F.exists("x", lambda s: F.length(s["text"]) > p.limit)).alias("too_long"), F.count_if(lost).alias("gaps"), F.count_if(wrong | said).alias("disorder"))

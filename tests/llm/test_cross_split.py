@@ -81,8 +81,66 @@ def test_scattered_changes_that_leave_few_chunks_whole(spark):
     assert {tuple(x) for x in c.found_pairs(table(spark, rows)).collect()} == want
 
 
-def test_report_has_fractions_below_the_candidates(spark):
+def test_no_near_pair_is_missed_at_any_length(spark):
+    """Records of 6 to 160 words with as many changed words as the similarity allows, and more."""
+    r = random.Random(11)
+    rows = []
+    for n in (6, 8, 10, 12, 16, 24, 40, 80, 160):
+        for k in range(40):
+            text = [f"w{r.randrange(40_000)}" for _ in range(n)]
+            rows.append((f"A{n:03d}-{k:02d}", "F1", "train", " ".join(text), None))
+            for at in r.sample(range(n), r.randrange(0, max(2, n // 8 + 1))):
+                text[at] = "neu"
+            rows.append((f"B{n:03d}-{k:02d}", "F2", "test", " ".join(text), None))
+    want = brute(rows)
+    least = {n: sum(a.startswith(f"A{n:03d}") for a, _ in want) for n in (6, 8, 10, 12, 16, 24, 40, 80, 160)}
+    assert min(least.values()) >= 20
+    assert {tuple(x) for x in c.found_pairs(table(spark, rows)).collect()} == want
+
+
+def test_record_overlaps_are_sums_of_shared_chunks(spark):
+    rows = records(5)
+    p = c.Params()
+
+    def chunks(text, f):
+        import numpy as np
+
+        w = words(text)
+        if not w:
+            return None
+        h, off = c.TokenHashes().of([w])
+        digest, length, _ = c._chunks(c.Rolling(h), off, np.array([f]), p)
+        return list(zip(digest.tolist(), length.tolist()))
+
+    train, held = {0: set(), 1: set()}, {}
+    for i, _, s, t, d in rows:
+        side = {"train": "t", "test": "h", "val": "h", "dev": "h"}.get((s or "").strip().lower())
+        for f, text in enumerate((t, body(d))):
+            x = chunks(text, f)
+            if x and side == "t":
+                train[f] |= {k for k, _ in x}
+            elif x and side == "h":
+                held[i, "instruction_de" if f else "target_text"] = (f, x)
+    want = {k: sum(n for x, n in xs if x in train[f]) / sum(n for _, n in xs) for k, (f, xs) in held.items()}
+    got = {(r.segment_id, r.field): r.overlap for r in c.record_overlaps(table(spark, rows)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and max(want.values()) > 0.5
+
+
+def test_classes_and_links_expand_to_the_pairs(spark):
+    rows = records(7) + [(f"H{k}", "F1", s, "immer der gleiche text in allen diesen zeilen", None) for k, s in enumerate(["train", "train", "test", "val"])]
+    df = table(spark, rows)
+    of = {}
+    for r in c.classes(df).collect():
+        of.setdefault((r.field, r.rep, r.side), set()).add(r.segment_id)
+    got = set()
+    for x in c.links(df).collect():
+        got |= {(min(a, b), max(a, b)) for a in of.get((x.field, x.rep_a, "train"), ()) for b in of.get((x.field, x.rep_b, "held out"), ()) if a != b}
+    assert got == brute(rows) and {r.rep for r in c.links(df).where("rep_a = rep_b").selectExpr("rep_a as rep").collect()} >= {"H0"}
+
+
+def test_overlaps_below_the_candidates(spark):
     common = " ".join(f"gleich{k}" for k in range(40))
-    rows = [("A", "F1", "train", common + " " + " ".join(f"a{k}" for k in range(360)), None), ("B", "F2", "test", " ".join(f"b{k}" for k in range(360)) + " " + common, None), ("C", "F2", "test", "ganz anderer text hier", None)]
-    (r,) = c.report(table(spark, rows)).collect()
-    assert (r.records, r.overlapping) == (2, 0) and 0 < r.max_overlap < 0.2 and abs(r.mean_overlap - r.max_overlap / 2) < 1e-9
+    rows = [("A", "F1", "train", common + " " + " ".join(f"a{k}" for k in range(360)), None), ("B", "F2", "test", " ".join(f"b{k}" for k in range(360)) + " " + common, None), ("C", "F2", "test", "ganz anderer text hier", None), ("D", "F1", "train", "allein auf beiden seiten hier", None), ("D", "F1", "test", "allein auf beiden seiten hier", None)]
+    got = {r.segment_id: (r.overlap, r.near) for r in c.record_overlaps(table(spark, rows)).collect()}
+    assert 0 < got["B"][0] < 0.2 and got["C"] == (0.0, False)
+    assert {(r.work_id, r.records, r.overlapping) for r in c.report(table(spark, rows)).collect()} == {("F2", 2, 0), ("F1", 1, 0)}

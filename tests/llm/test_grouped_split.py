@@ -85,3 +85,23 @@ def test_place_takes_the_rarest_label_first():
 def test_empty_and_null_labels(spark):
     assert g.assign(table(spark, [])).count() == 0 and g.torn(table(spark, [])).count() == 0 and g.balance(table(spark, [])).count() == 0
     assert {r.segment_id for r in g.assign(table(spark, [("A", None, None, None, None, None), ("B", None, None, "", None, None)])).collect()} == {"A", "B"}
+
+
+def test_labels_stay_balanced_on_either_side_of_the_shards(spark):
+    """The shares of every label, with all units in one shard and with many shards."""
+    r = random.Random(3)
+    rows = [(f"P{k:05d}", f"F{min(r.randrange(12), r.randrange(12))}", f"S{k // r.choice([1, 2, 5, 9])}", None, None, r.choice(["a", "a", "a", "b"])) for k in range(6000)]
+    rows += [(f"Q{k:03d}", "selten", f"T{k}", None, None, None) for k in range(100)]  # about one in each small shard
+    df = table(spark, rows)
+    for p in (g.Params(), g.Params(shard_units=200)):
+        for x in g.label_balance(df, p).collect():
+            assert abs(x.train - 0.8) < 0.05 and abs(x.test - 0.1) < 0.04, (p, x)
+        assert tuple(g.check(df, p).first()) == (6100, 0, 0, True)
+
+
+def test_labels_without_end_are_refused(spark):
+    import pytest
+
+    rows = [(f"P{k}", f"F{k}", None, None, None, None) for k in range(30)]
+    with pytest.raises(ValueError, match="too many"):
+        g.assign(table(spark, rows), g.Params(most_labels=20))

@@ -106,3 +106,13 @@ def test_without_a_gap_in_the_window_the_strongest_earlier_one_is_cut():
     text = "aa bb.\ncc d" + "e" * 30
     (_, end, strength), *_ = s.pieces_of(text, p)
     assert (end, strength) == (6, s.LINE)
+
+
+def test_check_counts_what_is_wrong(spark, monkeypatch):
+    rows = [("A", "S", "wort " * 900), ("A", "S", "wort " * 900), ("B", None, "x" * 5000), ("C", "S", " \n "), ("D", "S", None), (None, "S", "y"), ("E", "S", "")]
+    df = table(spark, rows)
+    assert tuple(s.check(df).first()) == (4, 0, 0, 0)
+    assert tuple(s.check(table(spark, [])).first()) == (0, 0, 0, 0)
+    real = s.pieces
+    monkeypatch.setattr(s, "pieces", lambda d, p: real(d, p).where("piece <> 1"))
+    assert tuple(s.check(df).first())[2:] == (2, 2)
