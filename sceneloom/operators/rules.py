@@ -1,7 +1,8 @@
 """Integrity rules as data: each rule is a query that returns the violating rows, and passes if there are none.
 
 Eight types: unique key, reference, order, derived field, leakage, constant, pattern, and total. ``audit`` runs a list
-of them and returns one row a rule; ``violations`` gives the keys.
+of them and returns one row a rule; ``violations`` gives the keys. Rules on single rows of one table (``of_rows``) are
+evaluated together, in one pass over the table.
 """
 
 from __future__ import annotations
@@ -21,6 +22,32 @@ class Rule:
     name: str
     kind: str
     query: Callable[[], DataFrame]
+    #: Of rules on rows: the pass they share (see ``of_rows``).
+    shared: Rows | None = None
+
+
+@dataclass(frozen=True, eq=False)
+class Rows:
+    """A table, its key and the conditions that its rows must meet, by name with type."""
+
+    df: DataFrame
+    key: str
+    conditions: dict[str, tuple[str, Column]]
+
+    def audit(self) -> DataFrame:
+        counts = [F.struct(F.lit(n).alias("check"), F.lit(k).alias("type"), F.count_if(~F.coalesce(c, F.lit(False))).alias("violations")) for n, (k, c) in self.conditions.items()]
+        x = self.df.agg(F.array(*counts).alias("x")).select(F.inline("x"))
+        return x.select("check", "type", (F.col("violations") == 0).alias("passed"), "violations")
+
+    def violations(self) -> DataFrame:
+        broken = [F.when(~F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("check"), F.lit(k).alias("type"))) for n, (k, c) in self.conditions.items()]
+        return self.df.select(_key(self.key), F.explode(F.array_compact(F.array(*broken))).alias("x")).select("x.check", "x.type", "key")
+
+
+def of_rows(df: DataFrame, key: str, conditions: list[tuple[str, str, Column]]) -> list[Rule]:
+    """A rule for each (name, type, condition) that must be true of every row; null counts as not true."""
+    shared = Rows(df, key, {n: (k, c) for n, k, c in conditions})
+    return [Rule(n, k, lambda c=c: df.where(~F.coalesce(c, F.lit(False))).select(_key(key)), shared) for n, k, c in conditions]
 
 
 def _key(*columns: str) -> Column:
@@ -80,12 +107,25 @@ def equal_totals(name: str, a: DataFrame, a_value: Column, b: DataFrame, b_value
     return Rule(name, "total", lambda: a.agg(F.coalesce(F.sum(a_value), F.lit(0)).alias("n")).join(b.agg(F.coalesce(F.sum(b_value), F.lit(0)).alias("n")), "n", "left_anti").select(F.col("n").cast("string").alias("key")))
 
 
+def _passes(rules: list[Rule]) -> tuple[list[Rows], list[Rule]]:
+    """The passes that rules on rows share, narrowed to the rules asked for, and the other rules."""
+    passes: dict[int, tuple[Rows, list[str]]] = {}
+    for r in rules:
+        if r.shared is not None:
+            passes.setdefault(id(r.shared), (r.shared, []))[1].append(r.name)
+    return [Rows(x.df, x.key, {n: x.conditions[n] for n in names}) for x, names in passes.values()], [r for r in rules if r.shared is None]
+
+
 def violations(rules: list[Rule]) -> DataFrame:
     """check, type, key of every violating row of all rules, as one plan: its parts run side by side."""
-    return reduce(DataFrame.union, [r.query().select(F.lit(r.name).alias("check"), F.lit(r.kind).alias("type"), "key") for r in rules])
+    passes, others = _passes(rules)
+    rows = [r.query().select(F.lit(r.name).alias("check"), F.lit(r.kind).alias("type"), "key") for r in others]
+    return reduce(DataFrame.union, [x.violations() for x in passes] + rows)
 
 
 def audit(rules: list[Rule]) -> DataFrame:
-    """check, type, passed, violations: a row for each rule, in one plan with one small aggregate for each."""
-    rows = [r.query().agg(F.count(F.lit(1)).alias("violations")).select(F.lit(r.name).alias("check"), F.lit(r.kind).alias("type"), (F.col("violations") == 0).alias("passed"), "violations") for r in rules]
-    return reduce(DataFrame.union, rows)
+    """check, type, passed, violations: a row for each rule, in one plan with a pass for each table of row rules and one small
+    aggregate for each other rule."""
+    passes, others = _passes(rules)
+    rows = [r.query().agg(F.count(F.lit(1)).alias("violations")).select(F.lit(r.name).alias("check"), F.lit(r.kind).alias("type"), (F.col("violations") == 0).alias("passed"), "violations") for r in others]
+    return reduce(DataFrame.union, [x.audit() for x in passes] + rows)

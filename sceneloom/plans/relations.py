@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexical_words, overlap_words, sha256, strip
 from ..operators import encode, joins, overlap, release, rules, sequence, splits
 from ..streaming import early_stop
-from . import texts  # noqa: F401  # some rules reuse its SQL
+from . import catalogue, texts  # noqa: F401  # some rules reuse its SQL
 from .base import *
 
 # --- joins
@@ -495,51 +495,97 @@ def _rules(spark, root):
     a = table(spark, root, "partition_atoms")
     s = table(spark, root, "scenes")
     i = table(spark, root, "source_annotations")
+    d = table(spark, root, "documents")
+    w = table(spark, root, "works")
     li, o = table(spark, root, "lineitem"), table(spark, root, "orders")
-    named = m.select("segment_id", "scene_id", split_name(F.col("split")).alias("split"))
-    return [
+    named = m.select("segment_id", "scene_id", "scene_group_id", split_name(F.col("split")).alias("split"))
+    paired = p.select("segment_id", "scene_group_id", split_name(F.col("split")).alias("split"))
+    texts = p.select(F.sha2("target_text", 256).alias("t"), F.sha2("instruction_de", 256).alias("i"), "segment_id", split_name(F.col("split")).alias("split"))
+    last, last_pair = segments(spark, root, "target_text", "split", "event_ids", "verse_element_count"), pairs(spark, root, "target_text", "split", "source")
+    both = last.select("segment_id", F.col("target_text").alias("t"), split_name(F.col("split")).alias("s"), F.col("event_ids").alias("e")).join(last_pair, "segment_id")
+    return catalogue.row_rules(spark, root) + [
         rules.unique("segments_unique", m, "segment_id"),
         rules.unique("atoms_unique", a, "atom_id"),
+        rules.unique("scenes_unique", s, "scene_id"),
+        rules.unique("issues_unique", i, "issue_id"),
+        rules.unique("documents_unique", d, "doc_id"),
+        rules.unique("works_unique", w, "work_id"),
+        rules.unique("scene_numbers_unique", s.select("work_id", "scene_index", "scene_id").distinct(), "work_id", "scene_index"),
+        rules.unique("pair_targets_unique", texts.select("t", "segment_id").where("t is not null").distinct(), "t"),
+        rules.unique("instructions_unique", texts.select("i", "segment_id").where("i is not null").distinct(), "i"),
         rules.references("segment_scenes_exist", m, "scene_id", s, "scene_id"),
+        rules.references("segment_works_exist", m, "work_id", w, "work_id"),
+        rules.references("scene_works_exist", s, "work_id", w, "work_id"),
+        rules.references("document_works_exist", d, "work_ref", w, "work_id"),
+        rules.references("atom_segments_exist", a, "segment_id", m, "segment_id"),
+        rules.references("previous_segments_exist", m, "previous_segment_id", m, "segment_id"),
+        rules.references("next_segments_exist", m, "next_segment_id", m, "segment_id"),
         rules.references("issue_atoms_exist", i, "source_atom_id", a, "source_atom_id"),
+        rules.references("segment_issues_exist", m.select(F.explode("source_issue_ids").alias("issue_id")), "issue_id", i, "issue_id"),
+        rules.references("segment_atoms_exist", m.select(F.explode("atom_ids").alias("atom_id")), "atom_id", a, "atom_id"),
+        rules.references("issue_events_exist", i.select(F.explode("affected_event_ids").alias("e")), "e", a.select(F.explode("event_ids").alias("e")), "e"),
         rules.references("lineitem_orders_exist", li, "l_orderkey", o, "o_orderkey"),
         rules.same_keys("pairs_match_segments", m.where("segment_id is not null"), p.where("segment_id is not null"), "segment_id"),
-        rules.derived("target_hashes", m, "segment_id", "target_text_sha256", F.sha2("target_text", 256)),
-        rules.derived("character_counts", m, "segment_id", "character_count", F.length("target_text")),
         rules.one_split("scenes_in_one_split", named, "scene_id", "split"),
-        rules.constant("known_splits", m, "segment_id", "split", "train", "validation", "test"),
-        rules.constant("no_verse_numbers", m, "segment_id", "source_verse_number_status", "absent_in_source"),
-        rules.pattern("no_han_in_instructions", p, "segment_id", "instruction_de", r"[\x{3400}-\x{9fff}]", present=False),
-        rules.pattern("descriptions_have_han", p, "segment_id", "description_zh", r"[\x{3400}-\x{9fff}]", present=True),
-        rules.holds("beats_count", "constant", p, "segment_id", F.size("scene_specification.beats_de").between(3, 9)),
-        rules.holds("positive_quantity", "constant", li, "l_orderkey", F.col("l_quantity") > 0),
+        rules.one_split("groups_in_one_split", named, "scene_group_id", "split"),
+        rules.one_split("segments_in_one_split", named, "segment_id", "split"),
+        rules.one_split("pair_groups_in_one_split", paired, "scene_group_id", "split"),
+        rules.one_split("targets_in_one_split", texts, "t", "split"),
+        *rules.of_rows(both, "segment_id", [("pair_targets_as_in_segments", "derived", F.col("t").eqNullSafe(F.col("target_text"))), ("pair_splits_as_in_segments", "derived", F.col("s").eqNullSafe(split_name(F.col("split")))), ("pair_events_as_in_segments", "order", F.col("e").eqNullSafe(F.col("source.event_ids")))]),
         rules.ordered("atom_order", lambda: w12(spark, root), "segment_id"),
         rules.equal_totals("events_conserved", segments(spark, root, "event_ids"), F.size("event_ids"), atoms(spark, root, "atom_id", "event_ids"), F.size("event_ids")),
     ]
 
 
 def _sql_rules() -> dict[str, tuple[str, str]]:
-    named = f"(SELECT segment_id, scene_id, {sql_split()} AS split FROM master_segments)"
+    named = f"(SELECT segment_id, scene_id, scene_group_id, {sql_split()} AS split FROM master_segments)"
+    texts = f"(SELECT sha256(target_text) AS t, sha256(instruction_de) AS i, segment_id, scene_group_id, {sql_split()} AS split FROM sft_pairs)"
+    both = f"(SELECT m.segment_id, m.target_text AS t, {sql_split('m.split')} AS s, m.event_ids AS e, p.target_text, {sql_split('p.split')} AS split, p.source FROM {sql_segments('target_text', 'split', 'event_ids', 'verse_element_count')} m JOIN {sql_pairs('target_text', 'split', 'source')} p USING (segment_id))"
+
+    def unique(of, *keys):
+        shown = " || '|' || ".join(f"coalesce({k}::VARCHAR, 'null')" for k in keys)
+        return ("unique", f"SELECT {shown} AS key FROM {of} GROUP BY {', '.join(keys)} HAVING count(*) > 1")
+
+    def known(of, column, to, to_column):
+        return ("reference", f"SELECT DISTINCT {column}::VARCHAR AS key FROM {of} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {to_column} FROM {to} WHERE {to_column} IS NOT NULL)")
+
+    def one(of, group):
+        return ("leakage", f"SELECT {group} AS key FROM {of} WHERE {group} IS NOT NULL AND split IS NOT NULL GROUP BY 1 HAVING min(split) <> max(split)")
+
     order = "SELECT DISTINCT segment_id AS key FROM (" + REGISTRY["w12_order_equality"][1] + ")"
-    totals = REGISTRY["a13_conserved_totals"][1]
-    return {
-        "segments_unique": ("unique", "SELECT segment_id AS key FROM master_segments GROUP BY 1 HAVING count(*) > 1"),
-        "atoms_unique": ("unique", "SELECT atom_id AS key FROM partition_atoms GROUP BY 1 HAVING count(*) > 1"),
-        "segment_scenes_exist": ("reference", "SELECT DISTINCT scene_id AS key FROM master_segments WHERE scene_id NOT IN (SELECT scene_id FROM scenes WHERE scene_id IS NOT NULL)"),
-        "issue_atoms_exist": ("reference", "SELECT DISTINCT source_atom_id AS key FROM source_annotations WHERE source_atom_id NOT IN (SELECT source_atom_id FROM partition_atoms WHERE source_atom_id IS NOT NULL)"),
-        "lineitem_orders_exist": ("reference", "SELECT DISTINCT l_orderkey::VARCHAR AS key FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)"),
+    return catalogue.sql_row_rules() | {
+        "segments_unique": unique("master_segments", "segment_id"),
+        "atoms_unique": unique("partition_atoms", "atom_id"),
+        "scenes_unique": unique("scenes", "scene_id"),
+        "issues_unique": unique("source_annotations", "issue_id"),
+        "documents_unique": unique("documents", "doc_id"),
+        "works_unique": unique("works", "work_id"),
+        "scene_numbers_unique": unique("(SELECT DISTINCT work_id, scene_index, scene_id FROM scenes)", "work_id", "scene_index"),
+        "pair_targets_unique": unique(f"(SELECT DISTINCT t, segment_id FROM {texts} WHERE t IS NOT NULL)", "t"),
+        "instructions_unique": unique(f"(SELECT DISTINCT i, segment_id FROM {texts} WHERE i IS NOT NULL)", "i"),
+        "segment_scenes_exist": known("master_segments", "scene_id", "scenes", "scene_id"),
+        "segment_works_exist": known("master_segments", "work_id", "works", "work_id"),
+        "scene_works_exist": known("scenes", "work_id", "works", "work_id"),
+        "document_works_exist": known("documents", "work_ref", "works", "work_id"),
+        "atom_segments_exist": known("partition_atoms", "segment_id", "master_segments", "segment_id"),
+        "previous_segments_exist": known("master_segments", "previous_segment_id", "master_segments", "segment_id"),
+        "next_segments_exist": known("master_segments", "next_segment_id", "master_segments", "segment_id"),
+        "issue_atoms_exist": known("source_annotations", "source_atom_id", "partition_atoms", "source_atom_id"),
+        "segment_issues_exist": known("(SELECT unnest(source_issue_ids) AS i FROM master_segments)", "i", "source_annotations", "issue_id"),
+        "segment_atoms_exist": known("(SELECT unnest(atom_ids) AS i FROM master_segments)", "i", "partition_atoms", "atom_id"),
+        "issue_events_exist": known("(SELECT unnest(affected_event_ids) AS e FROM source_annotations)", "e", "(SELECT unnest(event_ids) AS x FROM partition_atoms)", "x"),
+        "lineitem_orders_exist": known("lineitem", "l_orderkey", "orders", "o_orderkey"),
         "pairs_match_segments": ("reference", "SELECT segment_id AS key FROM (" + REGISTRY["j1_lonely_keys"][1] + ")"),
-        "target_hashes": ("derived", "SELECT segment_id AS key FROM master_segments WHERE target_text_sha256 IS DISTINCT FROM sha256(target_text)"),
-        "character_counts": ("derived", "SELECT segment_id AS key FROM master_segments WHERE character_count IS DISTINCT FROM length(target_text)"),
-        "scenes_in_one_split": ("leakage", f"SELECT scene_id AS key FROM {named} WHERE scene_id IS NOT NULL AND split IS NOT NULL GROUP BY 1 HAVING min(split) <> max(split)"),
-        "known_splits": ("constant", "SELECT segment_id AS key FROM master_segments WHERE split IS NULL OR split NOT IN ('train', 'validation', 'test')"),
-        "no_verse_numbers": ("constant", "SELECT segment_id AS key FROM master_segments WHERE source_verse_number_status IS DISTINCT FROM 'absent_in_source'"),
-        "no_han_in_instructions": ("pattern", "SELECT segment_id AS key FROM sft_pairs WHERE regexp_matches(instruction_de, '[\\x{3400}-\\x{9fff}]')"),
-        "descriptions_have_han": ("pattern", "SELECT segment_id AS key FROM sft_pairs WHERE NOT coalesce(regexp_matches(description_zh, '[\\x{3400}-\\x{9fff}]'), false)"),
-        "beats_count": ("constant", "SELECT segment_id AS key FROM sft_pairs WHERE NOT coalesce(len(scene_specification.beats_de) BETWEEN 3 AND 9, false)"),
-        "positive_quantity": ("constant", "SELECT l_orderkey::VARCHAR AS key FROM lineitem WHERE NOT coalesce(l_quantity > 0, false)"),
+        "scenes_in_one_split": one(named, "scene_id"),
+        "groups_in_one_split": one(named, "scene_group_id"),
+        "segments_in_one_split": one(named, "segment_id"),
+        "pair_groups_in_one_split": one(texts, "scene_group_id"),
+        "targets_in_one_split": one(texts, "t"),
+        "pair_targets_as_in_segments": ("derived", f"SELECT segment_id AS key FROM {both} WHERE t IS DISTINCT FROM target_text"),
+        "pair_splits_as_in_segments": ("derived", f"SELECT segment_id AS key FROM {both} WHERE s IS DISTINCT FROM split"),
+        "pair_events_as_in_segments": ("order", f"SELECT segment_id AS key FROM {both} WHERE e IS DISTINCT FROM source.event_ids"),
         "atom_order": ("order", order),
-        "events_conserved": ("total", f"SELECT in_segments::VARCHAR AS key FROM ({totals}) WHERE in_segments <> in_atoms"),
+        "events_conserved": ("total", "SELECT in_segments::VARCHAR AS key FROM (" + REGISTRY["a13_conserved_totals"][1] + ") WHERE in_segments <> in_atoms"),
     }
 
 

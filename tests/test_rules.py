@@ -46,3 +46,28 @@ def test_each_corruption_is_named(spark):
     assert failed(every_type(spark, text=None)).keys() == {"hash", "text", "order"}
     assert failed(every_type(spark, n=None)).keys() == {"positive", "total"}
     assert [x.key for x in r.violations(every_type(spark, sha="0")).collect()] == ["P3"]
+
+
+def test_rules_on_rows_share_a_pass_and_are_named(spark):
+    df = spark.createDataFrame([("A", 1, "x"), ("B", None, "x"), ("C", -1, None), (None, 2, "y")], "id string, n int, t string")
+    every = r.of_rows(df, "id", [("positive", "constant", F.col("n") > 0), ("filled", "constant", F.col("t").isNotNull()), ("sound", "constant", F.lit(True))])
+    more = [r.unique("unique", df, "t")]
+    assert {x.check: (x.passed, x.violations) for x in r.audit(every + more).collect()} == {"positive": (False, 2), "filled": (False, 1), "sound": (True, 0), "unique": (False, 1)}
+    assert {(x.check, x.key) for x in r.violations(every + more).collect()} == {("positive", "B"), ("positive", "C"), ("filled", "C"), ("unique", "x")}
+    assert r.audit(every[:1]).count() == 1 and r.audit(every)._jdf.queryExecution().toString().count("LogicalRDD") <= 4
+
+
+def test_catalogue(spark):
+    from sceneloom.plans import catalogue
+    from sceneloom.plans.relations import _RULES
+
+    names = [n for _, n, _, _ in catalogue.ROW_RULES]
+    assert len(names) == len(set(names)) and len(_RULES) >= 150
+    assert catalogue.spelled("not #has(#lower(x), #re'a(b)') and #size(#distinct(y)) > 0", "spark").startswith("not regexp_like(lower(regexp_replace(x,")
+    # a row of each kind of fault in one table, each named by its rule
+    ok = {"case_id": "K", "eval_set": "dev", "form_de": "Lied", "instruction_de": "Tu.", "description_zh": "门", "fictional": True, "target_text": None}
+    faults = {"case_sets_known": {"eval_set": "other"}, "case_instructions_present": {"instruction_de": " \n"}, "case_forms_given": {"form_de": None}, "cases_fictional": {"fictional": False}, "cases_without_target": {"target_text": "x"}, "case_descriptions_have_han": {"description_zh": "Tor"}, "no_han_in_case_instructions": {"instruction_de": "门"}}
+    rows = [tuple((ok | {"case_id": n} | f).values()) for n, f in faults.items()] + [tuple(ok.values())]
+    df = spark.createDataFrame(rows, "case_id string, eval_set string, form_de string, instruction_de string, description_zh string, fictional boolean, target_text string")
+    mine = r.of_rows(df, "case_id", [(n, k, F.expr(catalogue.spelled(c, "spark"))) for t, n, k, c in catalogue.ROW_RULES if t == "eval_scenes"])
+    assert {(x.check, x.key) for x in r.violations(mine).collect()} == {(n, n) for n in faults}
