@@ -151,11 +151,21 @@ def chunked(df: DataFrame, p: Params) -> DataFrame:
 
 
 def _often(chunks: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """The word sequences counted most often in the slices, sorted by hash, and their counts."""
+    """The word sequences counted most often in the slices, ``often`` of them at most, sorted by hash, and their counts."""
     c = chunks.where(F.col("field") == _OFTEN).select(F.explode(F.arrays_zip("digests", "lengths")).alias("c"))
-    top = c.groupBy(F.col("c.digests").alias("g")).agg(F.sum("c.lengths").alias("n")).orderBy(F.desc("n"), "g").limit(p.often).collect()
-    top.sort()
-    return np.array([r.g for r in top], np.int64), np.array([r.n for r in top], np.int64)
+    counts = materialise(c.groupBy(F.col("c.digests").alias("g")).agg(F.sum("c.lengths").alias("n")), "p1-often")
+    # a bound on the counts, told by how many sequences have each order of magnitude (at most 1,024 of them), and not an
+    # ordering, for which every task would send as many
+    size = F.floor(16 * F.log2("n"))
+    left, least = p.often, None
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("m")).collect(), reverse=True):
+        if r.m > left:
+            break
+        left, least = left - r.m, r["size"]
+    top = (counts.limit(0) if least is None else counts.where(size >= least)).toArrow()
+    g, n = (np.asarray(top.column(x).combine_chunks(), np.int64) for x in ("g", "n"))
+    order = np.argsort(g)
+    return g[order], n[order]
 
 
 def _near_by_prefix(df: DataFrame, often: np.ndarray, counts: np.ndarray, p: Params) -> DataFrame:
