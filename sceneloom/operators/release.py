@@ -5,20 +5,24 @@ Manifests are small (a row a file), so bytes are handled on the driver; the reco
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import os
 import re
-import shutil
+import stat
 import tempfile
+import uuid
 import zipfile
+from collections import Counter
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Sizes a delta package may have, packed and unpacked.
-MOST_PACKED, MOST_UNPACKED = 32 * 2**20, 256 * 2**20
+# Sizes of a package's member and of all members, unpacked; the type of a package that may be applied.
+MOST_MEMBER, MOST_UNPACKED = 32 * 2**20, 256 * 2**20
+DELTA = "delta"
 _SAFE = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._ -]*$")
 
 
@@ -57,77 +61,107 @@ def safe_path(name: str, allowed: tuple[str, ...]) -> str:
 
 
 def archive_members(path: str) -> list[dict]:
-    """name, bytes of each file of a zip archive. Links, repeated names and sizes over the limits are errors."""
-    if os.path.getsize(path) > MOST_PACKED:
-        raise ValueError("package too large")
-    out: dict[str, dict] = {}
+    """path, bytes of each file of a zip archive. Links, repeated names and sizes over the limits are errors."""
     with zipfile.ZipFile(path) as z:
-        for i in z.infolist():
-            if i.is_dir():
-                continue
-            if i.filename in out:
-                raise ValueError(f"member twice: {i.filename!r}")
-            if (i.external_attr >> 16) & 0o170000 == 0o120000:
-                raise ValueError(f"member is a link: {i.filename!r}")
-            out[i.filename] = {"path": i.filename, "bytes": i.file_size}
-    if sum(x["bytes"] for x in out.values()) > MOST_UNPACKED:
-        raise ValueError("package too large when unpacked")
-    return list(out.values())
+        files = [i for i in z.infolist() if not i.is_dir()]
+    faults = {
+        "member twice": [n for n, k in Counter(i.filename for i in files).items() if k > 1],
+        "member is a link": [i.filename for i in files if stat.S_ISLNK(i.external_attr >> 16)],
+        "member too large": [i.filename for i in files if i.file_size > MOST_MEMBER],
+        "package too large": [path] if sum(i.file_size for i in files) > MOST_UNPACKED else [],
+    }
+    for what, names in faults.items():
+        if names:
+            raise ValueError(f"{what}: {names[:5]}")
+    return [{"path": i.filename, "bytes": i.file_size} for i in files]
+
+
+class Folder:
+    """A local folder that packages are applied to. Nothing outside it is read or written, nor through links."""
+
+    def __init__(self, root: str):
+        self.root = Path(root).resolve()
+        if not self.root.is_dir():
+            raise ValueError(f"not a folder: {root}")
+
+    def place(self, name: str) -> Path:
+        p = self.root / name
+        steps = [p, *p.parents][: len(PurePosixPath(name).parts)]
+        if any(x.is_symlink() for x in steps) or not p.resolve().is_relative_to(self.root):
+            raise ValueError(f"links are not followed: {name!r}")
+        if p.exists() and not p.is_file():
+            raise ValueError(f"not a file: {name!r}")
+        return p
+
+    def bytes(self, name: str) -> bytes | None:
+        p = self.place(name)
+        return p.read_bytes() if p.exists() else None
+
+    def digests(self, names: list[str]) -> dict[str, str | None]:
+        return {n: None if (d := self.bytes(n)) is None else hashlib.sha256(d).hexdigest() for n in names}
+
+    def put(self, name: str, data: bytes | None) -> None:
+        p = self.place(name)
+        p.unlink(missing_ok=True) if data is None else write_atomically(p, data)
 
 
 class Delta:
-    """A delta package: a zip archive with one manifest.json and the payload it lists."""
+    """A delta package: a zip archive with one manifest.json and the payload it lists. The manifest names the release, the
+    release it builds on, and files that must be as stated; ``state`` is the file that tells the release of a folder."""
 
-    def __init__(self, path: str, allowed: tuple[str, ...]):
-        members = {m["path"]: m for m in archive_members(path)}
+    def __init__(self, path: str, allowed: tuple[str, ...], state: str = "STATE.json"):
+        members = {m["path"] for m in archive_members(path)}
         manifests = [n for n in members if PurePosixPath(n).name == "manifest.json"]
         if len(manifests) != 1:
             raise ValueError("exactly one manifest expected")
-        self.path = path
         with zipfile.ZipFile(path) as z:
             self.manifest = json.loads(z.read(manifests[0]))
-            self.files = {f["path"]: f for f in self.manifest["files"]}
-            if len(self.files) != len(self.manifest["files"]) or set(self.files) != set(members) - set(manifests):
+            if self.manifest.get("package_type") != DELTA:
+                raise ValueError("not a delta package")
+            listed = [f["path"] for f in self.manifest["files"]]
+            if sorted([*listed, *manifests]) != sorted(members):
                 raise ValueError("manifest and members differ")
-            for name, f in self.files.items():
-                data = z.read(safe_path(name, allowed))
-                if len(data) != f["bytes"] or hashlib.sha256(data).hexdigest() != f["sha256"]:
-                    raise ValueError(f"content differs from the manifest: {name!r}")
-
-    def plan(self, spark: SparkSession, root: str) -> DataFrame:
-        """path, action against a folder, after the parent's files were found as required."""
-        def digest(name: str) -> str | None:
-            p = Path(root, name)
-            return hashlib.sha256(p.read_bytes()).hexdigest() if p.is_file() else None
+            self.payload = {safe_path(n, allowed): z.read(n) for n in listed}
+        self.state = state
+        self.files = {f["path"]: f for f in self.manifest["files"]}
+        wrong = [n for n, d in self.payload.items() if (len(d), hashlib.sha256(d).hexdigest()) != (self.files[n]["bytes"], self.files[n]["sha256"])]
+        if wrong:
+            raise ValueError(f"content differs from the manifest: {wrong[:5]}")
 
-        wrong = [f["path"] for f in self.manifest.get("requires", {}).get("parent_files", []) if digest(f["path"]) != f["sha256"]]
+    def _parent(self, folder: Folder) -> None:
+        """The folder is what the package builds on, or has the package already."""
+        required = {f["path"]: f["sha256"] for f in self.manifest.get("requires", {}).get("parent_files", [])}
+        wrong = [n for n, d in folder.digests(list(required)).items() if d != required[n]]
         if wrong:
             raise ValueError(f"parent files differ: {wrong[:5]}")
+        told = folder.bytes(self.state)
+        if told is not None and json.loads(told).get("release_id") not in (self.manifest.get("parent_release_id"), self.manifest["release_id"]):
+            raise ValueError("the folder holds another release than the package builds on")
+
+    def plan(self, spark: SparkSession, root: str) -> DataFrame:
+        """path, action against a folder, after the parent was found as required."""
+        folder = Folder(root)
+        self._parent(folder)
         payload = spark.createDataFrame([(n, f["sha256"], f.get("previous_sha256")) for n, f in self.files.items()], "path string, sha256 string, previous_sha256 string")
-        present = spark.createDataFrame([(n, digest(n)) for n in self.files], "path string, sha256 string").where("sha256 is not null")
+        present = spark.createDataFrame(list(folder.digests(list(self.files)).items()), "path string, sha256 string").where("sha256 is not null")
         return reconcile(payload, present)
 
     def apply(self, spark: SparkSession, root: str, dry_run: bool = True) -> list[tuple[str, str]]:
-        """(path, action) in path order; writes unless ``dry_run``. A conflict is an error before anything is written; a
-        failure while writing undoes what was written, in reverse."""
+        """(path, action) in path order; writes unless ``dry_run``. A conflict is an error before anything is written. Each file
+        is looked at again before it is replaced; after any failure the folder is as it was."""
+        folder = Folder(root)
+        seen = {n: folder.bytes(n) for n in self.files}
         actions = sorted((r["path"], r["action"]) for r in self.plan(spark, root).collect())  # a row a file of a bounded package
-        conflicts = [n for n, a in actions if a == "conflict"]
-        if conflicts:
+        if conflicts := [n for n, a in actions if a == "conflict"]:
             raise ValueError(f"unexpected content: {conflicts[:5]}")
-        if dry_run:
-            return actions
-        done: list[tuple[Path, bytes | None]] = []
-        try:
-            with zipfile.ZipFile(self.path) as z:
+        if not dry_run:
+            with contextlib.ExitStack() as undo:
                 for name in (n for n, a in actions if a == "write"):
-                    target = Path(root, name)
-                    before = target.read_bytes() if target.is_file() else None
-                    done.append((target, before))
-                    write_atomically(target, z.read(name))
-        except BaseException:
-            for target, before in reversed(done):
-                target.unlink(missing_ok=True) if before is None else write_atomically(target, before)
-            raise
+                    if folder.bytes(name) != seen[name]:
+                        raise ValueError(f"changed meanwhile: {name!r}")
+                    undo.callback(folder.put, name, seen[name])  # run in reverse
+                    folder.put(name, self.payload[name])
+                undo.pop_all()
         return actions
 
 
@@ -146,19 +180,30 @@ def write_atomically(path: Path, data: bytes) -> None:
         raise
 
 
-def swap_table(staged: str, final: str) -> None:
-    """Puts a staged local folder in the place of another, which is kept until the swap is done."""
-    old = f"{final}.old"
-    shutil.rmtree(old, ignore_errors=True)
-    if os.path.exists(final):
-        os.rename(final, old)
-    os.rename(staged, final)
-    shutil.rmtree(old, ignore_errors=True)
+def swap_table(spark: SparkSession, staged: str, final: str) -> None:
+    """Puts a staged folder in the place of another, on any file system Spark knows. The other is kept beside it until the
+    swap is done, and comes back if that fails."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(final).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = f"{final.rstrip('/')}.{uuid.uuid4().hex}.old"
+    there = fs.exists(path(final))
+    if there and not fs.rename(path(final), path(old)):
+        raise OSError(f"can't move {final} away")
+    try:
+        done = fs.rename(path(staged), path(final))
+    except Exception:  # some file systems raise, others say no
+        done = False
+    if not done:
+        if there:
+            fs.rename(path(old), path(final))
+        raise OSError(f"can't move {staged} to {final}")
+    if there:
+        fs.delete(path(old), True)
 
 
 class Runs:
-    """Finished stages by fingerprint: a stage runs again only if its inputs or settings changed, and never before the
-    stages it needs."""
+    """Finished stages by fingerprint: a stage runs again only if its inputs or settings changed or it didn't succeed, and
+    never before the stages it needs have passed."""
 
     def __init__(self, folder: str):
         self.folder = Path(folder)
@@ -170,11 +215,12 @@ class Runs:
 
     def done(self, stage: str, fingerprint: str) -> bool:
         p = self.folder / f"{stage}.json"
-        return p.is_file() and json.loads(p.read_text())["fingerprint"] == fingerprint
+        said = json.loads(p.read_text()) if p.is_file() else {}
+        return (said.get("fingerprint"), said.get("status")) == (fingerprint, "passed")
 
     def require(self, stage: str, fingerprint: str) -> None:
         if not self.done(stage, fingerprint):
             raise ValueError(f"stage {stage!r} has not been completed with these inputs")
 
-    def finish(self, stage: str, fingerprint: str, **facts: object) -> None:
-        write_atomically(self.folder / f"{stage}.json", json.dumps({"fingerprint": fingerprint, **facts}, ensure_ascii=False, sort_keys=True).encode())
+    def finish(self, stage: str, fingerprint: str, status: str = "passed", **facts: object) -> None:
+        write_atomically(self.folder / f"{stage}.json", json.dumps({"fingerprint": fingerprint, "status": status, **facts}, ensure_ascii=False, sort_keys=True).encode())

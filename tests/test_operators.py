@@ -79,8 +79,8 @@ def test_joins(spark):
     assert [tuple(r) for r in joins.attach_headings(sc, hd).collect()] == [("W", "/t:TEI/t:div[1]", "/t:TEI/t:div[1]/t:head[1]")]
 
 
-def package(path, files, parents=(), members=None, extra=()):
-    manifest = {"release_id": "r2", "files": [{"path": n, "bytes": len(d), "sha256": hashlib.sha256(d).hexdigest(), **({"previous_sha256": hashlib.sha256(p).hexdigest()} if p is not None else {})} for n, d, p in files], "requires": {"parent_files": [{"path": n, "sha256": hashlib.sha256(d).hexdigest()} for n, d in parents]}}
+def package(path, files, parents=(), members=None, extra=(), kind="delta"):
+    manifest = {"release_id": "r2", "parent_release_id": "r1", "package_type": kind, "files": [{"path": n, "bytes": len(d), "sha256": hashlib.sha256(d).hexdigest(), **({"previous_sha256": hashlib.sha256(p).hexdigest()} if p is not None else {})} for n, d, p in files], "requires": {"parent_files": [{"path": n, "sha256": hashlib.sha256(d).hexdigest()} for n, d in parents]}}
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("manifest.json", json.dumps(manifest))
         for n, d in members or [(n, d) for n, d, _ in files]:
@@ -102,6 +102,10 @@ def test_release(spark, tmp_path):
     assert d.apply(spark, str(root), dry_run=False) == want and (root / "data/a.txt").read_bytes() == b"new"
     with pytest.raises(ValueError, match="parent files differ"):
         d.apply(spark, str(root))
+    (root / "STATE.json").write_text('{"release_id": "r7"}')
+    with pytest.raises(ValueError, match="another release"):
+        release.Delta(package(tmp_path / "q.zip", files), ("data",)).apply(spark, str(root))
+    (root / "STATE.json").write_text('{"release_id": "r1"}')
     again = release.Delta(package(tmp_path / "q.zip", files), ("data",))
     assert {a for _, a in again.apply(spark, str(root))} == {"skip"}
     (root / "data/c.txt").write_bytes(b"edited")
@@ -109,11 +113,20 @@ def test_release(spark, tmp_path):
         again.apply(spark, str(root), dry_run=False)
 
 
-def test_release_refuses(tmp_path):
+def test_release_refuses(tmp_path, monkeypatch):
     ok = [("data/a.txt", b"x", None)]
     for n, args in enumerate(({"members": [("data/a.txt", b"y")]}, {"extra": [("data/z.txt", b"")]}, {"members": [("data/a.txt", b"x"), ("manifest2/manifest.json", b"{}")]})):
         with pytest.raises(ValueError):
             release.Delta(package(tmp_path / f"{n}.zip", ok, **args), ("data",))
+    with pytest.raises(ValueError, match="not a delta"):
+        release.Delta(package(tmp_path / "full.zip", ok, kind="snapshot"), ("data",))
+    monkeypatch.setattr(release, "MOST_MEMBER", 3)
+    with pytest.raises(ValueError, match="too large"):
+        release.Delta(package(tmp_path / "large.zip", [("data/a.txt", b"1234", None)]), ("data",))
+    (tmp_path / "root").mkdir()
+    (tmp_path / "root/data").symlink_to(tmp_path)
+    with pytest.raises(ValueError, match="links"):
+        release.Folder(str(tmp_path / "root")).bytes("data/x")
     for bad in ("../a.txt", "/etc/a", "other/a.txt", "data/../b", "data\\a"):
         with pytest.raises(ValueError):
             release.safe_path(bad, ("data",))
@@ -150,6 +163,9 @@ def test_digests_locks_and_runs(spark, tmp_path):
         runs.require("prepare", f)
     runs.finish("prepare", f, rows=3)
     runs.require("prepare", f)
+    runs.finish("train", f, status="failed")
+    with pytest.raises(ValueError):
+        runs.require("train", f)
     assert not runs.done("prepare", runs.fingerprint("prepare", data="d2"))
 
 
@@ -162,3 +178,27 @@ def test_pair_gate_screens_training_prompts(spark, tmp_path):
     assert got == {("A", 6, 6, False), ("B", 4, 0, True), ("D", 0, 0, True)}
     runs = {tuple(r) for r in plans.queries()["l1_l2_pair_word_runs"](spark, str(tmp_path)).collect()}
     assert runs == {("A", "A", 2, 0, 6), ("A", "A", 3, 1, 5), ("A", "A", 4, 2, 4), ("B", "A", 1, 0, 4)}
+
+
+def test_swap_and_changed_meanwhile(spark, tmp_path, monkeypatch):
+    for name in ("new", "old"):
+        spark.createDataFrame([(name,)], "x string").write.parquet(f"file://{tmp_path}/{name}")
+    release.swap_table(spark, f"file://{tmp_path}/new", f"file://{tmp_path}/old")
+    assert spark.read.parquet(f"file://{tmp_path}/old").first().x == "new" and sorted(p.name for p in tmp_path.iterdir()) == ["old"]
+    with pytest.raises(Exception):
+        release.swap_table(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/old")
+    assert spark.read.parquet(f"file://{tmp_path}/old").count() == 1
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data/a.txt").write_bytes(b"old")
+    d = release.Delta(package(tmp_path / "p.zip", [("data/a.txt", b"new", b"old")]), ("data",))
+    real = d.plan
+
+    def plan(*args):
+        out = real(*args)
+        (tmp_path / "data/a.txt").write_bytes(b"edited")
+        return out
+
+    monkeypatch.setattr(d, "plan", plan)
+    with pytest.raises(ValueError, match="changed meanwhile"):
+        d.apply(spark, str(tmp_path), dry_run=False)
+    assert (tmp_path / "data/a.txt").read_bytes() == b"edited"
