@@ -71,7 +71,8 @@ def resolve_anchors(cuts: DataFrame, events: DataFrame) -> DataFrame:
     i = F.when(F.col("at") != "", F.col("at").try_cast("int")).when((F.col("sign") == "!") & (F.col("last_kind") == "stage"), F.col("last") - 1).when(F.col("sign") == "^", F.col("spoken")).when(F.col("sign") == "", F.col("last"))
     c = c.withColumn("i", i).join(e.select("scene_id", "atom_number", "i", "event_id", "scene_ord"), ["scene_id", "atom_number", "i"], "left")
     ok = F.when(F.col("event_id").isNull(), F.raise_error(F.concat(F.lit("no event for cut "), F.coalesce("scene_id", F.lit("null")), F.lit(" "), F.coalesce("marker", F.lit("null"))))).otherwise(F.col("event_id"))
-    return c.select("scene_id", "marker", ok.alias("event_id"), F.col("scene_ord").alias("stop"))
+    # whichever of the two is read, an error shows
+    return c.select("scene_id", "marker", ok.alias("event_id"), F.when(ok.isNotNull(), F.col("scene_ord")).alias("stop"))
 
 
 def invalid_cuts(stops: DataFrame, events: DataFrame, order: str = "cut_ord") -> DataFrame:
