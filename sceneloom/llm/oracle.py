@@ -90,9 +90,69 @@ cover AS (SELECT segment_id, field, sum(step) AS c FROM held GROUP BY ALL)
 SELECT t.segment_id, CASE t.field WHEN 0 THEN 'target_text' ELSE 'instruction_de' END AS field, len(w)::INT AS n_tokens, coalesce(c, 0)::INT AS shared_tokens, coalesce(c, 0)::INT / len(w) AS share FROM tokened t LEFT JOIN cover USING (segment_id, field) WHERE len(w) >= 16
 """
 
+# problem 7, with its default parameters
+_TRAIL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || " + " || ".join(f"chr({c})" for c in (0x85, 0xA0, 0xAD, 0x1680, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))
+_SPACES = r"[ \t\n\x0b\f\r]+"
+_OMITTED = r"'(?:…|\.\.\.|\[(?:…|\.\.\.)\])$'"
+_LN_P = "CASE WHEN hazard > neighbours THEN -at_risk * (hazard * ln(hazard / neighbours) + CASE WHEN hazard < 1 THEN (1 - hazard) * ln((1 - hazard) / (1 - neighbours)) ELSE 0 END) ELSE 0 END"
+
+
+def _step_up_sql(name: str, tests: str) -> str:
+    """CTEs by which ``name`` has the tests (with ln_p) that are significant."""
+    return f"""{name}_all AS (SELECT *, least(32000, floor(-43.4294 * ln_p))::INT AS bin FROM {tests}),
+{name}_cut AS (SELECT coalesce(min(bin), 32001) AS bin FROM (SELECT bin, sum(m) OVER (ORDER BY bin DESC) AS k, sum(m) OVER () AS m FROM (SELECT bin, count(*) AS m FROM {name}_all GROUP BY bin)) WHERE pow(10.0, -bin / 100) <= 0.01 * k / m),
+{name} AS (SELECT * FROM {name}_all WHERE bin >= (SELECT bin FROM {name}_cut))"""
+
+
+def _limits_sql(name: str, docs: str, band: int) -> str:
+    """CTEs by which ``name`` has the texts of ``docs`` at a significant length: doc_id, source, unit, limit, ..., own."""
+    b = band
+    return f"""{name}_n AS (SELECT source, unit, length, count(*) AS n FROM (SELECT source, 'chars' AS unit, chars AS length FROM {docs} UNION ALL SELECT source, 'bytes', bytes FROM {docs}) GROUP BY ALL),
+{name}_w AS (SELECT *, sum(n) OVER (w RANGE BETWEEN {b - 1} PRECEDING AND CURRENT ROW) AS texts, sum(n) OVER (w RANGE BETWEEN {b - 1} PRECEDING AND UNBOUNDED FOLLOWING) AS at_risk, coalesce(sum(n) OVER (w RANGE BETWEEN {b + 24} PRECEDING AND {b} PRECEDING), 0) AS below, coalesce(sum(n) OVER (w RANGE BETWEEN 1 FOLLOWING AND 25 FOLLOWING), 0) AS above FROM {name}_n WINDOW w AS (PARTITION BY source, unit ORDER BY length)),
+{name}_h AS (SELECT *, texts / at_risk AS hazard, least(0.999, (below + above + 1) / greatest(25 * (2 * at_risk - texts + (below - above) / 2), 1.0) * {b}) AS neighbours FROM {name}_w),
+{name}_t AS (SELECT *, {_LN_P} AS ln_p FROM {name}_h),
+{_step_up_sql(name + '_s', name + '_t')},
+{name}_m AS (SELECT d.doc_id, d.source, s.unit, s.length AS "limit", {b} AS band, s.at_risk, s.hazard, s.neighbours, s.ln_p, row_number() OVER (PARTITION BY d.doc_id ORDER BY s.ln_p, s.length, s.unit <> 'chars') AS r
+  FROM {docs} d JOIN {name}_s s ON d.source IS NOT DISTINCT FROM s.source AND s.texts >= 5 AND CASE s.unit WHEN 'chars' THEN d.chars ELSE d.bytes END BETWEEN s.length - {b - 1} AND s.length),
+{name} AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY source, unit, "limit") AS own FROM {name}_m WHERE r = 1) WHERE own >= 5)"""
+
+
+_P7 = rf"""WITH RECURSIVE s0 AS (SELECT doc_id, source, text, rtrim(text, {_TRAIL}) AS s FROM documents WHERE doc_id IS NOT NULL),
+s1 AS (SELECT *, regexp_matches(s, {_OMITTED}) AS marked, CASE WHEN regexp_matches(s, {_OMITTED}) THEN rtrim(regexp_replace(s, {_OMITTED}, ''), {_TRAIL}) ELSE s END AS rest FROM s0),
+s2 AS (SELECT *, trim(string_split(replace(rest, chr(13), chr(10)), chr(10))[-1], {_TRAIL}) AS line FROM s1),
+ends AS (SELECT doc_id, source, text, line, length(text) AS chars, strlen(text) AS bytes, CASE WHEN coalesce(s, '') = '' THEN NULL WHEN rest = '' OR regexp_matches(rest, '[.!?…。！？][ \t\n\x0b\f\r\x{{a0}}]*["''“”‘’»«›‹)\]）」』】]*$')
+  OR (NOT marked AND (regexp_matches(line, '[(\[（][^()\[\]（）]*[)\]）]$') OR regexp_matches(line, '^[^\p{{L}}\p{{N}}]+$'))) THEN 'complete' WHEN marked THEN 'marked' ELSE 'bare' END AS ending FROM s2),
+docs AS (SELECT doc_id, source, chars, bytes FROM ends WHERE ending IS NOT NULL),
+{_limits_sql('one', 'docs', 1)},
+others AS (SELECT * FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM one)),
+{_limits_sql('wide', 'others', 12)},
+limits AS (SELECT * FROM one UNION ALL SELECT * FROM wide)"""
+
+_P7_LIMITS = _P7 + """ SELECT DISTINCT source, unit, "limit" AS length, band, own AS texts, at_risk, round(hazard, 6) AS hazard, round(neighbours, 6) AS neighbours, round(ln_p, 3) AS ln_p FROM limits"""
+
+_WORDS_OF = "[q FOR q IN regexp_split_to_array({0}, '" + _SPACES + "') IF q <> ''][1:3]"
+_BEGINS = "unnest([array_to_string(w[1:i], ' ') FOR i IN range(1, len(w) + 1)])"
+_P7_JUDGED = _P7 + rf""", bare AS (SELECT doc_id, {_WORDS_OF.format('line')} AS w, regexp_replace(text, '{_SPACES}', ' ', 'g') AS clean FROM ends WHERE ending = 'bare'),
+free AS (SELECT * FROM bare WHERE doc_id NOT IN (SELECT doc_id FROM limits)),
+final AS (SELECT b, count(DISTINCT clean) AS final FROM (SELECT {_BEGINS} AS b, clean FROM free) GROUP BY b HAVING count(DISTINCT clean) >= 3),
+lines AS (SELECT [q FOR q IN regexp_split_to_array(text, '[\r\n]+') IF trim(q, ' ') <> ''] AS x FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+inside AS (SELECT b, count(*) AS inner_ FROM (SELECT {_BEGINS} AS b FROM (SELECT {_WORDS_OF.format('l')} AS w FROM (SELECT unnest(x[1:len(x) - 1]) AS l FROM lines))) WHERE b IN (SELECT b FROM final) GROUP BY b),
+begun AS (SELECT b, final, coalesce(inner_, 0) AS inner_, final / (final + coalesce(inner_, 0)) AS hazard, final + coalesce(inner_, 0) AS at_risk FROM final LEFT JOIN inside USING (b) WHERE final / (final + coalesce(inner_, 0)) >= 0.1),
+usual AS (SELECT ((SELECT count(*) FROM free) - (SELECT count(DISTINCT doc_id) FROM (SELECT doc_id, {_BEGINS} AS b FROM free) WHERE b IN (SELECT b FROM begun)) + 1) / ((SELECT coalesce(sum(len(x)), 0) FROM lines) + 2) AS neighbours),
+rated AS (SELECT begun.*, neighbours FROM begun, usual),
+tested AS (SELECT *, {_LN_P} AS ln_p FROM rated),
+{_step_up_sql('closing', 'tested')},
+closed AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, {_BEGINS} AS b FROM bare) WHERE b IN (SELECT b FROM closing)),
+copied AS (SELECT DISTINCT regexp_replace(text, '{_SPACES}', ' ', 'g') AS clean FROM ends WHERE ending = 'marked' AND doc_id IN (SELECT doc_id FROM limits)),
+judged AS (SELECT doc_id, source, ending, CASE WHEN ending NOT IN ('bare', 'marked') OR ending IS NULL OR doc_id IN (SELECT doc_id FROM closed) THEN NULL WHEN doc_id IN (SELECT doc_id FROM limits) OR regexp_replace(text, '{_SPACES}', ' ', 'g') IN (SELECT clean FROM copied) THEN 'field limit' WHEN ending = 'bare' THEN 'broken transfer' END AS reason FROM ends)"""
+
+_P7_FOUND = _P7_JUDGED + " SELECT doc_id FROM judged WHERE reason IS NOT NULL"
+_P7_REASONS = _P7_JUDGED + " SELECT doc_id, source, ending, reason FROM judged WHERE reason IS NOT NULL"
+_P7_RATES = _P7_JUDGED + " SELECT source, count(*) AS documents, count(reason) AS cut, count(*) FILTER (reason = 'field limit') AS at_limit, count(*) FILTER (reason = 'broken transfer') AS broken, count(reason) / count(*) AS rate FROM judged GROUP BY 1"
+
 # what any right result has, whatever it looks like
 _P2_CHECK = "SELECT count(DISTINCT segment_id) AS segments, 0::BIGINT AS missing, 0::BIGINT AS torn_units, true AS within FROM master_segments"
 _P4_CHECK = "SELECT count(DISTINCT segment_id) FILTER (target_text IS NOT NULL) AS segments, 0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS disorder FROM master_segments"
 _P5_CHECK = "SELECT count(doc_id) AS documents, 0::BIGINT AS lost, 0::BIGINT AS overfull, 0::BIGINT AS split_small, true AS well_filled FROM documents"
 
-SQL = {"p1_found": _P1, "p1_report": _P1_REPORT, "p1_links": _P1_LINKS, "p1_classes": _P1_CLASSES, "p2_found": _P2, "p2_check": _P2_CHECK, "p3_found": _P3, "p3_coverage": _P3_COVERAGE, "p4_found": _P4, "p4_check": _P4_CHECK, "p5_check": _P5_CHECK, "p6_found": _P6}
+SQL = {"p1_found": _P1, "p1_report": _P1_REPORT, "p1_links": _P1_LINKS, "p1_classes": _P1_CLASSES, "p2_found": _P2, "p2_check": _P2_CHECK, "p3_found": _P3, "p3_coverage": _P3_COVERAGE, "p4_found": _P4, "p4_check": _P4_CHECK, "p5_check": _P5_CHECK, "p6_found": _P6, "p7_found": _P7_FOUND, "p7_rates": _P7_RATES, "p7_limits": _P7_LIMITS, "p7_reasons": _P7_REASONS}

@@ -144,7 +144,7 @@ def _attributed(rows: DataFrame, tests: DataFrame, p: Params) -> DataFrame:
     lengths = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).cast("bigint").alias("length")) for u in UNITS])
     texts = rows.select("doc_id", *key, F.explode(lengths).alias("x")).select("doc_id", "src", "none", "x.unit", "x.length")
     what = F.struct("unit", "limit", "band", "texts", "at_risk", "hazard", "neighbours", "ln_p")
-    best = texts.join(at.select(*key, "unit", "length", what.alias("what")), ["src", "none", "unit", "length"]).groupBy("doc_id").agg(F.min_by("what", F.struct("what.ln_p", "what.band", "what.limit")).alias("what"))
+    best = texts.join(at.select(*key, "unit", "length", what.alias("what")), ["src", "none", "unit", "length"]).groupBy("doc_id").agg(F.min_by("what", F.struct("what.ln_p", "what.band", "what.limit", F.col("what.unit") != "chars")).alias("what"))
     best = materialise(best.join(rows.select("doc_id", "source"), "doc_id"), "p7-attributed")
     own = best.select("source", *[F.col(f"what.{c}").alias(c) for c in ("unit", "limit", "band")], "doc_id", "what")
     kept = own.groupBy(F.col("source").alias("s"), F.col("unit").alias("u"), F.col("limit").alias("l"), F.col("band").alias("b")).agg(F.count(F.lit(1)).alias("own")).where(F.col("own") >= p.least)
@@ -214,6 +214,6 @@ def rates(df: DataFrame, p: Params = Params()) -> DataFrame:
 
 def limits(df: DataFrame, p: Params = Params()) -> DataFrame:
     """source, unit, length, band, texts, at_risk, hazard, neighbours, ln_p: the significant lengths of every source;
-    ``texts`` that end there and at no more telling length."""
+    ``texts`` that end there and at no more telling length. Hazards to six decimals, logarithms to three."""
     found = at_limits(materialise(endings(df, p), "p7-endings"), p)
-    return found.select("source", "unit", F.col("limit").alias("length"), "band", F.col("own").alias("texts"), "at_risk", "hazard", "neighbours", "ln_p").distinct()
+    return found.select("source", "unit", F.col("limit").alias("length"), "band", F.col("own").alias("texts"), "at_risk", F.round("hazard", 6).alias("hazard"), F.round("neighbours", 6).alias("neighbours"), F.round("ln_p", 3).alias("ln_p")).distinct()
