@@ -75,3 +75,9 @@ def prefix_suffix(c: Column, separator: str = "\n\n") -> tuple[Column, Column]:
     """What stands before and after the first separator; the suffix is null where there is none."""
     at = F.instr(c, F.lit(separator))
     return F.when(at > 0, F.substring_index(c, separator, 1)).otherwise(c), F.when(at > 0, F.substr(c, at + len(separator)))
+
+
+def finite(c: Column) -> Column:
+    """The number as it is; NaN and the infinities are an error, null stays null."""
+    bad = F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+    return F.when(bad, F.raise_error(F.lit("number is not finite"))).otherwise(c)

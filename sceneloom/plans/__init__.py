@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _registry() -> dict[str, tuple]:
-    from . import builds, markup, relations, texts  # noqa: F401
+    from . import builds, exports, markup, relations, texts  # noqa: F401
     from .base import REGISTRY
 
     return REGISTRY

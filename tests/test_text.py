@@ -1,10 +1,11 @@
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sceneloom.functions import char_count, containment, fold, has_han, lexical_words, norm, ordered_distinct, overlap_words, prefix_suffix, sha256, upper_median, word_count
+from sceneloom.functions import char_count, containment, finite, fold, has_han, lexical_words, norm, ordered_distinct, overlap_words, prefix_suffix, sha256, upper_median, word_count
 
 TRICKY = ["", " ", "a b  c", " x\t\n", "a b c", "ab c", "x\x1cy", "Straße ẞ", "Geht’s don't 12a_b", "😀 a", "界 wort", "  \x1c a \r\n b ", None]
 
@@ -47,3 +48,11 @@ def test_upper_median_and_ordered_distinct(spark):
         assert df.agg(upper_median("v").alias("m")).first().m == sorted(values)[len(values) // 2]
     one = spark.createDataFrame([([["b", "a"], None, ["a", "c", "b"]],)], "x array<array<string>>")
     assert one.select(ordered_distinct(F.col("x")).alias("x")).first().x == ["b", "a", "c"]
+
+
+def test_finite(spark):
+    df = spark.createDataFrame([(1.5,), (None,), (-0.0,)], "v double")
+    assert [r.v for r in df.select(finite(F.col("v")).alias("v")).collect()] == [1.5, None, 0.0]
+    for bad in (float("nan"), float("inf"), float("-inf")):
+        with pytest.raises(Exception, match="not finite"):
+            spark.createDataFrame([(bad,)], "v double").select(finite(F.col("v")).alias("v")).collect()
