@@ -6,10 +6,15 @@ are compared again, so that a collision makes no match. Hot windows are left to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import spread
+from .windows import digests, padded, places
 
 
 def _worded(df: DataFrame, key: str, words: Column) -> DataFrame:
@@ -31,11 +36,19 @@ def windows(df: DataFrame, key: str, words: Column, n: int) -> DataFrame:
 
 
 def hashed_windows(df: DataFrame, key: str, words: Column, n: int) -> DataFrame:
-    """key, h1, h2: the distinct windows of n words as 128-bit hashes."""
-    rows = _worded(df, key, words)
-    gram = lambda i: F.slice("w", i + 1, n)
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.xxhash64(gram(i)).alias("h1"), F.xxhash64(F.lit(1), gram(i)).alias("h2")))
-    return rows.select(key, F.explode(F.when(F.size("w") >= n, grams)).alias("x")).select(key, "x.h1", "x.h2").distinct()
+    """key, h1, h2: the windows of n words as hashes of 96 bits, made of 64-bit hashes of the words; repeated windows too."""
+    rows = df.select(key, F.transform(words, lambda x: F.xxhash64(x)).alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                w, starts, count = padded(part.column(1), 0)
+                at, text = places(starts, count, n)
+                h2 = (digests(w, at, n, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(digests(w, at, n).view(np.int64)), pa.array(h2)], [key, "h1", "h2"])
+
+    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, h1 bigint, h2 int")
 
 
 def matches(prompts: DataFrame, prompt_key: str, prompt_words: Column, targets: DataFrame, target_key: str, target_words: Column, n: int = 4) -> DataFrame:
@@ -60,10 +73,13 @@ def longest(prompts: DataFrame, found: DataFrame, prompt_key: str, target_key: s
 
 def reuse(texts: DataFrame, key: str, words: Column, pool: DataFrame, pool_words: Column, n: int = 8) -> DataFrame:
     """key, grams, reused, ratio: distinct windows of each text and how many of them the pool holds; 0 without windows. A
-    key is a row of its own; windows are told apart by a 128-bit hash, so that two numbers travel and not eight words."""
-    own = hashed_windows(texts, key, words, n)
-    known = hashed_windows(pool.withColumn("_pool", F.lit(0)), "_pool", pool_words, n).select("h1", "h2", F.lit(1).alias("hit")).distinct()
-    counts = own.join(known, ["h1", "h2"], "left").groupBy(key).agg(F.count(F.lit(1)).alias("grams"), F.count("hit").alias("reused"))
+    key is a row of its own; windows are told apart by a 96-bit hash, so that two numbers travel and not eight words.
+
+    Windows of either side are shuffled once, by their hash: distinct rows, join and counts stay where they arrive. The
+    sort-merge join is asked for: Spark takes a pool's windows for as few bytes as its files and would broadcast them."""
+    own = hashed_windows(spread(texts), key, words, n).repartition("h1", "h2").distinct()
+    known = hashed_windows(pool.withColumn("_pool", F.lit(0)), "_pool", pool_words, n).select("h1", "h2").distinct().withColumn("hit", F.lit(1))
+    counts = own.join(known.hint("merge"), ["h1", "h2"], "left").groupBy(key).agg(F.count(F.lit(1)).alias("grams"), F.count("hit").alias("reused"))
     rows = texts.select(key).join(counts, key, "left")
     n_, r = F.coalesce("grams", F.lit(0)), F.coalesce("reused", F.lit(0))
     return rows.select(key, n_.alias("grams"), r.alias("reused"), (r / F.greatest(n_, F.lit(1))).alias("ratio"))

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 import zipfile
 
 import pytest
@@ -169,6 +170,19 @@ def test_digests_locks_and_runs(spark, tmp_path):
     assert not runs.done("prepare", runs.fingerprint("prepare", data="d2"))
 
 
+def test_reuse_moves_windows_once_and_broadcasts_none(spark, tmp_path):
+    words = F.split("x", " ")
+    texts = spark.createDataFrame([(1, "a b c a b c"), (1, "c a b d"), (2, None), (3, "a b")], "id int, x string")
+    pool = spark.createDataFrame([("x a b c x",), ("a b c",), (None,)], "x string")
+    texts.write.parquet(f"{tmp_path}/texts")
+    pool.write.parquet(f"{tmp_path}/pool")  # files, whose size Spark takes for that of the windows
+    df = overlap.reuse(spark.read.parquet(f"{tmp_path}/texts"), "id", words, spark.read.parquet(f"{tmp_path}/pool"), words, 3)
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 4, 1, 0.25), (1, 4, 1, 0.25), (2, 0, 0, 0.0), (3, 0, 0, 0.0)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[h1#", plan)
+    assert len(re.findall(r"Exchange hashpartitioning\([^)]*h1#", plan.rpartition("Initial Plan")[2])) == 2
+
+
 def test_pair_gate_screens_training_prompts(spark, tmp_path):
     from sceneloom import plans
 
