@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexical_words, overlap_words, sha256, strip
-from ..operators import encode, joins, overlap, release, rules, sequence, splits
+from ..operators import encode, joins, overlap, release, rules, runs, sequence, splits
 from ..streaming import early_stop
 from . import catalogue, texts  # noqa: F401  # some rules reuse its SQL
 from .base import *
@@ -368,16 +368,16 @@ def l3(spark, root):
 _PAIR_PROMPTS = f"SELECT segment_id AS case_id, {LEXICAL.format('instruction_de')} AS w FROM {sql_pairs('instruction_de')} WHERE instruction_de IS NOT NULL"
 
 
-def _pair_runs(spark, root):
+def _pair_texts(spark, root):
     """The screen of the training prompts: every pair's instruction against the targets of all pairs, its own among them."""
     e = pairs(spark, root, "instruction_de").where("instruction_de is not null").withColumnRenamed("segment_id", "case_id")
     t = pairs(spark, root, "target_text").where("target_text is not null")
-    return e, overlap.matches(e, "case_id", lexical_words(F.col("instruction_de")), t, "segment_id", lexical_words(F.col("target_text")), 4)
+    return e, "case_id", lexical_words(F.col("instruction_de")), t, "segment_id", lexical_words(F.col("target_text")), 4
 
 
 @query("l1_l2_pair_word_runs", f"WITH {_sql_runs(4, _PAIR_PROMPTS, _TARGETS)} SELECT case_id, segment_id, pos::INT AS pos, target_pos::INT AS target_pos, length::INT AS length FROM found")
 def l2_pairs(spark, root):
-    return _pair_runs(spark, root)[1]
+    return runs.matches(*_pair_texts(spark, root))
 
 
 @query(
@@ -385,8 +385,8 @@ def l2_pairs(spark, root):
     f"""WITH {_sql_runs(4, _PAIR_PROMPTS, _TARGETS)} SELECT case_id, coalesce(max(length), 0)::INT AS longest_any, coalesce(max(length) FILTER (segment_id = case_id), 0)::INT AS longest_own, coalesce(max(length), 0) < 6 AS passes FROM ps LEFT JOIN found USING (case_id) GROUP BY 1""",
 )
 def l3_pairs(spark, root):
-    e, found = _pair_runs(spark, root)
-    return overlap.longest(e, found, "case_id", "segment_id")
+    p = _pair_texts(spark, root)
+    return overlap.longest(p[0], overlap.matches(*p), "case_id", "segment_id")
 
 
 @query(
