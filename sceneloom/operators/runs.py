@@ -61,8 +61,7 @@ class Block:
         h = digests(w, at, self.n, self.seed)
         maybe = np.flatnonzero(self.seen[h >> np.uint64(42)])
         h, at, text = h[maybe], at[maybe], text[maybe]
-        k = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        same = self.h[k] == h
+        k, same = _find(self.h, h)
         at, text, k = at[same], text[same], k[same]
         least = self.at[self.first[k]]
         same = np.ones(len(k), bool)
@@ -70,6 +69,45 @@ class Block:
             same &= w[at + i] == self.w[least + i]
         return at[same], text[same], k[same]
 
+    def reach(self, most: np.ndarray, w: np.ndarray, at: np.ndarray, k: np.ndarray) -> None:
+        """Raises ``most``, by text, to the longest run that begins at windows of the block and at known windows of others.
+
+        Equal beginnings are one class, and a class is split by its next word where both sides have it: each word more
+        costs what is left of the windows, not what they make together."""
+        hit = np.zeros(len(self.first), bool)
+        hit[k] = True
+        mine = np.flatnonzero(np.repeat(hit, self.size))
+        i, text, ci, length = self.at[mine], self.text[mine], np.repeat(np.arange(len(self.first)), self.size * hit), self.n
+        while len(i):
+            most[text] = np.maximum(most[text], length)
+            a, b = self.w[i + length], w[at + length]
+            goes, known = a != _PROMPT_PAD, b != _TARGET_PAD
+            i, text, ci, a, at, k, b = i[goes], text[goes], ci[goes], a[goes], at[known], k[known], b[known]
+            if not len(i):
+                break
+            words, word = np.unique(a, return_inverse=True)
+            found, same = _find(words, b)
+            at, b = at[same], k[same] * len(words) + found[same]
+            classes, ci = np.unique(ci * len(words) + word, return_inverse=True)
+            k, same = _find(classes, b)
+            at, k = at[same], k[same]
+            hit = np.zeros(len(classes), bool)
+            hit[k] = True
+            goes = hit[ci]
+            i, text, ci, length = i[goes], text[goes], ci[goes], length + 1
+
+    def by_text(self) -> tuple[np.ndarray, np.ndarray]:
+        """The windows by text and class: text * classes + class, sorted, and the place of each."""
+        code = self.text.astype(np.int64) * len(self.first) + np.repeat(np.arange(len(self.first)), self.size)
+        order = np.argsort(code, kind="stable")
+        return code[order], self.at[order]
+
+
+def _find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x stands among the sorted known ones, of which there is one at least, and whether it does."""
+    k = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return k, known[k] == x
+
 
 def lengths(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """How many words agree from i and j on, where n do."""
@@ -152,3 +190,24 @@ def matches(prompts: DataFrame, prompt_key: str, prompt_words: Column, targets:
 
     schema = f"`{prompt_key}` string, `{target_key}` string, pos int, target_pos int, length int"
     return _by_blocks(prompts, prompt_key, prompt_words, targets, target_key, target_words, n, schema, of)
+
+
+def longest(prompts: DataFrame, prompt_key: str, prompt_words: Column, targets: DataFrame, target_key: str, target_words: Column, n: int = 4, fail_at: int = 6) -> DataFrame:
+    """The rows of ``overlap.longest`` for these matches, of which none is made but those of a prompt with its own target."""
+
+    def of(block: Block, files: list[str]) -> Iterator[pa.RecordBatch]:
+        most, own = np.zeros(len(block.keys), np.int32), np.zeros(len(block.keys), np.int32)
+        codes, places_ = block.by_text()
+        for keys, w, starts, count in _stored(files):
+            at, text, k = block.known(w, starts, count)
+            block.reach(most, w, at, k)
+            p = pc.fill_null(pc.index_in(keys, value_set=block.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)[text]
+            mine = p >= 0
+            p, at, code = p[mine], at[mine], p[mine] * len(block.first) + k[mine]
+            first = np.searchsorted(codes, code)
+            for row, x in _spans(first, np.searchsorted(codes, code, "right") - first):
+                np.maximum.at(own, p[row], lengths(block.w, places_[x], w, at[row], n))
+        yield pa.RecordBatch.from_arrays([block.keys, pa.array(most), pa.array(own), pa.array(most < fail_at)], [prompt_key, "longest_any", "longest_own", "passes"])
+
+    schema = f"`{prompt_key}` string, longest_any int, longest_own int, passes boolean"
+    return _by_blocks(prompts, prompt_key, prompt_words, targets, target_key, target_words, n, schema, of)

@@ -385,8 +385,7 @@ def l2_pairs(spark, root):
     f"""WITH {_sql_runs(4, _PAIR_PROMPTS, _TARGETS)} SELECT case_id, coalesce(max(length), 0)::INT AS longest_any, coalesce(max(length) FILTER (segment_id = case_id), 0)::INT AS longest_own, coalesce(max(length), 0) < 6 AS passes FROM ps LEFT JOIN found USING (case_id) GROUP BY 1""",
 )
 def l3_pairs(spark, root):
-    p = _pair_texts(spark, root)
-    return overlap.longest(p[0], overlap.matches(*p), "case_id", "segment_id")
+    return runs.longest(*_pair_texts(spark, root))
 
 
 @query(

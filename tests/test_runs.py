@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -41,8 +42,19 @@ def test_pair_queries_move_no_hit(spark, tmp_path):
     spark.createDataFrame(rows, "segment_id string, target_text string, instruction_de string, delivered_at int").write.parquet(f"{tmp_path}/sft_pairs.parquet")
     df = plans.queries()["l1_l2_pair_word_runs"](spark, str(tmp_path))
     assert [tuple(r) for r in df.collect()] == [("A", "A", 0, 0, 4)]
-    plan = df._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2]
-    assert plan.count("Exchange") <= 2 and "Window" not in plan and "Join" not in plan
+    gate = plans.queries()["l3_a14_pair_gate"](spark, str(tmp_path))
+    assert [tuple(r) for r in gate.collect()] == [("A", 4, 4, True)]
+    for x in (df, gate):
+        plan = x._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2]
+        assert plan.count("Exchange") <= 2 and "Window" not in plan and "Join" not in plan
+
+
+def test_gate_equals_the_longest_of_all_runs(spark, sides):
+    got = runs.longest(*sides)
+    want = overlap.longest(sides[0], overlap.matches(*sides), "case_id", "segment_id")
+    assert got.dtypes == want.dtypes
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows == sorted(tuple(r) for r in want.collect()) and {r[1] == r[2] for r in rows if r[1]} == {True, False}
 
 
 def test_small_blocks_batches_and_hits(tmp_path, monkeypatch):
@@ -63,6 +75,16 @@ def test_small_blocks_batches_and_hits(tmp_path, monkeypatch):
                     out += zip(block.keys.take(pa.array(p)).to_pylist(), keys.take(pa.array(t)).to_pylist(), (block.at[x] - block.starts[p]).tolist(), (at[row] - starts[t]).tolist(), n.tolist(), strict=True)
         return sorted(out)
 
+    def gate():
+        out = []
+        for block in runs._blocks(iter([pa.RecordBatch.from_arrays(columns[0], ["p", "w"])]), 4):
+            most = np.zeros(len(block.keys), np.int32)
+            for _, w, starts, count in runs._stored([f"file://{tmp_path}/t.parquet"]):
+                at, _, k = block.known(w, starts, count)
+                block.reach(most, w, at, k)
+            out += zip(block.keys.to_pylist(), most.tolist(), strict=True)
+        return dict(out)
+
     def brute():
         for a, x in enumerate(sides[0]):
             for b, y in enumerate(sides[1]):
@@ -75,7 +97,8 @@ def test_small_blocks_batches_and_hits(tmp_path, monkeypatch):
                             yield f"s{a}", f"s{b}", i, j, n
 
     want = sorted(brute())
-    assert found() == want
-    for name, most in (("BLOCK", 50), ("BATCH", 3), ("HITS", 7)):
-        monkeypatch.setattr(runs, name, most)
-        assert found() == want
+    most = {f"s{a}": max([0, *(n for p, *_, n in want if p == f"s{a}")]) for a in range(len(sides[0]))}
+    assert found() == want and gate() == most
+    for name, value in (("BLOCK", 50), ("BATCH", 3), ("HITS", 7)):
+        monkeypatch.setattr(runs, name, value)
+        assert found() == want and gate() == most
