@@ -26,7 +26,7 @@ from ..scratch import materialise
 from .windows import digests, padded, places
 
 #: Words of prompts held at a time, texts read at a time, hits made at a time.
-BLOCK, BATCH, HITS = 2_000_000, 2000, 200_000
+BLOCK, BATCH, HITS = 2_000_000, 4000, 200_000
 _PROMPT_PAD, _TARGET_PAD = 0, 2
 _NONE = np.zeros(0, np.int64)
 
@@ -50,8 +50,8 @@ class Block:
         else:
             raise ValueError("no hash tells the windows apart")
         self.h = h[self.first]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[self.h >> np.uint64(42)] = True
+        self.seen = np.zeros(1 << 24, bool)
+        self.seen[self.h >> np.uint64(40)] = True
 
     def known(self, w: np.ndarray, starts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place, text and class of every window of other texts that the block has."""
@@ -59,7 +59,7 @@ class Block:
         if not len(self.h) or not len(at):
             return _NONE, _NONE, _NONE
         h = digests(w, at, self.n, self.seed)
-        maybe = np.flatnonzero(self.seen[h >> np.uint64(42)])
+        maybe = np.flatnonzero(self.seen[h >> np.uint64(40)])
         h, at, text = h[maybe], at[maybe], text[maybe]
         k, same = _find(self.h, h)
         at, text, k = at[same], text[same], k[same]
@@ -104,8 +104,11 @@ class Block:
 
 
 def _find(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each x stands among the sorted known ones, of which there is one at least, and whether it does."""
-    k = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    """Where each x stands among the sorted known ones, of which there is one at least, and whether it does. Looked up in
+    order, which is several times faster than here and there in memory."""
+    order = np.argsort(x)
+    k = np.empty(len(x), np.int64)
+    k[order] = np.minimum(np.searchsorted(known, x[order]), len(known) - 1)
     return k, known[k] == x
 
 
